@@ -177,7 +177,7 @@ _HIT = _is_ad()
 SQL["remove_ads"] = f"SELECT path, pos, text FROM ({CUES}) WHERE NOT ({_HIT} AND pos % 2 = 0)"
 SQL["replace_fixed"] = f"SELECT path, pos, CASE WHEN {_HIT} AND pos % 2 = 0 THEN '(removed)' ELSE text END AS text FROM ({CUES})"
 SQL["replace_random"] = f"SELECT path, pos, {_HIT} AS drawn, CASE WHEN NOT {_HIT} THEN text END AS text FROM ({CUES})"
-SQL["apply_edits"] = f"SELECT path, pos, CASE WHEN pos % 5 = 0 THEN upper(text) ELSE text END AS text FROM ({CUES})"
+SQL["apply_edits"] = f"SELECT path, pos, CASE WHEN pos % 5 = 0 THEN 'edited: ' || text ELSE text END AS text FROM ({CUES})"
 SQL["only_decided"] = f"SELECT path, pos, text FROM ({FLAGGED}) WHERE pos % 2 = 0"
 SQL["skip_existing"] = "SELECT doc_id, source || '-' || doc_id AS name FROM documents WHERE doc_id % 3 <> 0"
 SQL["clean_list"] = SQL["detect_planted"]

@@ -274,7 +274,7 @@ def replace_random(spark, sf):
 @query
 def apply_edits(spark, sf):
     cues = D.cues(spark, sf)
-    edits = cues.filter("pos % 5 = 0").select("path", "pos", F.upper("text").alias("new_text"))
+    edits = cues.filter("pos % 5 = 0").select("path", "pos", F.concat(F.lit("edited: "), "text").alias("new_text"))
     return actions.apply_edits(cues, edits).select("path", "pos", "text")
 
 
@@ -483,7 +483,7 @@ def tfidf_sublinear(spark, sf):
 @query
 def train_score(spark, sf):
     samples = dataset.stratified_split(D.samples(spark, sf))
-    fitted = model.train(samples.filter("NOT is_test").select("clean_text", "label"))
+    fitted = model.train(samples.filter("NOT is_test").select("clean_text", "label"), maxIter=100)
     return model.score(samples.filter("is_test").select("clean_text", "label"), fitted)
 
 
@@ -491,7 +491,7 @@ def train_score(spark, sf):
 def detect_model(spark, sf):
     """Train on labelled documents, store, load, and flag the lines of all documents."""
     folder = shared_folder(spark, "model")
-    model.save_model(model.train(D.samples(spark, sf)), folder, 0.6)
+    model.save_model(model.train(D.samples(spark, sf), maxIter=100), folder, 0.6)
     fitted, threshold = model.load_model(folder)
     return detect.detect_model(D.lines(spark, sf), fitted, threshold)
 
@@ -505,7 +505,8 @@ def clean_by_model(spark, sf):
 
 @query
 def grid_search(spark, sf):
-    _, table = search.grid_search(D.samples(spark, sf), {"C": [1.0, 5.0], "vocabSize": [1000, 2000], "ngrams": [(3, 4)]}, folds=2)
+    _, table = search.grid_search(D.samples(spark, sf), {"C": [1.0, 5.0], "ngrams": [(3, 3), (3, 4)]}, folds=2,
+                                  vocabSize=1000, maxIter=20)
     return table
 
 

@@ -21,6 +21,9 @@ PRESETS = {
 }
 DEFAULT_THRESHOLD = 0.5
 
+# Training rows that keep one task of an iteration busy.
+_ROWS_PER_TASK = 1_000
+
 
 class AdClassifier(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
     """n-gram TF-IDF and logistic regression with balanced class weights.
@@ -55,6 +58,8 @@ class AdClassifier(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsW
         for value, of_class in counts.items():
             weight = F.when(F.col(label) == value, n / (len(counts) * of_class)).otherwise(weight)
         features = tfidf.transform(samples).select("features", label, weight.alias("weight"))
+        # an iteration is one short job: few rows are not worth many tasks
+        features = features.coalesce(n // _ROWS_PER_TASK + 1)
         # passes over the features repeat for every iteration; blocks lost with an
         # executor are computed again from the samples
         features = features.persist(StorageLevel.MEMORY_AND_DISK)

@@ -38,9 +38,12 @@ def param_maps(estimator: AdClassifier, grid: dict[str, list]) -> list[dict]:
 
 
 def grid_search(samples: DataFrame, grid: dict[str, list], folds: int = 3, parallelism: int = 2,
-                seed: int = 42) -> tuple[CrossValidatorModel, DataFrame]:
-    """The fitted search (best model on all samples included) and its table of mean AUCs."""
-    estimator = AdClassifier()
+                seed: int = 42, **settings) -> tuple[CrossValidatorModel, DataFrame]:
+    """The fitted search (best model on all samples included) and its table of mean AUCs.
+
+    ``settings`` are classifier settings that are not searched.
+    """
+    estimator = AdClassifier(**settings)
     maps = param_maps(estimator, grid)
     search = CrossValidator(
         estimator=estimator,
