@@ -17,7 +17,7 @@ from cuewright.sources.corpus import document_lines, files_from_table, unroll
 # Letters of the prose and what they are coded as: Arabic letters that fold to
 # Persian, full-width capitals, an invisible character for "h", a diacritic for "d".
 PLAIN = "aeioutnsr" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "hd"
-CODED = "يكةؤإأآىٱ" + "".join(chr(ord(c) + 0xFEE0) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ") + "‌" + "َ"
+CODED = "يكةؤإأآىٱ" + "".join(chr(ord(c) + 0xFEE0) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ") + "\u200C" + "\u064E"
 NORMAL = "یکهوااایا" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # One phrase is added to each line. Most fire a rule, the last ones are near misses.
@@ -28,8 +28,8 @@ PHRASES = [
     "Patreon", "free download", "buy now", "sponsor", "an ad", "promo", "subtitled by", "translation by", "sub by",
     "powered by", "OpenSubtitles", "دانلود", "زيرنويس فارسي", "ترجمه شده توسط", "كانال تلگرام", "اينستاگرام",
     "سابسين", "سابتايتل", "خريد آنلاين", "تبليغ", "حمايت مالي", "لايك و فالو", "عضويت در كانال", "براي دسترسي به زيرنويس",
-    "با كليك روي لينك", "كد تخفيف", "تقديم مي كند", "دنبال كنيد", "كاري از", "تي وي", "فِيلم", "مووي", "زر",
-    "۳۰نما", "30NAMA", "CinamaSub", "متر‌جم", "آدرس سايت",
+    "با كليك روي لينك", "كد تخفيف", "تقديم مي كند", "دنبال كنيد", "كاري از", "تي وي", "ف\u0650يلم", "مووي", "زر",
+    "۳۰نما", "30NAMA", "CinamaSub", "متر\u200Cجم", "آدرس سايت",
     "liked", "éfoo.com", "foo_bar.com", "joins us", "checkout", "adverb", "substandby", "@x", "a.b.c", "donated",
     "likely", "downloads", "buy", "visit them", "t.mex", "wwwx", "powered bye", "سلام", "کتاب", "promoted",
 ]

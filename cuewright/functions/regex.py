@@ -25,20 +25,31 @@ BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 # Two rules need a form of their own on the JVM: (necessary condition, pattern).
 #
-# The dotted-name rule repeats a group once per label, which Java evaluates by
-# recursion and a long dotted string would exhaust the stack. For the yes/no
-# answer it is enough to match the last label holding a word boundary, then any
-# labels made of hyphens only. The look-ahead for "www." goes as well: what it
-# turns away is already a hit of the "www." rule next to it.
+# Dotted names: repeating a group once per label is done by recursion in Java, and a
+# long dotted string would exhaust the stack. For the yes/no answer it is enough to
+# look at the last label a hit can start in; the labels after it are those that
+# offer no start: hyphens, "www", or both in this order.
 #
-# Both rules start a scan at every word of a text; the condition is one pass for
-# a rare anchor, and spares the scan where the anchor is missing.
+# Both rules may start at any word boundary of a long run of name characters, and
+# each start would read the run to its end. Here a run is read once, from its own
+# start, and what precedes the dot or "@" says whether a boundary lies in it: at its
+# start, or between a word character and another inside.
+#
+# The condition is one pass for a rare anchor, and spares the rest where it is missing.
 _TLD = "(?:com|ir|org|net|in|co|us|me|app|tv|xyz|info|online)"
+_LABEL, _ALNUM = "[A-Za-z0-9-]", "[A-Za-z0-9]"
+_LOCAL, _LOCAL_WORD, _LOCAL_OTHER = "[A-Za-z0-9._%+-]", "[A-Za-z0-9_]", "[.%+-]"
 GUARDED = {
-    r"\b(?!www\.)([A-Za-z0-9-]+\.)+(com|ir|org|net|in|co|us|me|app|tv|xyz|info|online)\b":
-        (rf"\.(?:{_TLD[3:-1]}|-)", rf"\b[A-Za-z0-9-]++\.(?:-++\.)*+{_TLD}\b"),
-    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b":
-        ("@", r"\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
+    r"\b(?!www\.)([A-Za-z0-9-]+\.)+(com|ir|org|net|in|co|us|me|app|tv|xyz|info|online)\b": (
+        rf"\.{_TLD}",
+        rf"(?<!{_LABEL})(?:\b(?!www\.){_LABEL}++|-*+{_ALNUM}++-{_LABEL}*+|-++(?!www\.){_ALNUM}{_LABEL}*+)"
+        rf"\.(?:(?:-++(?:www)?+|www)\.)*+{_TLD}\b",
+    ),
+    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b": (
+        "@",
+        rf"(?<!{_LOCAL})(?:\b{_LOCAL}++|{_LOCAL_WORD}++{_LOCAL_OTHER}{_LOCAL}*+|{_LOCAL_OTHER}++{_LOCAL_WORD}{_LOCAL}*+)"
+        r"@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    ),
 }
 
 

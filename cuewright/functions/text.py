@@ -15,9 +15,9 @@ PERSIAN_LETTERS = "یکهوااایا"
 
 # Every character Unicode counts as white space, for trimming.
 SPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     + "".join(map(chr, range(0x2000, 0x200B)))
-    + "    　"
+    + "\u2028\u2029\u202F\u205F\u3000"
 )
 
 # Characters forbidden in file names.
@@ -73,10 +73,17 @@ def normalize(c: Column, aggressive: bool = False) -> Column:
     return letters_only(done) if aggressive else done
 
 
+def _drop_enclosed(c: Column, opening: str, closing: str) -> Column:
+    """Drop non-empty ``{...}``. What follows the last closing mark cannot match and is
+    set aside, or each opening mark in it would be tried up to the end of the text."""
+    tail = F.substring_index(c, closing, -1)
+    head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
+    return F.concat(F.regexp_replace(head, rf"\{opening}[^{closing}]++{closing}", ""), tail)
+
+
 def clean_tags(c: Column) -> Column:
     """Drop ``{...}`` and ``<...>``, make each run of white space one blank, trim."""
-    c = F.regexp_replace(c, r"\{[^}]+\}", "")
-    c = F.regexp_replace(c, r"<[^>]+>", "")
+    c = _drop_enclosed(_drop_enclosed(c, "{", "}"), "<", ">")
     return strip(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 

@@ -10,7 +10,7 @@ from ..functions.regex import SPACE
 from ..functions.text import clean_tags, strip, unix_newlines
 from ..schema import CUE_COLUMNS, SAMPLES
 
-BOM = "﻿"
+BOM = "\uFEFF"
 
 
 def decode_files(binary: DataFrame, strip_bom: bool = False) -> DataFrame:

@@ -19,6 +19,8 @@ UNKNOWN_TITLE = "Unknown"
 UNKNOWN_SEASON = "unknown"
 
 _ANCHOR = r"(?is)<a(?=[\s>]).*?</a\s*>"
+# Up to the last closed anchor; an open one behind it would be tried to the page's end.
+_CLOSED = r"(?is)\A.*</a\s*>"
 _START_TAG = r"(?s)\A<[^>]*>"
 _DOWNLOAD_TOKENS = (
     rf"(?is)<div(?=[\s>])[^>]*>|</div\s*>|<a\s[^>]*>|<p\s[^>]*{SEASON_CLASS}[^>]*>[^<]*"
@@ -39,7 +41,7 @@ def extract_links(pages: DataFrame, anchor_class: str | None = None) -> DataFram
             F.when(wanted, href).alias("href"),
             F.coalesce(F.nullif(inner_text(anchor), F.lit("")), F.lit(UNKNOWN_TITLE)).alias("text"),
         )
-    anchors = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))
+    anchors = F.regexp_extract_all(F.regexp_extract("html", _CLOSED, 0), F.lit(_ANCHOR), F.lit(0))
     links = F.filter(F.transform(anchors, link), lambda l: F.coalesce(l["href"], F.lit("")) != "")
     return unroll(pages, ["page_id", "url"], links, "pos", "link").select(
         "page_id", "pos", "link.text", absolute_url(F.col("url"), F.col("link.href")).alias("url")
