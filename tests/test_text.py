@@ -104,11 +104,11 @@ def test_long_texts_are_read_once(apply):
     """No recursion per label, no second reading of a run of name characters."""
     import time
 
-    hits = ["a-." * 100_000 + "com", "-." * 200_000 + "com", "x@" + "y." * 100_000 + "org", "www." * 100_000 + "com"]
-    misses = ["a." * 200_000, "x@" + "y." * 100_000, " " * 300_000 + "x", "a" * 500_000, "a-" * 200_000 + " x.come",
+    hits = ["a-." * 100_000 + "com", "x@" + "y." * 100_000 + "org", "www." * 100_000 + "com"]
+    misses = ["a." * 200_000, "-." * 200_000 + "com", "x@" + "y." * 100_000, " " * 300_000 + "x", "a" * 500_000, "a-" * 200_000 + " x.come",
               "a.b@" * 50_000, "{<" * 100_000, "\n " * 200_000 + "x"]
     started = time.time()
-    assert apply(R.matches_rules, hits + misses) == [True, True, True, True] + [False] * len(misses)
+    assert apply(R.matches_rules, hits + misses) == [True] * len(hits) + [False] * len(misses)
     assert apply(T.clean_tags, ["{<" * 100_000 + "a", "{}" * 100_000]) == ["{<" * 100_000 + "a", "{}" * 100_000]
     assert time.time() - started < 60
 
