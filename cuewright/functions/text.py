@@ -52,7 +52,8 @@ def nfkc(c: Column) -> Column:
     Spark has no built-in for it. Calling ICU through ``reflect`` keeps the text in
     the JVM, where a Python UDF would ship every row to a worker and back.
     """
-    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    compose = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.isNotNull(), compose)
 
 
 def letters_only(c: Column) -> Column:

@@ -7,16 +7,16 @@ scaled to unit length.
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, SQLTransformer
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ngrams import piece_ngrams, prepare, text_pieces
-from ..functions.regex import SPACE
+from ..functions.ngrams import char_ngrams, piece_ngrams, prepare, text_pieces
 
 
 def gram_rows(texts: DataFrame, lo: int, hi: int, keep: list[str] = (), column: str = "clean_text") -> DataFrame:
@@ -59,17 +59,21 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def gram_transformer(input_col: str, output_col: str, lo: int, hi: int) -> SQLTransformer:
-    """The n-gram array as a stage that is saved and loaded with a pipeline."""
-    quote = lambda s: "r'" + s.replace("'", "\\'") + "'"
-    arrays = ", ".join(
-        f"regexp_extract_all(_prepared, {quote(f'(?s)(?=(.{{{n}}})).')}, 1)" for n in range(lo, hi + 1)
-    )
-    prepared = f"regexp_replace(lower({input_col}), {quote(f'[{SPACE}]{{2,}}')}, ' ')"
-    return SQLTransformer(
-        statement=f"SELECT * EXCEPT(_prepared), concat({arrays}) AS {output_col} "
-                  f"FROM (SELECT *, {prepared} AS _prepared FROM __THIS__)"
-    )
+class CharNGrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The n-gram array of a text."""
+
+    lo = Param(Params._dummy(), "lo", "shortest n-gram", TypeConverters.toInt)
+    hi = Param(Params._dummy(), "hi", "longest n-gram", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, inputCol: str = None, outputCol: str = None, lo: int = 3, hi: int = 4):
+        super().__init__()
+        self._setDefault(lo=3, hi=4)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        grams = char_ngrams(F.col(self.getInputCol()), self.getOrDefault("lo"), self.getOrDefault("hi"))
+        return dataset.withColumn(self.getOutputCol(), grams)
 
 
 @F.udf(VectorUDT())
@@ -105,7 +109,7 @@ def fit_tfidf(texts: DataFrame, lo: int = 3, hi: int = 4, vocab_size: int = 10_0
     if not vocab:
         raise ValueError(f"no text has an n-gram of {lo} characters")
     stages = [
-        gram_transformer(column, "grams", lo, hi),
+        CharNGrams(inputCol=column, outputCol="grams", lo=lo, hi=hi),
         CountVectorizerModel.from_vocabulary(vocab, inputCol="grams", outputCol="tf_counts"),
     ]
     counted = PipelineModel(stages).transform(texts.select(column))

@@ -37,7 +37,7 @@ def param_maps(estimator: AdClassifier, grid: dict[str, list]) -> list[dict]:
     return maps
 
 
-def grid_search(samples: DataFrame, grid: dict[str, list], folds: int = 3, parallelism: int = 2,
+def grid_search(samples: DataFrame, grid: dict[str, list], folds: int = 3, parallelism: int = 1,
                 seed: int = 42, **settings) -> tuple[CrossValidatorModel, DataFrame]:
     """The fitted search (best model on all samples included) and its table of mean AUCs.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,10 +65,10 @@ def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if stream is not None:
                     yield finish()
                 uri, written = row.out_path, 0
-                if "://" in uri or not uri.startswith("file:"):
-                    filesystem, target = fs.FileSystem.from_uri(uri)
-                else:  # Spark writes local paths as file:/...
-                    filesystem, target = fs.LocalFileSystem(), unquote(uri.removeprefix("file:"))
+                if uri.startswith(("/", "file:")):
+                    filesystem, target = fs.LocalFileSystem(), uri.removeprefix("file:").replace("//", "/")
+                else:
+                    filesystem, target = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
                 folder, _, name = target.rpartition("/")
                 if isinstance(filesystem, fs.LocalFileSystem):
                     filesystem.create_dir(folder)

@@ -124,9 +124,9 @@ def test_short_text_scores_the_intercept(spark, samples):
 def test_sublinear_model_and_search(spark, samples):
     model = M.train(samples, vocabSize=100, maxIter=10, sublinear=True)
     assert M.score(samples, model).count() == samples.count()
-    search, table = grid_search(samples, {"C": [0.1, 5.0], "ngrams": [(3, 3), (3, 4)]}, folds=2, vocabSize=100, maxIter=10)
+    search, table = grid_search(samples, {"C": [0.1, 5.0], "ngrams": [(3, 3)]}, folds=2, vocabSize=100, maxIter=5)
     rows = table.collect()
-    assert len(rows) == 4 and all(r.auc > 0.9 for r in rows)
+    assert len(rows) == 2 and all(r.auc > 0.9 for r in rows)
     with pytest.raises(ValueError):
         grid_search(samples, {"solver": ["saga"]})
 
