@@ -16,19 +16,19 @@ def batch_stats(cues: DataFrame, decisions: DataFrame | None = None) -> DataFram
     shuffle; the distinct count of files then is a count of rows. Without
     decisions every flagged cue is selected, as at the start of a review.
     """
-    flagged = F.count_if("is_ad")
-    per_path = cues.groupBy("path").agg(F.count("*").alias("cues"), flagged.alias("flagged"))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
-    totals = per_path.agg(F.count("*").alias("files"), total("cues"), total("flagged"))
+    marked = cues.select("path", "pos", "is_ad")
     if decisions is None:
-        return totals.withColumn("selected", F.col("flagged"))
-    chosen = (
-        cues.filter("is_ad").select("path", "pos")
-        .join(decisions.select("path", "pos"), ["path", "pos"], "left_semi")
-        .agg(F.count("*").alias("selected"))
+        marked = marked.withColumn("chosen", F.lit(True))
+    else:
+        chosen = decisions.select("path", "pos").distinct().withColumn("chosen", F.lit(True))
+        marked = marked.join(chosen, ["path", "pos"], "left")
+    per_path = marked.groupBy("path").agg(
+        F.count("*").alias("cues"),
+        F.count_if("is_ad").alias("flagged"),
+        F.count_if(F.col("is_ad") & F.col("chosen")).alias("selected"),
     )
-    both = totals.unionByName(chosen, allowMissingColumns=True)
-    return both.agg(*[F.sum(c).alias(c) for c in ("files", "cues", "flagged", "selected")])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    return per_path.agg(F.count("*").alias("files"), total("cues"), total("flagged"), total("selected"))
 
 
 def batch_totals(batch: DataFrame) -> DataFrame:
