@@ -16,8 +16,9 @@ def _cell(label: int, prediction: int) -> Column:
 
 def confusion_matrix(pred: DataFrame) -> DataFrame:
     """``(label, predicted_0, predicted_1)``, one row per label."""
-    table = pred.groupBy("label").pivot("prediction", [0, 1]).count().na.fill(0)
-    return table.select("label", F.col("0").alias("predicted_0"), F.col("1").alias("predicted_1"))
+    return pred.groupBy("label").agg(
+        *(F.count_if(F.col("prediction") == p).alias(f"predicted_{p}") for p in (0, 1))
+    )
 
 
 def classification_report(pred: DataFrame) -> DataFrame:

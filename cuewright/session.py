@@ -52,4 +52,5 @@ def spread(df):
     that task. With more files than cores, as with any large input, this is no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    # the JVM's array: its length is asked for, the names are not brought over
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df

@@ -6,6 +6,7 @@ import io
 import posixpath
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,14 +65,15 @@ def bad_archives(members: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, root: str, folder: str = "farsi") -> DataFrame:
     """Members of the zip archives below ``root`` that lie in folders of this name.
 
-    The folder test reads listings only: Spark prunes archives before their content
-    is loaded. Returns every member and error; see ``first_of_name``, ``bad_archives``.
+    The folder is tested on the file's metadata, by which Spark drops the other archives
+    when it lists them, before any content is read. Returns every member and error; see
+    ``first_of_name`` and ``bad_archives``.
     """
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{zip,ZIP}")
         .load(root)
-        .select("path", "content")
     )
-    return unpack(in_folder(found, folder))
+    listed = F.lower(F.element_at(F.split("_metadata.file_path", "/"), -2)) == quote(folder).lower()
+    return unpack(found.filter(listed).select("path", "content"))

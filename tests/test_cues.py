@@ -81,6 +81,31 @@ def test_srt_against_python(spark):
     assert sum(map(bool, got.values())) > 200
 
 
+def python_vtt(content):
+    time_line = re.compile(r"(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})")
+    cues = []
+    body = re.sub(r"^WEBVTT.*?\n\n", "", content, flags=re.M | re.S)
+    for block in re.split(r"\n\s*\n", body.strip()):
+        lines = block.strip().splitlines()
+        at = next((i for i, line in enumerate(lines) if time_line.search(line)), None)
+        if at is not None:
+            above = lines[at - 1].strip() if at else ""
+            cues.append((above if above.isdigit() else "", *time_line.search(lines[at]).groups(), "\n".join(lines[at + 1:])))
+    return cues
+
+
+def test_vtt_against_python(spark):
+    pieces = ["1", "²", "x", "\n", "\n", "\n\n", " ", "\t", "\x0b", "\x85", "\u2028", V, V, f"{V} align:start", f"\n{V}\nt", "WEBVTT", "\nWEBVTT",
+              "WEBVTT\n\n", "NOTE", f"\n7\n{V}\ny"]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, c STRING").select("i", C.vtt_cues(F.col("c")).alias("cues"))
+    got = {r.i: [(c.cue_index, c.start, c.end, c.text) for c in r.cues] for r in df.collect()}
+    wrong = [texts[i] for i in got if got[i] != python_vtt(texts[i])]
+    assert not wrong, [ascii(w) for w in wrong[:3]]
+    assert sum(map(bool, got.values())) > 1000
+
+
 def test_index_digits_are_those_of_python(apply):
     import unicodedata
 

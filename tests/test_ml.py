@@ -115,6 +115,18 @@ def test_score_save_load_detect(spark, samples, tmp_path):
     assert mark(cues, loaded, use_model=False).filter("is_ad").count() == cues.filter("label = 1").count()
 
 
+def test_train_and_evaluate(spark, samples, tmp_path):
+    from cuewright.plans.training import samples_from_lines, train_and_evaluate
+
+    lines = lambda label: samples.filter(F.col("label") == label).select(F.col("clean_text").alias("text"))
+    both = samples_from_lines(lines(1), lines(0))
+    assert both.count() == samples.filter("length(clean_text) >= 15").count()
+    done = train_and_evaluate(both, path=str(tmp_path / "m"), vocabSize=200, maxIter=20)
+    assert M.load_model(str(tmp_path / "m"))[1] == done.threshold == done.tuned.first().threshold
+    assert done.tuned.first().recall >= 0.95 and done.auc.first().auc > 0.9
+    assert done.report.count() == done.tuned_report.count() == 5
+
+
 def test_short_text_scores_the_intercept(spark, samples):
     model = M.train(samples, vocabSize=100, maxIter=20)
     score = M.score(spark.createDataFrame([("ab",)], "clean_text STRING"), model).first().score

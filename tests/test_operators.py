@@ -108,6 +108,19 @@ def test_rebuild_in_parts(spark):
     assert joined == {"a.srt": "\n".join(f"{i}\n{A}\nt{i}\n" for i in range(8, n)), "b.srt": ""}
 
 
+def test_report_file(spark, cues, tmp_path):
+    sink.write_report(out.ad_report(detect.detect(cues)), f"{tmp_path}/report")
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/report").collect()]
+    assert len(lines) == 3 * 3 + 1 + 2 * 3 and lines.count("--- File: b.vtt ---") == 1
+
+
+def test_aggressive_mode_silences_link_rules(spark):
+    rows = [("see http://x.io",), ("mail me@x.org",), ("@handle",), ("visit us",)]
+    df = spark.createDataFrame(rows, "text STRING")
+    assert detect.detect_rules(df).count() == 4
+    assert [r.text for r in detect.detect_rules(df, aggressive=True).collect()] == ["visit us"]
+
+
 def test_reports(spark, cues):
     flagged = detect.detect(cues)
     lines = [r.line for r in out.ad_report(flagged).filter("path = '/in/a.srt'").orderBy("path", "pos", "line_no").collect()]
@@ -179,6 +192,11 @@ def test_archives(spark, tmp_path):
     ]:
         (tmp_path / folder).mkdir(parents=True, exist_ok=True)
         (tmp_path / folder / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a file per partition
+    try:
+        assert archives.read_archives(spark, str(tmp_path)).rdd.getNumPartitions() == 3  # not the one in "english"
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1m")
     members = archives.read_archives(spark, str(tmp_path))
     kept = {r.name: bytes(r.content) for r in archives.first_of_name(members).collect()}
     # "Farsi" sorts before "farsi"
