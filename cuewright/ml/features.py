@@ -76,16 +76,6 @@ class CharNGrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return dataset.withColumn(self.getOutputCol(), grams)
 
 
-@F.udf(VectorUDT())
-def _sublinear(v):
-    """1 + ln(count) on the non-zero entries; no built-in works on vector entries."""
-    import numpy as np
-
-    if isinstance(v, DenseVector):
-        v = SparseVector(len(v), [(i, x) for i, x in enumerate(v) if x])
-    return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
-
-
 class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Term counts to ``1 + ln(count)``."""
 
@@ -95,7 +85,15 @@ class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumn(self.getOutputCol(), _sublinear(self.getInputCol()))
+        @F.udf(VectorUDT())
+        def sublinear(v):  # no built-in works on the non-zero entries of a vector
+            import numpy as np
+
+            if isinstance(v, DenseVector):
+                v = SparseVector(len(v), [(i, x) for i, x in enumerate(v) if x])
+            return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
+
+        return dataset.withColumn(self.getOutputCol(), sublinear(self.getInputCol()))
 
 
 def fit_tfidf(texts: DataFrame, lo: int = 3, hi: int = 4, vocab_size: int = 10_000, sublinear: bool = False,

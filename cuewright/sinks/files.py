@@ -40,45 +40,49 @@ def duplicate_outputs(files: DataFrame) -> DataFrame:
     )
 
 
-def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stream sorted parts to files; a file appears under its name only when complete.
-
-    The temporary name is this attempt's own, so a rerun or speculative task after
-    the loss of an executor replaces the file with the same text.
-    """
-    import uuid
-
-    from pyarrow import fs
-
-    filesystem = target = temporary = stream = None
-    written = 0
-
-    def finish():
-        stream.close()
-        filesystem.move(temporary, target)
-        return pd.DataFrame({"out_path": [uri], "n_bytes": [written]})
-
-    uri = None
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            if row.out_path != uri:
-                if stream is not None:
-                    yield finish()
-                uri, written = row.out_path, 0
-                if uri.startswith(("/", "file:")):
-                    filesystem, target = fs.LocalFileSystem(), uri.removeprefix("file:").replace("//", "/")
-                else:
-                    filesystem, target = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
-                folder, _, name = target.rpartition("/")
-                if isinstance(filesystem, fs.LocalFileSystem):
-                    filesystem.create_dir(folder)
-                temporary = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
-                stream = filesystem.open_output_stream(temporary)
-            elif row.content:
-                written += stream.write(SEPARATORS[row.format].encode()) if written else 0
-            written += stream.write(row.content.encode("utf-8"))
-    if stream is not None:
-        yield finish()
+def _writer():
+    """The task function; made inside a function, so that it is sent to workers by value."""
+    def write_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Stream sorted parts to files; a file appears under its name only when complete.
+
+        The temporary name is this attempt's own, so a rerun or speculative task after
+        the loss of an executor replaces the file with the same text.
+        """
+        import uuid
+
+        from pyarrow import fs
+
+        filesystem = target = temporary = stream = None
+        written = 0
+
+        def finish():
+            stream.close()
+            filesystem.move(temporary, target)
+            return pd.DataFrame({"out_path": [uri], "n_bytes": [written]})
+
+        uri = None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row.out_path != uri:
+                    if stream is not None:
+                        yield finish()
+                    uri, written = row.out_path, 0
+                    if uri.startswith(("/", "file:")):
+                        filesystem, target = fs.LocalFileSystem(), uri.removeprefix("file:").replace("//", "/")
+                    else:
+                        filesystem, target = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+                    folder, _, name = target.rpartition("/")
+                    if isinstance(filesystem, fs.LocalFileSystem):
+                        filesystem.create_dir(folder)
+                    temporary = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+                    stream = filesystem.open_output_stream(temporary)
+                elif row.content:
+                    written += stream.write(SEPARATORS[row.format].encode()) if written else 0
+                written += stream.write(row.content.encode("utf-8"))
+        if stream is not None:
+            yield finish()
+
+    return write_batches
 
 
 def write_files(parts: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def write_files(parts: DataFrame) -> DataFrame:
     if "part" not in parts.columns:
         parts = parts.withColumn("part", F.lit(0))
     ordered = parts.select("out_path", "format", "part", "content").repartition("out_path").sortWithinPartitions("out_path", "part")
-    return ordered.mapInPandas(_write, "out_path STRING, n_bytes BIGINT")
+    return ordered.mapInPandas(_writer(), "out_path STRING, n_bytes BIGINT")
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -15,23 +15,28 @@ from pyspark.sql import functions as F
 MEMBERS = "archive STRING, ordinal INT, name STRING, content BINARY, error STRING"
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One output batch per member, so that a task holds one archive and one member."""
-    def row(*values):
-        arrays = [pa.array([v], t) for v, t in zip(values, (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string()))]
-        return pa.RecordBatch.from_arrays(arrays, names=["archive", "ordinal", "name", "content", "error"])
-
-    for batch in batches:
-        for path, content in zip(batch.column("path"), batch.column("content")):
-            archive = path.as_py()
-            try:
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as zipped:
-                    for ordinal, entry in enumerate(zipped.infolist()):
-                        name = posixpath.basename(entry.filename)
-                        if name and not entry.is_dir():
-                            yield row(archive, ordinal, name, zipped.read(entry), None)
-            except Exception as error:  # a bad archive is reported, the job goes on
-                yield row(archive, None, None, None, f"{type(error).__name__}: {error}")
+def _unpacker():
+    """The task function; made inside a function, so that it is sent to workers by value
+    and they need not have this package installed."""
+    def unpack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One output batch per member, so that a task holds one archive and one member."""
+        def row(*values):
+            arrays = [pa.array([v], t) for v, t in zip(values, (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["archive", "ordinal", "name", "content", "error"])
+
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                archive = path.as_py()
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as zipped:
+                        for ordinal, entry in enumerate(zipped.infolist()):
+                            name = posixpath.basename(entry.filename)
+                            if name and not entry.is_dir():
+                                yield row(archive, ordinal, name, zipped.read(entry), None)
+                except Exception as error:  # a bad archive is reported, the job goes on
+                    yield row(archive, None, None, None, f"{type(error).__name__}: {error}")
+
+    return unpack_batches
 
 
 def in_folder(archives: DataFrame, folder: str) -> DataFrame:
@@ -42,7 +47,7 @@ def in_folder(archives: DataFrame, folder: str) -> DataFrame:
 
 def unpack(archives: DataFrame) -> DataFrame:
     """``(path, content BINARY)`` to one row per member, plus one per bad archive."""
-    return archives.select("path", "content").mapInArrow(_unpack, MEMBERS)
+    return archives.select("path", "content").mapInArrow(_unpacker(), MEMBERS)
 
 
 def first_of_name(members: DataFrame) -> DataFrame:
