@@ -249,3 +249,15 @@ def test_streams(spark, tmp_path):
     assert {r.content for r in got} == {f"1\n{A}\nhello\n"}
     landing.flag_stream(landing.landing_files(spark, f"{tmp_path}/in", "*.srt"), f"{tmp_path}/ads", f"{tmp_path}/state2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/ads").count() == 2
+
+
+@pytest.mark.parametrize("task", [archives._unpacker, sink._writer])
+def test_task_functions_need_no_package_on_the_workers(task):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
+    done = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(task()), capture_output=True, cwd="/")
+    assert done.returncode == 0, done.stderr.decode()[-500:]
