@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.base import table
+from cuewright.llm.bpe import encode_documents
 from cuewright.llm.mixing import mix_documents
 from cuewright.llm.sharding import shard_documents
+from cuewright.llm.simhash import near_duplicates
+
+
+def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +27,23 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(docs).drop("key")
 
 
+def vocabulary() -> str:
+    """Path of the rank file; its package is imported only where it is used."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes decoded from them."""
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards."""
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mix_sources, op9_shard_ring)}
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op3_simhash_trie, op5_mix_sources, op6_byte_bpe, op9_shard_ring)}
 
 SQL: dict[str, str] = {}
