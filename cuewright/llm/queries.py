@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 from cuewright.llm.base import table
 from cuewright.llm.bpe import encode_documents
 from cuewright.llm.mixing import mix_documents
+from cuewright.llm.pii import find_pii
 from cuewright.llm.sharding import shard_documents
 from cuewright.llm.simhash import near_duplicates
+from cuewright.llm.vafile import nearest
+from cuewright.llm.warc import archive_pages
+
+
+def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return find_pii(table(spark, sf_dir, "documents"))
 
 
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +29,11 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op4_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector with all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document stands in the mixed stream; weights by the square root of a source's size."""
     docs = table(spark, sf_dir, "documents")
@@ -38,12 +51,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives, with its place in the order of captures."""
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards."""
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_simhash_trie, op5_mix_sources, op6_byte_bpe, op9_shard_ring)}
+    op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op9_shard_ring)}
 
 SQL: dict[str, str] = {}
