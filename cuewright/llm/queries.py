@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuewright.llm.base import table
 from cuewright.llm.bpe import encode_documents
+from cuewright.llm.kneser_ney import judge
 from cuewright.llm.mixing import mix_documents
 from cuewright.llm.pii import find_pii
 from cuewright.llm.sharding import shard_documents
@@ -17,6 +18,11 @@ from cuewright.llm.vafile import nearest
 from cuewright.llm.warc import archive_pages
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, its language's threshold, and whether it is kept."""
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
+
+
 def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return find_pii(table(spark, sf_dir, "documents"))
@@ -62,6 +68,6 @@ def op9_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op9_shard_ring)}
+    op1_kneser_ney, op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op9_shard_ring)}
 
 SQL: dict[str, str] = {}
