@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.base import table
 from cuewright.llm.bpe import encode_documents
 from cuewright.llm.kneser_ney import judge
+from cuewright.llm.lempel_ziv import fingerprints
 from cuewright.llm.mixing import mix_documents
 from cuewright.llm.pii import find_pii
 from cuewright.llm.sharding import shard_documents
@@ -67,7 +68,12 @@ def op9_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_lz_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of every document and its edited text, and how alike neighbours are."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_kneser_ney, op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op9_shard_ring)}
+    op1_kneser_ney, op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op9_shard_ring, op10_lz_phrases)}
 
 SQL: dict[str, str] = {}
