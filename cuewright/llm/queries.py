@@ -15,6 +15,7 @@ from cuewright.llm.mixing import mix_documents
 from cuewright.llm.pii import find_pii
 from cuewright.llm.sharding import shard_documents
 from cuewright.llm.simhash import near_duplicates
+from cuewright.llm.suffix_dedup import repeated_bytes
 from cuewright.llm.vafile import nearest
 from cuewright.llm.warc import archive_pages
 
@@ -63,6 +64,11 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 200 bytes."""
+    return repeated_bytes(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op9_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -74,6 +80,7 @@ def op10_lz_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_kneser_ney, op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op9_shard_ring, op10_lz_phrases)}
+    op1_kneser_ney, op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op8_induced_suffixes, op9_shard_ring,
+    op10_lz_phrases)}
 
 SQL: dict[str, str] = {}
