@@ -1,7 +1,7 @@
 """Web archives: records written by Spark's own writers, read back, and their index merged.
 
 A task's records, sorted by URL key and time, are one archive; a record's text ends with the separator between records, so an archive
-is a plain text file of Spark's, committed as such files are, on whatever file system the shared folder is. Reading an archive gives its
+is a gzipped text file of Spark's, committed as such files are, on whatever file system the shared folder is. Reading an archive gives its
 part of the index, a sorted run. The index is dealt out by ranges of URL key and time (so that a URL with very many
 captures is spread), and in each range the runs are merged by a loser tree into the global order of captures.
 """
@@ -9,6 +9,7 @@ captures is spread), and in each range the runs are merged by a loser tree into
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,7 +51,8 @@ def classify(pages: DataFrame, captured: Column) -> DataFrame:
     # least of all rows of a digest, combined before the shuffle; a null id only if there is no other
     origin = small.groupBy("digest").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "record", "url", "captured")).alias("origin"), F.count(F.lit(1)).alias("n"))
-    origin = origin.filter("n > 1").select(F.col("digest").alias("d"), "origin")
+    # stored, so that the join is one of two plain shuffles, of which Spark splits large partitions
+    origin = stored(origin.filter("n > 1").select(F.col("digest").alias("d"), "origin"), "warc-origins")
     joined = rows.join(origin, (F.col("digest") == F.col("d")) & (F.col("bytes") >= LEAST_BYTES), "left")
     revisit = F.col("origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("origin.page_id"))
     return joined.select("page_id", "url", "payload", "captured", "bytes", "digest", "record", F.when(revisit, F.col("origin")).alias("origin"))
@@ -73,11 +75,11 @@ def record_text(r: DataFrame) -> Column:
         line("Page-Id", F.col("page_id").cast("string")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block)
 
 
-def write_archives(pages: DataFrame, folder: str, captured: Column, records: int = 20_000) -> None:
+def write_archives(pages: DataFrame, folder: str, captured: Column, records: int = 10_000) -> None:
     """One record a page into archives below ``folder``, each sorted by URL key and time, with at most so many records."""
     rows = classify(pages, captured)
     run = rows.sortWithinPartitions(url_key(F.col("url")), "captured", "page_id")
-    run.select(record_text(run).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).text(folder)
+    run.select(record_text(run).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).option("compression", "gzip").text(folder)
 
 
 INDEX = ("archive STRING, offset BIGINT, length BIGINT, type STRING, url STRING, date STRING, record STRING, refers STRING, page STRING, "
@@ -115,7 +117,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in INDEX.split(", ")]
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content")):
-            rows = [(path.as_py(), *r) for r in _records(content.as_py())]
+            rows = [(path.as_py(), *r) for r in _records(zlib.decompress(content.as_py(), 31))]
             for a in range(0, len(rows), 10_000):
                 part = list(zip(*rows[a:a + 10_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(part, kinds)], names=names)
@@ -123,7 +125,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark, folder: str) -> DataFrame:
     """A row for every record in the archives below ``folder``; the payload's size and digest are taken from the payload, where there is one."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder).select("path", "content")
     return found.mapInArrow(_reader, INDEX)
 
 
@@ -214,6 +216,7 @@ def archive_pages(pages: DataFrame, captured: Column | None = None, folder: str
     merged = merge_index(stored(read_archives(spark, folder), "warc-index"))
     responses = merged.filter("type = 'response'").groupBy(F.col("record").alias("origin")).agg(
         F.min("page").alias("origin_page"), F.min("payload_bytes").alias("origin_bytes"))
+    responses = stored(responses, "warc-responses")
     out = merged.join(responses, merged["refers"] == responses["origin"], "left")
     kind = pages.schema["page_id"].dataType
     return out.select(
