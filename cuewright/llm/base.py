@@ -42,6 +42,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def columns(df: DataFrame, names: list[str]) -> list[Column]:
+    """Columns of a table by name, dots in a name being part of it."""
+    return [df[f"`{name}`"] for name in names]
+
+
 def text_key(text: Column) -> Column:
     """A 128-bit digest of a text as hex; null for null."""
     return F.md5(text)

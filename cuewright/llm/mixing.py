@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.base import fresh, same, stored, text_key
+from cuewright.llm.base import columns, fresh, same, stored, text_key
 
 
 def shares(weights: list[float], period: int) -> list[int]:
@@ -155,4 +155,4 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     order = order.select(F.col("doc_id").alias("mix_id"), F.col("key").alias("mix_text"), F.col("at").alias("mix_at"))
     keyed = docs.withColumn(key, text_key(F.col("text")))
     joined = keyed.join(order, same(keyed, order, [("doc_id", "mix_id"), (key, "mix_text")]))
-    return joined.sort(order["mix_at"]).select(*[keyed[c] for c in docs.columns])
+    return joined.sort(order["mix_at"]).select(*columns(keyed, docs.columns))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.base import by_value, fresh, same, stored, text_key
+from cuewright.llm.base import by_value, columns, fresh, same, stored, text_key
 
 BITS = 64
 
@@ -212,15 +212,15 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root``: of every node of the edges ``a, b`` the least node it is connected with.
 
     Alternates large and small stars until nothing changes, a number of rounds that grows with the logarithm of the
-    longest path. Minima are combined before the shuffle, and the joins are plain ones whose large keys Spark splits.
+    longest path. Minima are combined before the shuffle and stored, so that the joins are of plain shuffles, whose large partitions Spark splits.
     """
     edges = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     state = None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "stars")
         small = large.join(least, "a")
         edges = stored(small.select("b", "m").union(least.select("a", "m")).toDF("a", "b").filter("a != b").distinct(), "stars")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -260,7 +260,7 @@ def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     out = keyed.join(kept, same(keyed, kept, [("doc_id", "kept_id"), (key, "kept_key")]), "left_semi")
     if labels.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", key])
-    return out.select(*docs.columns)
+    return out.select(*columns(out, docs.columns))
 
 
 by_value(__name__)
