@@ -1,12 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-Documents are dealt into blocks of bounded size. A block is read together with its labels and gives its distinct n-grams, each
-with its counts in the block's trusted text: one shuffle serves for training and for what scoring will ask. Counts are summed per n-gram; all
+A first pass gives every task's distinct n-grams with their counts in its trusted text; they are summed per n-gram. All
 model quantities (continuation counts, discounts, context totals) are aggregates of those sums, joined by n-gram or context, so
-the model is sharded like any table and has no size limit. The n-grams' probabilities go back to the blocks that asked for
-them, once per block, not per document. There each document's log probability is summed. Models are kept per language, and three at once: of
-all trusted text, and of each half of it. Trusted documents are judged by the half that they are not in, so that the
-threshold, a quantile per language, holds for documents the model has not seen.
+the model is sharded like any table and has no size limit. For scoring, documents are dealt into blocks of bounded size. A block asks
+for its distinct n-grams' probabilities once, not once per document, and gets them by a join with the sharded table; then
+each document's log probability is summed. Models are kept per language, and three at once: of all trusted text, and of each half of it.
+Trusted documents are judged by the half that they are not in, so that the threshold, a quantile per language, holds for
+documents the model has not seen.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.base import by_value, fresh, same, stored, text_key
+from cuewright.llm.base import by_value, columns, fresh, same, stored, text_key
 
 PAD = 0xFFFF  # stands before a text; no character
 CHUNK = 1 << 21
@@ -93,7 +93,7 @@ class Packer:
         return self.pack(codes, np.arange(len(grams)) * self.order)
 
 
-def _languages(docs: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
+def _languages(docs: pa.Table | pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
     langs = docs.column("lang").to_pylist()
     by: dict[str, list[int]] = {}
     for i, lang in enumerate(langs):
@@ -113,36 +113,45 @@ def _packer(texts: list[bytes], order: int) -> Packer:
     return packer
 
 
-def _collect(order: int):
-    def run(key: tuple, docs: pa.Table, labels: pa.Table) -> pa.Table:
-        """Distinct n-grams of a block with ``v``: the block, and counts in the two halves of its trusted text."""
-        block = key[0].as_py()
-        trusted = dict(zip(labels.column("doc_id").to_pylist(), labels.column("fold").to_pylist()))
-        ids, column = docs.column("doc_id").to_pylist(), docs.column("text")
-        out: dict[str, list] = {"lang": [], "gram": [], "v": []}
+def _distinct(texts: list[bytes], fold: np.ndarray, order: int) -> tuple[list[str], np.ndarray]:
+    """Distinct n-grams of texts, and how often each is in texts of every fold."""
+    packer = _packer(texts, order)
+    keys, counts = [], []
+    for codes, starts, owner in _runs(texts, order):
+        k, c = np.unique(packer.pack(codes, starts) * 3 + fold[owner], return_counts=True)
+        keys.append(k)
+        counts.append(c)
+    if not keys:
+        return [], np.zeros((0, 3), np.int64)
+    both, place = np.unique(np.concatenate(keys), return_inverse=True)
+    grams, at = np.unique(both // 3, return_inverse=True)
+    out = np.zeros((len(grams), 3), np.int64)
+    out[at, both % 3] = np.bincount(place, np.concatenate(counts), len(both))
+    return packer.unpack(grams), out
+
+
+def _counter(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct n-grams of a batch with their counts in the two halves of its trusted text; zero where it is not trusted."""
+        for batch in batches:
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            for lang, rows in _languages(batch):
+                grams, counts = _distinct([batch.column("text")[int(i)].as_py() or b"" for i in rows], fold[rows], order)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts[:, 1]), pa.array(counts[:, 2])],
+                    names=["lang", "gram", "c1", "c2"])
+    return run
+
+
+def _ask(order: int):
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        """Distinct n-grams of a block."""
+        out: list[pa.Table] = []
         for lang, rows in _languages(docs):
-            texts = [column[int(i)].as_py() or b"" for i in rows]
-            fold = np.array([trusted.get(ids[i], -1) + 1 for i in rows], np.int64)  # 0: not trusted
-            packer = _packer(texts, order)
-            keys, counts = [], []
-            for codes, starts, owner in _runs(texts, order):
-                k, c = np.unique(packer.pack(codes, starts) * 3 + fold[owner], return_counts=True)
-                keys.append(k)
-                counts.append(c)
-            if not keys:
-                continue
-            both, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(place, np.concatenate(counts), len(both)).astype(np.int64)
-            grams, at = np.unique(both // 3, return_inverse=True)
-            v = np.zeros((len(grams), 3), np.int64)
-            v[:, 0] = block
-            for f in (1, 2):
-                v[at[both % 3 == f], f] = total[both % 3 == f]
-            out["lang"].append(pa.array([lang] * len(grams), pa.string()))
-            out["gram"].append(pa.array(packer.unpack(grams), pa.string()))
-            out["v"].append(pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 3, dtype=np.int32)), pa.array(v.ravel())))
-        types = {"lang": pa.string(), "gram": pa.string(), "v": pa.list_(pa.int64())}
-        return pa.table({n: pa.chunked_array(x, types[n]) for n, x in out.items()})
+            grams, _ = _distinct([docs.column("text")[int(i)].as_py() or b"" for i in rows], np.zeros(len(rows), np.int64), order)
+            out.append(pa.table({"block": pa.array([key[0].as_py()] * len(grams), pa.int64()), "lang": pa.array([lang] * len(grams), pa.string()),
+                                 "gram": pa.array(grams, pa.string())}))
+        return pa.concat_tables(out)
     return run
 
 
@@ -193,7 +202,7 @@ def probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
     """
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy("model", "lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        tables[k] = stored(tables[k + 1].groupBy("model", "lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
     out = asked.withColumn("p", F.lit(None).cast("double"))
     symbols = tables[1].groupBy("model", "lang").agg((F.count(F.lit(1)) + 1).alias("symbols"))
     out = out.join(symbols, ["model", "lang"], "left").withColumn("p", 1 / F.coalesce(F.col("symbols"), F.lit(1))).drop("symbols")
@@ -214,27 +223,35 @@ def probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars: int = 6_000_000) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars: int = 6_000_000, most_broadcast: int = 2_000_000) -> DataFrame:
     """``doc_id, key, lang, n, s0, s1, s2``: of every row its digest, code points, and negative log probabilities by the models.
 
-    ``labels``: ``doc_id, fold`` of trusted documents. The block is by ``doc_id``, by text where that is null.
+    ``labels``: ``doc_id, fold`` of trusted documents; they are broadcast where there are at most ``most_broadcast``, and joined by a shuffle
+    otherwise. Blocks are by id and text.
     """
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text"),
-                       F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).alias("block"))
-    marks = labels.select("doc_id", "fold", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
-    asked = rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_collect(order), "lang STRING, gram STRING, v ARRAY<BIGINT>")
-    # one exchange of the blocks' n-grams for sums and for answers; its rows are alike for both, so that it runs once
-    asked = asked.repartition("lang", "gram")
-    sums = asked.groupBy("lang", "gram").agg(F.sum(F.get("v", F.lit(1))).alias("c1"), F.sum(F.get("v", F.lit(2))).alias("c2"))
+    text = F.col("text").cast("binary").alias("text")
+    language = F.coalesce("lang", F.lit("")).alias("lang")
+    marks = labels.select(F.col("doc_id").alias("mark"), (F.col("fold") + 1).alias("fold"))
+    if labels.count() <= most_broadcast:
+        marks = F.broadcast(marks)
+    marked = docs.join(marks, docs["doc_id"] == marks["mark"], "left").select(
+        language, docs["text"].cast("binary").alias("text"), F.coalesce("fold", F.lit(0)).cast("long").alias("fold"))
+    sums = marked.mapInArrow(_counter(order), "lang STRING, gram STRING, c1 BIGINT, c2 BIGINT").groupBy("lang", "gram").agg(
+        F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
     per_model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), c.alias("c")) for m, c in zip(MODELS, (F.col("c1") + F.col("c2"), F.col("c1"), F.col("c2")))]))
-    grams = sums.select("lang", "gram", per_model.alias("m")).select("m.model", "lang", "gram", "m.c")
+    grams = stored(sums.select("lang", "gram", per_model.alias("m")).select("m.model", "lang", "gram", "m.c"), "ngrams")
     found = probabilities(grams.filter("c > 0"), grams.select("model", "lang", "gram"), order)
-    wide = found.groupBy("lang", "gram").agg(*[F.max(F.when(F.col("model") == m, F.log("p"))).alias(f"p{m}") for m in MODELS])
-    answers = asked.join(wide, ["lang", "gram"]).select(F.get("v", F.lit(0)).alias("block"), "lang", "gram", *[f"p{m}" for m in MODELS])
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"doc_id {types['doc_id']}, key STRING, lang STRING, n BIGINT, " + ", ".join(f"s{m} DOUBLE" for m in MODELS)
+    wide = stored(found.groupBy("lang", "gram").agg(*[F.max(F.when(F.col("model") == m, F.log("p"))).alias(f"p{m}") for m in MODELS]), "ngram-scores")
+
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), language, text,
+                       F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    # the blocks' exchange is the same in both places and runs once
+    asked = rows.groupBy("block").applyInArrow(_ask(order), "block BIGINT, lang STRING, gram STRING")
+    answers = asked.join(wide, ["lang", "gram"]).select("block", "lang", "gram", *[f"p{m}" for m in MODELS])
+    schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key STRING, lang STRING, n BIGINT, "
+              + ", ".join(f"s{m} DOUBLE" for m in MODELS))
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order), schema)
 
 
@@ -273,7 +290,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
         F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), F.col("lang").alias("kept_lang")).distinct()
     key, lang = fresh(docs, "text_key", "lang_key")
     keyed = docs.withColumn(key, text_key(F.col("text"))).withColumn(lang, F.coalesce("lang", F.lit("")))
-    return keyed.join(verdict, same(keyed, verdict, [("doc_id", "kept_id"), (key, "kept_key"), (lang, "kept_lang")]), "left_semi").select(*docs.columns)
+    out = keyed.join(verdict, same(keyed, verdict, [("doc_id", "kept_id"), (key, "kept_key"), (lang, "kept_lang")]), "left_semi")
+    return out.select(*columns(out, docs.columns))
 
 
 by_value(__name__)

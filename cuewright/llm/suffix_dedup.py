@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.base import by_value, stored, text_key
 
 GRAM = 32
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 POSITION_BITS = 24
 DONE, INDUCE, SINGLE, REPRESENT, REPRESENT_SINGLE = range(5)
 
