@@ -163,7 +163,7 @@ def _score(order: int):
         count, sums = np.zeros(n_docs, np.int64), np.zeros((n_docs, len(MODELS)))
         lang_of = np.array(scores.column("lang").to_pylist(), object)
         grams = scores.column("gram")
-        logs = np.stack([scores.column(f"p{m}").to_numpy() for m in MODELS], 1) if scores.num_rows else np.zeros((0, len(MODELS)))
+        logs = np.stack([scores.column(f"p{m}").to_numpy().astype(float) for m in MODELS], 1) if scores.num_rows else np.zeros((0, len(MODELS)))
         for lang, rows in _languages(docs):
             texts = [column[int(i)].as_py() or b"" for i in rows]
             packer = _packer(texts, order)
@@ -223,7 +223,7 @@ def probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars: int = 6_000_000, most_broadcast: int = 2_000_000) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars: int = 32_000_000, most_broadcast: int = 2_000_000) -> DataFrame:
     """``doc_id, key, lang, n, s0, s1, s2``: of every row its digest, code points, and negative log probabilities by the models.
 
     ``labels``: ``doc_id, fold`` of trusted documents; they are broadcast where there are at most ``most_broadcast``, and joined by a shuffle
@@ -241,7 +241,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars
     per_model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), c.alias("c")) for m, c in zip(MODELS, (F.col("c1") + F.col("c2"), F.col("c1"), F.col("c2")))]))
     grams = stored(sums.select("lang", "gram", per_model.alias("m")).select("m.model", "lang", "gram", "m.c"), "ngrams")
     found = probabilities(grams.filter("c > 0"), grams.select("model", "lang", "gram"), order)
-    wide = stored(found.groupBy("lang", "gram").agg(*[F.max(F.when(F.col("model") == m, F.log("p"))).alias(f"p{m}") for m in MODELS]), "ngram-scores")
+    wide = stored(found.groupBy("lang", "gram").agg(*[F.max(F.when(F.col("model") == m, F.log("p"))).cast("float").alias(f"p{m}") for m in MODELS]), "ngram-scores")
 
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
@@ -256,7 +256,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars
 
 
 def judge(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, order: int = 4, quantile: float = 0.99, prior: int = 100,
-          least: int = 20, block_chars: int = 6_000_000) -> DataFrame:
+          least: int = 20, block_chars: int = 32_000_000) -> DataFrame:
     """``doc_id, key, lang, n_chars, perplexity, score, threshold, kept`` of every row of ``docs``.
 
     ``labels``: ``doc_id`` and whatever ``trusted`` (by default: quality 1, not toxic) looks at. ``score`` is the mean negative log probability of a

@@ -68,13 +68,13 @@ def test_perplexities(spark):
     marks = spark.createDataFrame([(i, i % 2) for i in range(len(good))], "doc_id BIGINT, fold INT")
     folded = [t.replace("\x00", "␀").replace("1999", "0000") for t in good]
     models = [plain_model(x, 4) for x in (folded, folded[0::2], folded[1::2])]
-    for chars in (6_000_000, 20):
+    for chars in (32_000_000, 20):
         for r in perplexities(documents(spark, rows), marks, block_chars=chars).collect():
             text = next(t for i, t, *_ in rows if i == r.doc_id).replace("\x00", "␀").replace("1999", "0000")
             padded = PAD * 3 + text
             assert r.n == len(text)
             for m, p in enumerate(models):
-                assert r[f"s{m}"] == pytest.approx(-sum(math.log(p(padded[i:i + 4])) for i in range(len(text))), rel=1e-9, abs=1e-9)
+                assert r[f"s{m}"] == pytest.approx(-sum(math.log(p(padded[i:i + 4])) for i in range(len(text))), rel=1e-5, abs=1e-9)
 
 
 def test_labelled_documents(spark):
