@@ -25,6 +25,8 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
+        # the tables are files of one row group, which one task would read
+        "spark.cuewright.inputPartitions": cpus,
     })
     spark.sparkContext.setLogLevel("ERROR")
     # start the executors' threads and compile the scan before timing

@@ -38,16 +38,21 @@ WORDS_TO_REVIEW = "the"
 REPLACEMENTS = ["one", "two", "three"]
 
 
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table; dealt out only where the session's caller names a number of partitions."""
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"), spark.conf.get("spark.cuewright.inputPartitions", None))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/documents.parquet"))
+    return _read(spark, sf, "documents")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/pages.parquet"))
+    return _read(spark, sf, "pages")
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/conversations.parquet"))
+    return _read(spark, sf, "conversations")
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,14 +124,15 @@ def vtt_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ass_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document as an ASS file; even events carry a tag, odd ones are comments."""
+    """Each document as an ASS file; even events carry a tag, odd ones are comments, every fourth is written as SSA does."""
     def event(line: Column, i: Column) -> Column:
         second = i.cast("bigint")
         time = lambda s: F.format_string("%d:%02d:%02d.50", F.floor(s / 3600) % 10, F.floor(s / 60) % 60, s % 60)
         kind = F.when(i % 2 == 0, "Dialogue").otherwise("Comment")
         tag = F.when(i % 2 == 0, "{\\an8}").otherwise("")
-        return F.concat(kind, F.lit(": 0,"), time(second), F.lit(","), time(second + 1), F.lit(",Default,,0,0,0,,"), tag, line,
-                        F.lit("\\Nend"))
+        ssa = i % 4 == 3
+        return F.concat(kind, F.when(ssa, ": Marked=0,").otherwise(": 0,"), time(second), F.lit(","), time(second + 1),
+                        F.when(ssa, ",Default,,0000,0000,0000,,").otherwise(",Default,,0,0,0,,"), tag, line, F.lit("\\Nend"))
     head = "[Script Info]\nTitle: x\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
     return _files(documents(spark, sf), ".ass", F.concat(F.lit(head), F.array_join(F.transform(_text_lines(), event), "\n")))
 

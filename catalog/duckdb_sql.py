@@ -46,7 +46,8 @@ CUES = f"""SELECT 'doc-' || doc_id || '.srt' AS path, 'srt' AS format, pos, CAST
   {_time('pos * 2', ',')} AS start, {_time('pos * 2 + 1', ',')} AS "end",
   text || ' ' || {_PHRASES}[1 + (doc_id * 7 + pos) % {len(D.PHRASES)}] AS text FROM ({LINES})"""
 
-# Rules in RE2: no look-around, and \b knows ASCII only.
+# The rules of ``cuewright/rules`` in RE2, which has no look-around and whose \b knows ASCII only; so they stand
+# here once more, without their word boundaries, which are added below.
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
 S = f"[{WS}]"
@@ -222,8 +223,8 @@ _CLEANED = f"""SELECT stem || '.srt' AS path, 'srt' AS format, coalesce(content,
   FROM ({_DOC_PATHS}) LEFT JOIN ({_srt_content(f'SELECT * FROM ({_PLANTED}) WHERE NOT {_HIT}')}) ON path = stem || '.srt'"""
 SQL["clean_srt_files"] = f"SELECT *, 'out/' || regexp_extract(path, '([^/]*)\\.srt$', 1) || '_clean.srt' AS out_path FROM ({_CLEANED})"
 SQL["clean_stream"] = f"SELECT {BASE} AS name, content FROM ({_CLEANED})"
-SQL["written_files"] = f"""SELECT regexp_extract(path, '([^/]*)\\.srt$', 1) || '_clean.srt' AS name, 'srt' AS format, content
-  FROM ({_srt_content(SRT_CUES)})"""
+SQL["written_files"] = f"""SELECT regexp_extract(stem, '([^/]*)$', 1) || '_clean.srt' AS name, 'srt' AS format, coalesce(content, '') AS content
+  FROM ({_DOC_PATHS}) LEFT JOIN ({_srt_content(f"SELECT * FROM ({SRT_CUES}) WHERE path NOT LIKE '%7.srt'")}) ON path = stem || '.srt'"""
 SQL["output_names"] = """SELECT 'in/' || source || '/v1.' || doc_id || '.srt' AS path,
   'in/' || source || '/v1.' || doc_id || '_clean.srt' AS out_path FROM documents"""
 SQL["ad_report"] = f"""WITH f AS ({FLAGGED}), last AS (SELECT path, max(pos) AS pos FROM f GROUP BY path)
@@ -257,6 +258,8 @@ SQL["union_datasets"] = _BOTH
 SQL["class_counts"] = f"SELECT label, count(*) AS n FROM ({_BOTH}) GROUP BY label"
 SQL["shuffle_samples"] = _BOTH
 SQL["stratified_split_exact"] = f"SELECT label, count(*) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS n_test FROM ({_BOTH}) GROUP BY label"
+SQL["stratified_split"] = f"""SELECT clean_text, label, CAST('0x' || substr(md5('42|' || clean_text), 1, 10) AS BIGINT) < {int(0.2 * 2**40)} AS is_test
+  FROM ({_BOTH})"""
 
 # ---- classifier
 

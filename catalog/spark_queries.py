@@ -13,7 +13,7 @@ from cuewright.functions.web import absolute_url, url_filename
 from cuewright.ml import evaluate, features, model, search
 from cuewright.operators import actions, dataset, detect, render, stats
 from cuewright.plans.clean import clean_files, clean_files_by_model, flagged_lines
-from cuewright.session import shared_folder
+from cuewright.session import shared_folder, stored
 from cuewright.sinks import files as sink
 from cuewright.sources import archives, corpus, pages
 from cuewright.streaming import landing
@@ -163,7 +163,8 @@ def dropped_chunks(spark, sf):
 
 @query
 def archive_members(spark, sf):
-    members = archives.first_of_name(archives.unpack(archives.in_folder(D.archives(spark, sf), "farsi")))
+    unpacked = stored(archives.unpack(archives.in_folder(D.archives(spark, sf), "farsi")), "members")
+    members = archives.first_of_name(unpacked)
     return members.select("archive", "ordinal", "name", F.col("content").cast("string").alias("content"))
 
 
@@ -354,10 +355,14 @@ def ad_report_console(spark, sf):
 def written_files(spark, sf):
     """Cleaned files written one by one, and read again."""
     folder = shared_folder(spark, "files")
-    parts = sink.with_output_path(render.rebuild(corpus.srt_cue_table(D.srt_files(spark, sf)), cues_per_part=8), f"file://{folder}" if folder.startswith("/") else folder)
-    sink.write_files(parts).write.format("noop").mode("overwrite").save()
-    files = corpus.read_corpus(spark, folder, "*.srt")
-    return files.select(T.base_name(F.col("path")).alias("name"), "format", "content")
+    given = D.srt_files(spark, sf)
+    kept = corpus.srt_cue_table(given).filter("path NOT LIKE '%7.srt'")  # files without any cue are written too
+    parts = sink.with_output_path(render.rebuild(kept, given, cues_per_part=8), folder)
+    written = stored(sink.write_files(parts, sink.with_output_path(given.select("path"), folder)), "written")
+    read = corpus.read_corpus(spark, folder, "*.srt").select(T.base_name(F.col("path")).alias("name"), "content")
+    # Spark's reader passes over files of no bytes
+    names = written.select(T.base_name(F.col("out_path")).alias("name"), F.lit("srt").alias("format"))
+    return names.join(read, "name", "left").select("name", "format", F.coalesce("content", F.lit("")).alias("content"))
 
 
 @query
@@ -372,8 +377,7 @@ def dataset_csv(spark, sf):
 def clean_stream(spark, sf):
     """SRT files cleaned as they arrive in a folder."""
     folder = shared_folder(spark, "stream")
-    target = f"file://{folder}" if folder.startswith("/") else folder
-    given = sink.with_output_path(D.srt_files(spark, sf, planted=True), f"{target}/in", "")
+    given = sink.with_output_path(D.srt_files(spark, sf, planted=True), f"{folder}/in", "")
     sink.write_files(given).write.format("noop").mode("overwrite").save()
     stream = landing.clean_stream(landing.landing_files(spark, f"{folder}/in", "*.srt"), f"{folder}/out", f"{folder}/state")
     stream.awaitTermination()
@@ -483,7 +487,7 @@ def tfidf_sublinear(spark, sf):
 @query
 def train_score(spark, sf):
     samples = dataset.stratified_split(D.samples(spark, sf))
-    fitted = model.train(samples.filter("NOT is_test").select("clean_text", "label"), maxIter=100)
+    fitted = model.train(samples.filter("NOT is_test").select("clean_text", "label"))
     return model.score(samples.filter("is_test").select("clean_text", "label"), fitted)
 
 
@@ -491,7 +495,7 @@ def train_score(spark, sf):
 def detect_model(spark, sf):
     """Train on labelled documents, store, load, and flag the lines of all documents."""
     folder = shared_folder(spark, "model")
-    model.save_model(model.train(D.samples(spark, sf), maxIter=100), folder, 0.6)
+    model.save_model(model.train(D.samples(spark, sf)), folder, 0.6)
     fitted, threshold = model.load_model(folder)
     return detect.detect_model(D.lines(spark, sf), fitted, threshold)
 
@@ -499,14 +503,13 @@ def detect_model(spark, sf):
 @query
 def clean_by_model(spark, sf):
     """Cleaned files by a model trained on rule hits."""
-    fitted = model.train(_both(spark, sf), vocabSize=2000, maxIter=50)
+    fitted = model.train(_both(spark, sf))
     return clean_files_by_model(D.srt_files(spark, sf, planted=True), fitted, 0.5)
 
 
 @query
 def grid_search(spark, sf):
-    _, table = search.grid_search(D.samples(spark, sf), {"C": [1.0, 5.0], "ngrams": [(3, 3), (3, 4)]}, folds=2,
-                                  vocabSize=1000, maxIter=20)
+    _, table = search.grid_search(D.samples(spark, sf), {"C": [1.0, 5.0], "ngrams": [(3, 3), (3, 4)]})
     return table
 
 

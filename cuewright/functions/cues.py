@@ -15,6 +15,7 @@ from .text import base_name, strip
 # Line ends other than "\n" ("\r" is gone once a file is read).
 _OTHER_LINE_ENDS = r"[\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
 
+# Fixed values from here to ``SEPARATORS``: digits, time lines and file layout of the formats.
 # Digits beyond the decimal ones (superscripts, circled and the like) also make an index line.
 _DIGITS = (
     r"\p{Nd}\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
@@ -169,7 +170,24 @@ def vtt_piece(c: Column) -> Column:
 
 
 def ass_piece(c: Column) -> Column:
-    return F.concat(c["raw"], F.lit("\n"))
+    """An event line made anew from its fields: the layer is a number (an SSA mark is layer 0), times have centiseconds,
+    margins no leading zeros. A line that is not of ten fields gets the defaults of those it lacks."""
+    def event(x: Column) -> Column:
+        field = lambda n: strip(F.coalesce(F.get(x["fields"], F.lit(n)), F.lit("")))
+        number = lambda n: F.coalesce(field(n).try_cast("bigint"), F.lit(0)).cast("string")
+        style = F.coalesce(F.nullif(field(3), F.lit("")), F.lit("Default"))
+        return F.concat(
+            x["kind"], F.lit(": "), F.concat_ws(",", number(0), ass_time(ass_time_ms(field(1))), ass_time(ass_time_ms(field(2))), style, field(4),
+                                                number(5), number(6), number(7), field(8)),
+            F.lit(","), F.coalesce(F.get(x["fields"], F.lit(9)), F.lit("")), F.lit("\n"))
+    parts = F.struct(F.regexp_extract(c["raw"], r"\A([A-Za-z]+):", 1).alias("kind"),
+                     F.split(strip(F.regexp_replace(c["raw"], r"\A[A-Za-z]+:", "")), ",", 10).alias("fields"))
+    return F.transform(F.array(parts), event)[0]
+
+
+def ass_time(ms: Column) -> Column:
+    """``h:mm:ss.cc``."""
+    return F.format_string("%d:%02d:%02d.%02d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, F.floor(ms / 10) % 100)
 
 
 def cue_piece(fmt: Column, c: Column) -> Column:

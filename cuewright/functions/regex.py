@@ -39,6 +39,7 @@ BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _TLD = "(?:com|ir|org|net|in|co|us|me|app|tv|xyz|info|online)"
 _LABEL, _ALNUM = "[A-Za-z0-9-]", "[A-Za-z0-9]"
 _LOCAL, _LOCAL_WORD, _LOCAL_OTHER = "[A-Za-z0-9._%+-]", "[A-Za-z0-9_]", "[.%+-]"
+# The keys are two rules of ``rules/full.txt`` as they stand there.
 GUARDED = {
     r"\b(?!www\.)([A-Za-z0-9-]+\.)+(com|ir|org|net|in|co|us|me|app|tv|xyz|info|online)\b": (
         rf"\.{_TLD}",

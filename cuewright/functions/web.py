@@ -18,10 +18,28 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(pattern), unescape(value))
 
 
+# Named entities of titles and labels, ``&amp;`` last.
+_NAMED = (("&nbsp;", "\u00A0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"),
+          ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"))
+_NUMBERED = "(?i)&#(?:[0-9]{1,7}|x[0-9a-f]{1,6});"
+
+
 def unescape(c: Column) -> Column:
-    """The entities that occur in links and titles; ``&amp;`` last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
+    """Numbered entities, and the named ones that occur in links and titles."""
+    def char(entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "(?i)&#x?([0-9a-f]+);", 1)
+        number = F.when(entity.rlike("(?i)^&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\uFFFD")
+
+    def resolved(x: Column) -> Column:
+        gaps, found = x["gaps"], x["found"]
+        return F.array_join(F.transform(gaps, lambda g, i: F.when(i < F.size(found), F.concat(g, char(F.get(found, i)))).otherwise(g)), "")
+
+    both = F.struct(F.split(c, _NUMBERED, -1).alias("gaps"), F.regexp_extract_all(c, F.lit(_NUMBERED), F.lit(0)).alias("found"))
+    c = F.when(c.contains("&#"), F.transform(F.array(both), resolved)[0]).otherwise(c)
+    for entity, char_ in _NAMED:
+        c = F.replace(c, F.lit(entity), F.lit(char_))
     return c
 
 
@@ -30,8 +48,8 @@ def has_class(tag: Column, name: str) -> Column:
 
 
 def inner_text(c: Column) -> Column:
-    """Text without tags, trimmed."""
-    return strip(unescape(F.regexp_replace(c, r"<[^>]*>", "")))
+    """Text without tags: each run of text between tags trimmed, then put together."""
+    return F.array_join(F.transform(F.split(c, r"<[^>]*>", -1), lambda node: strip(unescape(node))), "")
 
 
 def absolute_url(base: Column, href: Column) -> Column:

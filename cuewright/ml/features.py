@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ngrams import char_ngrams, piece_ngrams, prepare, text_pieces
+from ..session import stored
 
 
 def gram_rows(texts: DataFrame, lo: int, hi: int, keep: list[str] = (), column: str = "clean_text") -> DataFrame:
@@ -42,15 +43,15 @@ def tfidf_rows(texts: DataFrame, key: str, lo: int = 3, hi: int = 4, sublinear:
                column: str = "clean_text") -> DataFrame:
     """``(key, gram, weight)`` over the whole vocabulary, whatever its size.
 
-    Nothing passes the driver but the number of texts. Counting per (key, gram)
-    spreads over both; the document frequencies join on the gram, where a hot gram
-    has one row per text and skewed partitions are split by AQE.
+    Nothing passes the driver but the number of texts. The counts of (key, gram) are made once and
+    stored; so are the document frequencies, which makes their join one of two plain shuffles: a gram of
+    every text is a large partition there, and Spark splits it.
     """
-    counts = gram_rows(texts, lo, hi, [key], column).groupBy(key, "gram").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("gram").agg(F.count("*").alias("df"))
+    counts = stored(gram_rows(texts, lo, hi, [key], column).groupBy(key, "gram").agg(F.count("*").alias("tf")), "gram-counts")
+    df = stored(counts.groupBy("gram").agg(F.count("*").alias("df")), "gram-frequencies")
     n = texts.count()
     tf = F.lit(1.0) + F.log("tf") if sublinear else F.col("tf").cast("double")
-    weighted = counts.join(df, "gram").select(key, "gram", (tf * idf(F.lit(n), F.col("df"))).alias("w"))
+    weighted = stored(counts.join(df, "gram").select(key, "gram", (tf * idf(F.lit(n), F.col("df"))).alias("w")), "gram-weights")
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -96,14 +97,15 @@ class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return dataset.withColumn(self.getOutputCol(), sublinear(self.getInputCol()))
 
 
-def fit_tfidf(texts: DataFrame, lo: int = 3, hi: int = 4, vocab_size: int = 10_000, sublinear: bool = False,
+def fit_tfidf(texts: DataFrame, lo: int = 3, hi: int = 4, vocab_size: int | None = 10_000, sublinear: bool = False,
               column: str = "clean_text") -> PipelineModel:
     """Fitted stages from ``clean_text`` to ``features``.
 
-    The vocabulary is counted as a distributed aggregation and only its ``vocab_size``
-    top grams come to the driver; their document frequencies are MLlib's IDF.
+    The vocabulary is counted as a distributed aggregation and its ``vocab_size`` top grams come
+    to the driver, all of them if that is None; their document frequencies are MLlib's IDF.
     """
-    vocab = [r.gram for r in vocabulary(texts, vocab_size, lo, hi, column).collect()]
+    counted = gram_counts(texts, lo, hi, column).orderBy(F.desc("n"), "gram")
+    vocab = [r.gram for r in (counted if vocab_size is None else counted.limit(vocab_size)).collect()]
     if not vocab:
         raise ValueError(f"no text has an n-gram of {lo} characters")
     stages = [

@@ -12,18 +12,16 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .features import fit_tfidf
 
 # Settings of the two presets and the threshold used when none is stored.
 PRESETS = {
     "best": {"C": 5.0, "lo": 3, "hi": 4, "vocabSize": 10_000, "sublinear": False},
-    "plain": {"C": 1.0, "lo": 3, "hi": 6, "vocabSize": 1 << 18, "sublinear": False},
+    "plain": {"C": 1.0, "lo": 3, "hi": 6, "vocabSize": 0, "sublinear": False},
 }
 DEFAULT_THRESHOLD = 0.5
 
-# Training rows that keep one task of an iteration busy.
-_ROWS_PER_TASK = 1_000
-
 
 class AdClassifier(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
     """n-gram TF-IDF and logistic regression with balanced class weights.
@@ -37,29 +35,30 @@ class AdClassifier(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsW
     penalty = Param(Params._dummy(), "penalty", "l2 or l1", TypeConverters.toString)
     lo = Param(Params._dummy(), "lo", "shortest n-gram", TypeConverters.toInt)
     hi = Param(Params._dummy(), "hi", "longest n-gram", TypeConverters.toInt)
-    vocabSize = Param(Params._dummy(), "vocabSize", "most frequent grams kept", TypeConverters.toInt)
+    vocabSize = Param(Params._dummy(), "vocabSize", "most frequent grams kept; 0 for all", TypeConverters.toInt)
     sublinear = Param(Params._dummy(), "sublinear", "1 + ln(tf)", TypeConverters.toBoolean)
     maxIter = Param(Params._dummy(), "maxIter", "iterations at most", TypeConverters.toInt)
+    maxRows = Param(Params._dummy(), "maxRows", "labelled rows to train on at most, taken by their hash", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, C=5.0, penalty="l2", lo=3, hi=4, vocabSize=10_000, sublinear=False, maxIter=500, labelCol="label"):
+    def __init__(self, C=5.0, penalty="l2", lo=3, hi=4, vocabSize=10_000, sublinear=False, maxIter=500, maxRows=200_000, labelCol="label"):
         super().__init__()
-        self._setDefault(C=5.0, penalty="l2", lo=3, hi=4, vocabSize=10_000, sublinear=False, maxIter=500, labelCol="label")
+        self._setDefault(C=5.0, penalty="l2", lo=3, hi=4, vocabSize=10_000, sublinear=False, maxIter=500, maxRows=200_000, labelCol="label")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         get = self.getOrDefault
         label = get("labelCol")
         samples = dataset.select("clean_text", F.col(label).cast("double").alias(label))
-        tfidf = fit_tfidf(samples, get("lo"), get("hi"), get("vocabSize"), get("sublinear"))
+        # written once: the vocabulary, its frequencies, the class sizes and the features are all made of these rows
+        samples = stored(samples.orderBy(F.xxhash64("clean_text", label), "clean_text").limit(get("maxRows")), "training")
+        tfidf = fit_tfidf(samples, get("lo"), get("hi"), get("vocabSize") or None, get("sublinear"))
         counts = {r[label]: r["n"] for r in samples.groupBy(label).agg(F.count("*").alias("n")).collect()}
         n = sum(counts.values())
         weight = F.lit(None).cast("double")
         for value, of_class in counts.items():
             weight = F.when(F.col(label) == value, n / (len(counts) * of_class)).otherwise(weight)
         features = tfidf.transform(samples).select("features", label, weight.alias("weight"))
-        # an iteration is one short job: few rows are not worth many tasks
-        features = features.coalesce(n // _ROWS_PER_TASK + 1)
         # passes over the features repeat for every iteration; blocks lost with an
         # executor are computed again from the samples
         features = features.persist(StorageLevel.MEMORY_AND_DISK)

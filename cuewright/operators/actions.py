@@ -41,6 +41,8 @@ def replace_cues(cues: DataFrame, targets: DataFrame, text: str) -> DataFrame:
 
 def random_text(texts: list[str], seed: int, *key: str) -> Column:
     """A text chosen by a hash of the cue's key: the same again when a task is rerun."""
+    if not texts:
+        raise ValueError("there are no texts to choose from")
     pick = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(len(texts))).cast("int")
     return F.get(F.array(*map(F.lit, texts)), pick)
 
@@ -106,6 +108,8 @@ def clean_batch(batch: DataFrame, action: str, text: str = "", texts: list[str]
     """The same on a marked batch (see ``mark_batch``), inside the file rows: no shuffle at all."""
     if action not in ACTIONS:
         raise ValueError(f"unknown action {action!r}, expected one of {ACTIONS}")
+    if action == "replace_random" and not texts:
+        raise ValueError("there are no texts to choose from")
     cues = F.col("cues")
     if action == "list":
         cues = F.filter(cues, lambda cue: cue["is_ad"])

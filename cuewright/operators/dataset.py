@@ -44,7 +44,9 @@ def stratified_split(df: DataFrame, test_share: float = 0.2, seed: int = 42, exa
     hashes are cut into buckets, whole buckets are taken while they fit, and only
     the bucket on the edge is ranked, so no task sees a whole class.
     """
-    hashed = F.pmod(F.xxhash64("clean_text", F.lit(seed)), F.lit(2**40))
+    # leading digits of a digest that every engine has
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), "clean_text"))
+    hashed = F.conv(F.substring(digest, 1, 10), 16, 10).cast("bigint")
     if not exact:
         return df.withColumn("is_test", hashed < int(test_share * 2**40))
 

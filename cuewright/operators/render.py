@@ -17,16 +17,15 @@ def render_batch(batch: DataFrame) -> DataFrame:
     return batch.select("path", "format", render(F.col("format"), F.col("cues")).alias("content"))
 
 
-def rebuild(cues: DataFrame, files: DataFrame | None = None, cues_per_part: int = CUES_PER_PART) -> DataFrame:
+def rebuild(cues: DataFrame, files: DataFrame, cues_per_part: int = CUES_PER_PART) -> DataFrame:
     """``(path, format, part, content)`` from a flat cue table.
 
     A file's text is its parts in order, joined by the separator of its format (see
     ``join_parts`` and ``write_files``). Parts are cut by position, so that no task
-    gathers a whole file however many cues one path has. With ``files`` (path, format)
-    every file is written, also when all its cues were removed.
+    gathers a whole file however many cues one path has. ``files`` (path, format) names
+    the files, so that one is written also when all its cues were removed.
     """
-    known = cues if files is None else files
-    skeleton = known.select("path", "format").distinct().select(
+    skeleton = files.select("path", "format").distinct().select(
         "path", "format", F.lit(0).alias("part"), F.lit(-1).alias("pos"), file_header(F.col("format")).alias("piece")
     )
     cue = {name: F.col(name) for name in ("cue_index", "start", "end", "text", "raw")}
@@ -45,22 +44,21 @@ def rebuild(cues: DataFrame, files: DataFrame | None = None, cues_per_part: int
     return parts.select("path", "format", "part", F.when(F.col("format") == "ass", joined_ass).otherwise(text).alias("content"))
 
 
-def rebuild_srt(cues: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def rebuild_srt(cues: DataFrame, files: DataFrame) -> DataFrame:
     return _as(cues, files, "srt")
 
 
-def rebuild_vtt(cues: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def rebuild_vtt(cues: DataFrame, files: DataFrame) -> DataFrame:
     return _as(cues, files, "vtt")
 
 
-def rebuild_ass(cues: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def rebuild_ass(cues: DataFrame, files: DataFrame) -> DataFrame:
     """Events in a fresh file with default styles; untouched events keep their tags."""
     return _as(cues, files, "ass")
 
 
-def _as(cues: DataFrame, files: DataFrame | None, fmt: str) -> DataFrame:
-    files = None if files is None else files.withColumn("format", F.lit(fmt))
-    return rebuild(cues.withColumn("format", F.lit(fmt)), files)
+def _as(cues: DataFrame, files: DataFrame, fmt: str) -> DataFrame:
+    return rebuild(cues.withColumn("format", F.lit(fmt)), files.withColumn("format", F.lit(fmt)))
 
 
 def join_parts(parts: DataFrame) -> DataFrame:
@@ -83,6 +81,7 @@ def ad_report(flagged: DataFrame, style: str = "export") -> DataFrame:
     """
     cue_range = time_range(F.col("start"), F.col("end"))
     file = base_name(F.col("path")).alias("file")
+    # The wording of both reports.
     if style == "console":
         head = F.concat("file", F.lit(": block "), "cue_index", F.lit(" ["), cue_range, F.lit("]"))
         body = F.concat(F.lit("    "), "text", F.lit("\n"))

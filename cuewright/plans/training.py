@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ml.evaluate import classification_report, confusion_matrix, roc_auc, threshold_for_recall
 from ..ml.model import at_threshold, save_model, score, train
 from ..operators.dataset import build_dataset, class_counts, stratified_split, union_datasets
-from ..session import shared_folder
+from ..session import shared_folder, stored
 
 
 @dataclass
@@ -44,7 +43,7 @@ def train_and_evaluate(samples: DataFrame, preset: str = "best", test_share: flo
     stratified_split(samples, test_share, seed).write.parquet(folder)
     split = spark.read.parquet(folder)
     model = train(split.filter("NOT is_test"), preset, **settings)
-    scored = score(split.filter("is_test"), model).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = stored(score(split.filter("is_test"), model), "scored")
     tuned = threshold_for_recall(scored, recall)
     best = tuned.first()
     threshold = best.threshold if best else 0.5

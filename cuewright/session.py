@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,9 +16,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # file texts are wide rows: small batches between the JVM and Python
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
-    # Parsing and rule search cost far more than reading: cut scans into small splits,
-    # and let many small files share one.
-    "spark.sql.files.maxPartitionBytes": "32m",
+    # the caller may ask for other splits; many small files share one
+    "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.files.openCostInBytes": "1m",
     # the parsers are large expressions; without call sites they are built twice as fast
     "spark.sql.dataFrameQueryContext.enabled": "false",
@@ -37,20 +36,28 @@ def build_session(name: str = "cuewright", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local run, a test) a temporary folder stands in.
+    Without that setting a local session gets a temporary folder; on a cluster it is an error, since every executor would
+    write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="cuewright-")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def spread(df):
-    """Rows over all cores where the input has fewer files than there are cores.
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once to the shared folder and read again: what is read later needs no task that ran before."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    A file of one row group is read by one task, and the text work would stay in
-    that task. With more files than cores, as with any large input, this is no shuffle.
+
+def spread(df: DataFrame, partitions: int | str | None = None) -> DataFrame:
+    """Rows dealt out to as many partitions as the caller asks for; without a number nothing is done.
+
+    The reader splits large inputs by itself. Only an input of few row groups, such as a small test file, gains from this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # the JVM's array: its length is asked for, the names are not brought over
-    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+    return df.repartition(int(partitions)) if partitions else df

@@ -49,9 +49,11 @@ def _writer():
         the loss of an executor replaces the file with the same text.
         """
         import uuid
+        from urllib.parse import unquote, urlsplit
 
         from pyarrow import fs
 
+        systems: dict = {}  # one for each scheme and host
         filesystem = target = temporary = stream = None
         written = 0
 
@@ -67,10 +69,12 @@ def _writer():
                     if stream is not None:
                         yield finish()
                     uri, written = row.out_path, 0
-                    if uri.startswith(("/", "file:")):
-                        filesystem, target = fs.LocalFileSystem(), uri.removeprefix("file:").replace("//", "/")
-                    else:
-                        filesystem, target = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+                    uri_quoted = quote(uri, safe="/:@")
+                    place = urlsplit(uri_quoted)
+                    root = f"{place.scheme or 'file'}://{place.netloc}"
+                    if root not in systems:
+                        systems[root] = fs.LocalFileSystem() if root == "file://" else fs.FileSystem.from_uri(f"{root}/")[0]
+                    filesystem, target = systems[root], unquote(place.path)
                     folder, _, name = target.rpartition("/")
                     if isinstance(filesystem, fs.LocalFileSystem):
                         filesystem.create_dir(folder)
@@ -85,20 +89,24 @@ def _writer():
     return write_batches
 
 
-def write_files(parts: DataFrame) -> DataFrame:
+def write_files(parts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Write ``(out_path, format, part, content)`` rows, one file per output path.
 
     Returns what was written (an action on the result does the work). The parts of a
-    file are sorted to one task and streamed through it, never held together. A
-    ``part`` column is optional. Fails before writing if two inputs share an output.
+    file are sorted to one task and streamed through it, never held together; without a
+    ``part`` column a row is a file, and no row moves. Paths without a scheme are of the cluster's default
+    file system. Fails before writing if two inputs share an output; ``names`` (path, out_path) is looked at
+    for that, where it is cheaper to compute than the contents.
     """
-    clash = duplicate_outputs(parts).limit(5).collect()
+    clash = duplicate_outputs((names if names is not None else parts).select("path", "out_path")).limit(5).collect()
     if clash:
         raise ValueError("several inputs for one output path: " + ", ".join(r.out_path for r in clash))
-    if "part" not in parts.columns:
-        parts = parts.withColumn("part", F.lit(0))
-    ordered = parts.select("out_path", "format", "part", "content").repartition("out_path").sortWithinPartitions("out_path", "part")
-    return ordered.mapInPandas(_writer(), "out_path STRING, n_bytes BIGINT")
+    default = parts.sparkSession.sparkContext.getConf().get("spark.hadoop.fs.defaultFS", "file://").rstrip("/")
+    rooted = F.when(F.col("out_path").startswith("/"), F.concat(F.lit(default), "out_path")).otherwise(F.col("out_path"))
+    rows = parts.select(rooted.alias("out_path"), "format", *(["part"] if "part" in parts.columns else []), "content")
+    if "part" in parts.columns:
+        rows = rows.repartition("out_path").sortWithinPartitions("out_path", "part").drop("part")
+    return rows.mapInPandas(_writer(), "out_path STRING, n_bytes BIGINT")
 
 
 def write_report(report: DataFrame, path: str) -> None:

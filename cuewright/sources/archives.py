@@ -53,14 +53,13 @@ def unpack(archives: DataFrame) -> DataFrame:
 def first_of_name(members: DataFrame) -> DataFrame:
     """The first member of each base name, by archive path and place in the archive.
 
-    ``min_by`` is combined before the shuffle: a name found in every archive
-    leaves one row per task, not one group in one task.
+    Only names and places are compared; a name found in every archive leaves one row
+    per task. Then the members at those places are taken, so pass members that are stored
+    (see ``stored``) or cheap: they are read twice.
     """
-    rank = F.struct("archive", "ordinal")
-    kept = members.filter(F.col("error").isNull()).groupBy("name").agg(
-        F.min_by(F.struct("archive", "ordinal", "content"), rank).alias("m")
-    )
-    return kept.select("m.archive", "m.ordinal", "name", "m.content")
+    place = F.struct("archive", "ordinal")
+    first = members.filter(F.col("error").isNull()).groupBy("name").agg(F.min(place).alias("place")).select("place.*", F.lit(True).alias("first"))
+    return members.join(first, ["archive", "ordinal"], "left_semi").select("archive", "ordinal", "name", "content")
 
 
 def bad_archives(members: DataFrame) -> DataFrame:

@@ -29,16 +29,20 @@ def read_corpus(spark: SparkSession, path: str | list[str], glob: str | None = N
                 recursive: bool = False, strip_bom: bool = False) -> DataFrame:
     """Files under a path or a list of paths as ``files``; a missing path is an error.
 
-    Each file is one row of whole content. With several roots the same file may be
-    listed twice, and is kept once.
+    Each file is one row of whole content. A root that is given twice, or lies below another one of
+    a recursive reading, is left out before anything is read, so a file is kept once.
     """
+    listed_twice = False
+    if not isinstance(path, str):
+        roots = sorted({p.rstrip("/") or "/" for p in path})
+        path = [r for r in roots if not (recursive and any(r != o and r.startswith(o.rstrip("/") + "/") for o in roots))]
+        # a root in another root's folder may be one of its files, or a folder of its own
+        listed_twice = not recursive and any(r.rpartition("/")[0] in roots for r in path)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     binary = reader.load(path).select("path", "content")
-    if not isinstance(path, str) and len(path) > 1:
-        binary = binary.dropDuplicates(["path"])
-    return decode_files(binary, strip_bom)
+    return decode_files(binary.dropDuplicates(["path"]) if listed_twice else binary, strip_bom)
 
 
 def files_from_table(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -125,7 +129,8 @@ def merge_texts(texts: DataFrame) -> DataFrame:
 def read_text_corpus(spark: SparkSession, directory: str) -> DataFrame:
     """The ``*.txt`` files of one folder as ``(path, text)``, one row per file."""
     raw = spark.read.text(directory, wholetext=True, pathGlobFilter="*.txt")
-    return merge_texts(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
+    # as other readers give it: decoded
+    return merge_texts(raw.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), "value"))
 
 
 def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:

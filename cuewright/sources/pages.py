@@ -23,7 +23,7 @@ _ANCHOR = r"(?is)<a(?=[\s>]).*?</a\s*>"
 _CLOSED = r"(?is)\A.*</a\s*>"
 _START_TAG = r"(?s)\A<[^>]*>"
 _DOWNLOAD_TOKENS = (
-    rf"(?is)<div(?=[\s>])[^>]*>|</div\s*>|<a\s[^>]*>|<p\s[^>]*{SEASON_CLASS}[^>]*>[^<]*"
+    rf"(?is)<div(?=[\s>])[^>]*>|</div\s*>|<a\s[^>]*>|<p\s[^>]*{SEASON_CLASS}[^>]*>(?:.*?</p\s*>|[^<]*)"
 )
 
 

@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,50 +59,68 @@ def test_ass(spark):
     assert rows[0].raw.startswith("Dialogue: 0,0:00:01.50")
 
 
-def python_srt(content):
-    cues = []
-    for block in re.split(r"\n\s*\n", content.strip()):
-        lines = block.strip().splitlines()
-        time = re.search(r"(\d{2}:\d{2}:\d{2}[.,]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[.,]\d{3})", lines[1]) if len(lines) > 2 else None
-        if time and lines[0].strip().isdigit():
-            cues.append((lines[0].strip(), time[1], time[2], "\n".join(lines[2:])))
-    return cues
-
-
-def test_srt_against_python(spark):
-    pieces = ["1", "23", "²", "x", "\n", "\n", "\n\n", " ", "\t", "\x0b", "\x1c", "\x1f", "\x85", " ", " ", A, A, B, "9:", " --> ", f"\n1\n{A}\nt", "é"]
-    rng = random.Random(5)
-    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i INT, c STRING").select("i", C.srt_cues(F.col("c")).alias("cues"))
-    got = {r.i: [(c.cue_index, c.start, c.end, c.text) for c in r.cues] for r in df.collect()}
-    wrong = [texts[i] for i in got if got[i] != python_srt(texts[i])]
-    assert not wrong, [ascii(w) for w in wrong[:3]]
-    assert sum(map(bool, got.values())) > 200
-
-
-def python_vtt(content):
-    time_line = re.compile(r"(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})")
-    cues = []
-    body = re.sub(r"^WEBVTT.*?\n\n", "", content, flags=re.M | re.S)
-    for block in re.split(r"\n\s*\n", body.strip()):
-        lines = block.strip().splitlines()
-        at = next((i for i, line in enumerate(lines) if time_line.search(line)), None)
-        if at is not None:
-            above = lines[at - 1].strip() if at else ""
-            cues.append((above if above.isdigit() else "", *time_line.search(lines[at]).groups(), "\n".join(lines[at + 1:])))
-    return cues
-
-
-def test_vtt_against_python(spark):
-    pieces = ["1", "²", "x", "\n", "\n", "\n\n", " ", "\t", "\x0b", "\x85", "\u2028", V, V, f"{V} align:start", f"\n{V}\nt", "WEBVTT", "\nWEBVTT",
-              "WEBVTT\n\n", "NOTE", f"\n7\n{V}\ny"]
-    rng = random.Random(6)
-    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i INT, c STRING").select("i", C.vtt_cues(F.col("c")).alias("cues"))
+def clock(rng, marks):
+    return f"{rng.randint(0, 99):02d}:{rng.randint(0, 59):02d}:{rng.randint(0, 59):02d}{rng.choice(marks)}{rng.randint(0, 999):03d}"
+
+
+def made_files(seed, block, bad_blocks, n=800):
+    """Files put together from known cues: ``(content, expected cues)``. Blocks that are no cue stand between them."""
+    rng = random.Random(seed)
+    words = ["a", "é", "1", "x y", "<i>t</i>", "-->", "دانلود", "9:", "{b}"]
+    files = []
+    for _ in range(n):
+        blocks, expected = [], []
+        for _ in range(rng.randint(0, 8)):
+            if rng.random() < 0.3:
+                blocks.append(rng.choice(bad_blocks))
+            else:
+                lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3))]
+                content, cue = block(rng, lines)
+                blocks.append(content)
+                expected.append(cue)
+        gap = lambda: rng.choice(["\n\n", "\n\n\n", "\n \t\n", "\n\x0b\n"])
+        text = "".join(b + gap() for b in blocks)
+        files.append((text, expected))
+    return files
+
+
+def check_made(spark, files, parser):
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(files)], "i INT, c STRING").select("i", parser(F.col("c")).alias("cues"))
     got = {r.i: [(c.cue_index, c.start, c.end, c.text) for c in r.cues] for r in df.collect()}
-    wrong = [texts[i] for i in got if got[i] != python_vtt(texts[i])]
-    assert not wrong, [ascii(w) for w in wrong[:3]]
-    assert sum(map(bool, got.values())) > 1000
+    wrong = [(c, e, got[i]) for i, (c, e) in enumerate(files) if got[i] != e]
+    assert not wrong, ascii(wrong[:2])
+
+
+def test_srt_from_known_cues(spark):
+    def block(rng, lines):
+        index, start, end = rng.choice(["1", "23", "²", "۴"]), clock(rng, ",."), clock(rng, ",.")
+        return f"{index}\n{start}{rng.choice([' ', '', chr(9)])}-->{rng.choice([' ', '  '])}{end}\n" + "\n".join(lines), (index, start, end, "\n".join(lines))
+    bad = [f"A1\n{A}\nx", f"1\n{A}", "1\nno time\nx", f"{A}\nx\ny", "alone", "1\n0:00:01,000 --> 00:00:02,000\nx", "1\n00:00:01,00 --> 00:00:02,000\nx"]
+    check_made(spark, made_files(5, block, bad), C.srt_cues)
+
+
+def test_vtt_from_known_cues(spark):
+    def block(rng, lines):
+        index, start, end = rng.choice(["1", "23", "²", "", "intro"]), clock(rng, "."), clock(rng, ".")
+        lines = [line for line in lines if "-->" not in line] or ["t"]
+        head = f"{index}\n" if index else ""
+        settings = rng.choice(["", " align:start", " line:0 position:20%"])
+        return f"{head}{start} --> {end}{settings}\n" + "\n".join(lines), ("" if index == "intro" else index, start, end, "\n".join(lines))
+    bad = ["NOTE some words", "alone", "1\n00:01.000 --> 00:02.000\nx", f"1\n{A}\nx", "STYLE\n::cue { color: red }"]
+    files = [("WEBVTT - a title\n\n" + text, cues) for text, cues in made_files(6, block, bad)]
+    check_made(spark, files, C.vtt_cues)
+
+
+def test_ssa_events_are_written_from_their_fields(spark):
+    content = ("[Events]\nFormat: Marked, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
+               "Dialogue: Marked=0,0:00:01.50,0:00:02.00,Default,,0000,0010,0000,,{\\b1}a, b\nComment: 3, 1:02:03.456,1:02:04.00,Sign,Bob,1,2,3,fx,c\nDialogue: 0,bad\n")
+    batch = corpus.parse(table(spark, {"x": content}, ".ssa"))
+    text = batch.select(C.render(F.col("format"), F.col("cues")).alias("t")).first().t
+    assert text.split("Effect, Text\n")[1] == (
+        "Dialogue: 0,0:00:01.50,0:00:02.00,Default,,0,10,0,,{\\b1}a, b\nComment: 3,1:02:03.45,1:02:04.00,Sign,Bob,1,2,3,fx,c\n"
+        "Dialogue: 0,0:00:00.00,0:00:00.00,Default,,0,0,0,,\n")
+    changed = batch.select(F.transform("cues", lambda c: C.with_text(c, F.lit("new\nline"))).alias("cues"))
+    assert ",0,10,0,,new\\Nline\n" in changed.select(C.render(F.lit("ass"), F.col("cues")).alias("t")).first().t
 
 
 def test_index_digits_are_those_of_python(apply):

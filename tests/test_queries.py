@@ -27,7 +27,7 @@ def rows(names, values):
     return sorted(tuple(repr(v[i]) for i in order) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & set(entry.spark_queries.Q)))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     result = duck.execute(entry.oracle_sql()[name])
@@ -46,13 +46,12 @@ def test_every_sql_belongs_to_a_query():
 
 
 @pytest.mark.parametrize("name, shuffles", [
-    ("doc_ads", 1), ("srt_parse", 1), ("srt_roundtrip", 1), ("clean_srt_files", 1), ("clean_remove", 1), ("extract_links", 1),
-    ("extract_downloads", 1), ("normalize_lines", 1), ("ads_per_file", 2), ("confusion_matrix", 1), ("build_dataset", 2),
+    ("doc_ads", 0), ("srt_parse", 0), ("srt_roundtrip", 0), ("clean_srt_files", 0), ("clean_remove", 0), ("extract_links", 0),
+    ("extract_downloads", 0), ("normalize_lines", 0), ("ads_per_file", 1), ("confusion_matrix", 1), ("build_dataset", 1),
 ])
 def test_shuffles(spark, name, shuffles):
-    """At most so many shuffles, one of them spreading the few small test files over the cores."""
     plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") <= shuffles, plan[:3000]
+    assert plan.count("Exchange ") <= shuffles and "RoundRobin" not in plan, plan[:3000]
 
 
 def test_scan_reads_only_what_is_used(spark):
