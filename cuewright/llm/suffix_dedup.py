@@ -314,9 +314,11 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = 6_000_
     code = (F.when(F.col("m").isNull(), F.lit(DONE)).when(F.col("n") == 1, F.when(small, F.lit(INDUCE)).otherwise(F.lit(SINGLE)))
             .otherwise(F.when(small, F.lit(REPRESENT)).otherwise(F.lit(REPRESENT_SINGLE))))
     judged = stored(judged.filter("n > 1 OR m IS NOT NULL").select(*cls, code.alias("code"), "home"), "anchor-verdicts")
-    verdicts = sampled.join(judged, cls).select("block", *cls, F.when(
+    # of a class one row per block, however many copies of it there are
+    asked = sampled.select("block", *cls).distinct()
+    verdicts = asked.join(judged, cls).select("block", *cls, F.when(
         F.col("code").isin(REPRESENT, REPRESENT_SINGLE) & (F.col("block") != F.col("home")), F.lit(DONE)).otherwise(F.col("code")).alias("code"))
-    verdicts = stored(verdicts.distinct(), "anchor-verdicts")
+    verdicts = stored(verdicts, "anchor-verdicts")
 
     dealt = rows.groupBy("block")
     tuples = dealt.cogroup(verdicts.groupBy("block")).applyInArrow(_gather(length, (DONE, INDUCE, REPRESENT)), TUPLE)
