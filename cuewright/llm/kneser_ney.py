@@ -11,6 +11,7 @@ documents the model has not seen.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,52 +179,58 @@ def _score(order: int):
                 first = np.flatnonzero(np.diff(owner, prepend=-1))
                 np.add.at(sums, rows[owner[first]], np.add.reduceat(values[found], first, axis=0))
                 np.add.at(count, rows[owner[first]], np.diff(first, append=len(owner)))
-        return pa.table({"doc_id": docs.column("doc_id"), "key": docs.column("key"), "lang": docs.column("lang"), "n": count,
+        keys = [None if (raw := column[i].as_py()) is None else hashlib.md5(raw).hexdigest() for i in range(n_docs)]
+        return pa.table({"doc_id": docs.column("doc_id"), "key": pa.array(keys, pa.string()), "lang": docs.column("lang"), "n": count,
                          **{f"s{m}": -sums[:, m] for m in MODELS}})
     return run
 
 
-def _discounts(counts: DataFrame, order: int) -> DataFrame:
-    """Modified Kneser-Ney discounts of an order, per model and language: for counts of one, two, and three or more."""
-    n = [F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]
-    sums = counts.groupBy("model", "lang").agg(*[x.alias(f"n{i}") for i, x in enumerate(n, 1)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    # without any n-gram of some count the formula has no value, and half the count is taken off
-    each = [F.coalesce(F.when(F.col(f"n{i}") > 0, i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")), F.lit(0.5 * i)) for i in (1, 2, 3)]
-    return sums.select("model", "lang", *[F.greatest(F.least(d, F.lit(0.99 * i)), F.lit(0.01)).alias(f"d{order}{i}") for i, d in enumerate(each, 1)])
+def _discounts(counts: DataFrame, order: int, models: tuple[int, ...]) -> DataFrame:
+    """Modified Kneser-Ney discounts of an order, per language: for counts of one, two, and three or more in each model."""
+    n = [F.count_if(F.col(f"c{m}") == i).alias(f"n{m}{i}") for m in models for i in (1, 2, 3, 4)]
+    sums = counts.groupBy("lang").agg(*n)
 
+    def discount(m: int, i: int) -> Column:
+        y = F.col(f"n{m}1") / (F.col(f"n{m}1") + 2 * F.col(f"n{m}2"))
+        # without any n-gram of some count the formula has no value, and half the count is taken off
+        value = F.coalesce(F.when(F.col(f"n{m}{i}") > 0, i - (i + 1) * y * F.col(f"n{m}{i + 1}") / F.col(f"n{m}{i}")), F.lit(0.5 * i))
+        return F.greatest(F.least(value, F.lit(0.99 * i)), F.lit(0.01)).alias(f"d{m}{i}")
+    return sums.select("lang", *[discount(m, i) for m in models for i in (1, 2, 3)])
 
-def probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
-    """Interpolated modified Kneser-Ney probability ``p`` of the last symbol of every asked ``(model, lang, gram)``.
 
-    ``counts``: ``model, lang, gram, c`` of the highest order, positive. Orders below have the counts of their different left
-    extensions. A context that was never seen leaves the word to the next order, and below the first stands the uniform distribution over
-    the symbols seen and one for all others.
+def probabilities(counts: DataFrame, order: int, models: tuple[int, ...] = (0,)) -> DataFrame:
+    """``lang, gram`` and for each model the interpolated modified Kneser-Ney probability ``p<model>`` of the gram's last symbol.
+
+    ``counts``: ``lang, gram, c<model>`` of the highest order; grams that are only asked for have counts of zero. Orders below have
+    the counts of their different left extensions. A context that was never seen leaves the symbol to the next order, and below the first
+    stands the uniform distribution over the symbols seen and one for all others.
     """
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
-        tables[k] = stored(tables[k + 1].groupBy("model", "lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
-    out = asked.withColumn("p", F.lit(None).cast("double"))
-    symbols = tables[1].groupBy("model", "lang").agg((F.count(F.lit(1)) + 1).alias("symbols"))
-    out = out.join(symbols, ["model", "lang"], "left").withColumn("p", 1 / F.coalesce(F.col("symbols"), F.lit(1))).drop("symbols")
+        extensions = [F.count_if(F.col(f"c{m}") > 0).alias(f"c{m}") for m in models]
+        tables[k] = stored(tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(*extensions), "ngrams")
+    symbols = tables[1].groupBy("lang").agg(*[(F.count_if(F.col(f"c{m}") > 0) + 1).alias(f"symbols{m}") for m in models])
+    out = counts.select("lang", "gram").join(symbols, "lang").select(
+        "lang", "gram", *[F.when(F.col(f"symbols{m}") > 1, 1 / F.col(f"symbols{m}")).otherwise(1.0).alias(f"p{m}") for m in models])
     for k in range(1, order + 1):
-        seen, c = tables[k], F.col("c")
-        context = seen.groupBy("model", "lang", F.substring("gram", 1, k - 1).alias("h")).agg(
-            F.sum("c").alias("total"), F.count_if(c == 1).alias("one"), F.count_if(c == 2).alias("two"), F.count_if(c > 2).alias("more"))
-        tail = F.substring("gram", order - k + 1, k)
-        out = out.withColumn("h", F.substring("gram", order - k + 1, k - 1)).withColumn("g", tail)
-        out = out.join(seen.withColumnRenamed("gram", "g"), ["model", "lang", "g"], "left")
-        out = out.join(context, ["model", "lang", "h"], "left").join(_discounts(seen, k), ["model", "lang"], "left")
-        d1, d2, d3 = (F.col(f"d{k}{i}") for i in (1, 2, 3))
-        count = F.coalesce("c", F.lit(0))
-        own = F.greatest(count - F.when(count == 0, 0.0).when(count == 1, d1).when(count == 2, d2).otherwise(d3), F.lit(0.0))
-        rest = d1 * F.col("one") + d2 * F.col("two") + d3 * F.col("more")
-        out = out.withColumn("p", F.when(F.col("total").isNull(), F.col("p")).otherwise((own + rest * F.col("p")) / F.col("total")))
-        out = out.select("model", "lang", "gram", "p")
+        seen = tables[k]
+        sums = [x for m in models for c in [F.col(f"c{m}")] for x in (
+            F.sum(c).alias(f"total{m}"), F.count_if(c == 1).alias(f"one{m}"), F.count_if(c == 2).alias(f"two{m}"), F.count_if(c > 2).alias(f"more{m}"))]
+        context = seen.groupBy("lang", F.substring("gram", 1, k - 1).alias("h")).agg(*sums)
+        out = out.withColumn("h", F.substring("gram", order - k + 1, k - 1)).withColumn("g", F.substring("gram", order - k + 1, k))
+        out = out.join(seen.withColumnRenamed("gram", "g"), ["lang", "g"]).join(context, ["lang", "h"]).join(_discounts(seen, k, models), "lang")
+
+        def interpolated(m: int) -> Column:
+            c, total, below = F.col(f"c{m}"), F.col(f"total{m}"), F.col(f"p{m}")
+            d1, d2, d3 = (F.col(f"d{m}{i}") for i in (1, 2, 3))
+            own = F.greatest(c - F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3), F.lit(0.0))
+            rest = d1 * F.col(f"one{m}") + d2 * F.col(f"two{m}") + d3 * F.col(f"more{m}")
+            return F.when(total == 0, below).otherwise((own + rest * below) / total).alias(f"p{m}")
+        out = out.select("lang", "gram", *[interpolated(m) for m in models])
     return out
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars: int = 32_000_000, most_broadcast: int = 2_000_000) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars: int = 48_000_000, most_broadcast: int = 2_000_000) -> DataFrame:
     """``doc_id, key, lang, n, s0, s1, s2``: of every row its digest, code points, and negative log probabilities by the models.
 
     ``labels``: ``doc_id, fold`` of trusted documents; they are broadcast where there are at most ``most_broadcast``, and joined by a shuffle
@@ -238,14 +245,13 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars
         language, docs["text"].cast("binary").alias("text"), F.coalesce("fold", F.lit(0)).cast("long").alias("fold"))
     sums = marked.mapInArrow(_counter(order), "lang STRING, gram STRING, c1 BIGINT, c2 BIGINT").groupBy("lang", "gram").agg(
         F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
-    per_model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), c.alias("c")) for m, c in zip(MODELS, (F.col("c1") + F.col("c2"), F.col("c1"), F.col("c2")))]))
-    grams = stored(sums.select("lang", "gram", per_model.alias("m")).select("m.model", "lang", "gram", "m.c"), "ngrams")
-    found = probabilities(grams.filter("c > 0"), grams.select("model", "lang", "gram"), order)
-    wide = stored(found.groupBy("lang", "gram").agg(*[F.max(F.when(F.col("model") == m, F.log("p"))).cast("float").alias(f"p{m}") for m in MODELS]), "ngram-scores")
+    grams = stored(sums.select("lang", "gram", (F.col("c1") + F.col("c2")).alias("c0"), "c1", "c2"), "ngrams")
+    found = probabilities(grams, order, MODELS)
+    wide = stored(found.select("lang", "gram", *[F.log(f"p{m}").cast("float").alias(f"p{m}") for m in MODELS]), "ngram-scores")
 
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), language, text,
+    rows = docs.select("doc_id", language, text,
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     # the blocks' exchange is the same in both places and runs once
     asked = rows.groupBy("block").applyInArrow(_ask(order), "block BIGINT, lang STRING, gram STRING")
@@ -256,7 +262,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars
 
 
 def judge(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, order: int = 4, quantile: float = 0.99, prior: int = 100,
-          least: int = 20, block_chars: int = 32_000_000) -> DataFrame:
+          least: int = 20, block_chars: int = 48_000_000) -> DataFrame:
     """``doc_id, key, lang, n_chars, perplexity, score, threshold, kept`` of every row of ``docs``.
 
     ``labels``: ``doc_id`` and whatever ``trusted`` (by default: quality 1, not toxic) looks at. ``score`` is the mean negative log probability of a

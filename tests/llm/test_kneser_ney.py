@@ -48,11 +48,13 @@ def test_probabilities(spark):
     texts = ["the cat sat on the mat", "the dog sat on the log, the cat did not", "a mat and a cat and a hat"]
     counts = Counter(g for t in texts for g in ((PAD * 2 + t)[i:i + 3] for i in range(len(t))))
     asked = set(counts) | {"zzz", "the", "xat", "ca#", PAD + PAD + "q", "qq ", "t z"}
-    rows = spark.createDataFrame([(0, "en", g, c) for g, c in counts.items()], "model INT, lang STRING, gram STRING, c BIGINT")
-    found = probabilities(rows, spark.createDataFrame([(0, "en", g) for g in asked] + [(1, "xx", "abc")], "model INT, lang STRING, gram STRING"), 3).collect()
-    p = plain_model(texts, 3)
+    other = Counter(g for g in ((PAD * 2 + texts[1])[i:i + 3] for i in range(len(texts[1]))))
+    rows = spark.createDataFrame([("en", g, counts[g], other[g]) for g in asked] + [("xx", "abc", 0, 0)], "lang STRING, gram STRING, c0 BIGINT, c1 BIGINT")
+    found = probabilities(rows, 3, (0, 1)).collect()
+    p, q = plain_model(texts, 3), plain_model(texts[1:2], 3)
+    assert len(found) == len(asked) + 1
     for r in found:
-        assert r.p == pytest.approx(p(r.gram) if r.lang == "en" else 1.0, rel=1e-9), r
+        assert (r.p0, r.p1) == ((pytest.approx(p(r.gram), rel=1e-9), pytest.approx(q(r.gram), rel=1e-9)) if r.lang == "en" else (1.0, 1.0)), r
     seen = {g[2] for g in counts}
     assert sum(p("at" + c) for c in seen) == pytest.approx(1 - (1 / (len(seen) + 1)) * _left(p, "at", seen), rel=1e-6)
 
