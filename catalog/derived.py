@@ -161,16 +161,16 @@ def _hrefs() -> Column:
 
 
 def catalogue_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Each page's links as cards of a catalogue; every third card has no title."""
+    """Each page, and behind its own markup its links as cards of a catalogue; every third card has no title."""
     def card(href: Column, i: Column) -> Column:
         title = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit('<h3 dir="ltr"> No '), i.cast("string"), F.lit(" </h3>")))
         return F.concat(F.lit('<div class="sk-cell-l-3"><a class="sk-query" href="'), href, F.lit('">'), title, F.lit("</a></div>"))
-    html = F.concat(F.lit("<body>"), F.array_join(F.transform(_hrefs(), card), "\n"), F.lit("</body>"))
+    html = F.concat("html", F.lit("<body>"), F.array_join(F.transform(_hrefs(), card), "\n"), F.lit("</body>"))
     return pages(spark, sf).select("page_id", "url", html.alias("html"))
 
 
 def download_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Each page's links as download links: three language blocks, a season label before
+    """Each page, and behind its own markup its links as download links: three language blocks, a season label before
     every second link except the first."""
     def link(href: Column, i: Column) -> Column:
         season = F.when((i > 0) & (i % 2 == 0), F.concat(F.lit('<p class="season">Season '), i.cast("string"), F.lit("</p>"))).otherwise("")
@@ -181,7 +181,7 @@ def download_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(f'<div class="box {lang}"><div class="head"><a class="link" href="/none">n</a></div><div class="body"><ul>'),
         F.array_join(F.slice(links, third * n + 1, third), ""), F.lit("</ul></div></div>"),
     )
-    html = F.concat(F.lit('<div id="sk-download">'), block("english", 0), block("arabic", 1), block("farsi", 2), F.lit("</div>"))
+    html = F.concat("html", F.lit('<div id="sk-download">'), block("english", 0), block("arabic", 1), block("farsi", 2), F.lit("</div>"))
     return pages(spark, sf).select("page_id", "url", html.alias("html"))
 
 

@@ -261,3 +261,47 @@ def test_task_functions_need_no_package_on_the_workers(task):
     code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
     done = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(task()), capture_output=True, cwd="/")
     assert done.returncode == 0, done.stderr.decode()[-500:]
+
+
+def test_shared_folder_is_named_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    from cuewright.session import shared_folder
+
+    def session(master, folder=None):
+        get = lambda key, default=None: folder if key == "spark.checkpoint.dir" else default
+        return SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=get)))
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn"), "x")
+    with pytest.raises(ValueError):
+        shared_folder(session("local-cluster[3,2,1024]"), "x")
+    assert shared_folder(session("local[4]"), "x")
+    assert shared_folder(session("yarn", "hdfs:///shared"), "x").startswith("hdfs:///shared/x-")
+
+
+def test_no_texts_to_choose_from(spark):
+    files = corpus.files_from_table(spark.createDataFrame([("a.srt", f"1\n{A}\nx\n")], "path STRING, content STRING"))
+    cues = corpus.srt_cue_table(files)
+    with pytest.raises(ValueError):
+        actions.replace_random(cues, cues, [])
+
+
+def test_whole_files_are_written_without_a_shuffle(spark, tmp_path):
+    rows = spark.createDataFrame([("a.srt", "srt", "x"), ("b.srt", "srt", "")], "path STRING, format STRING, content STRING")
+    written = sink.write_files(sink.with_output_path(rows, str(tmp_path / "o")))
+    assert "Exchange" not in written._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.out_path.rsplit("/", 1)[1], r.n_bytes) for r in written.collect()) == [("a_clean.srt", 1), ("b_clean.srt", 0)]
+    assert (tmp_path / "o" / "b_clean.srt").read_bytes() == b""
+
+
+def test_a_file_without_cues_is_rebuilt(spark):
+    files = corpus.files_from_table(spark.createDataFrame([("a.vtt", "WEBVTT\n"), ("b.srt", "none")], "path STRING, content STRING"))
+    cues = corpus.explode_cues(corpus.parse(files))
+    assert {r.path: r.content for r in out.join_parts(out.rebuild(cues, files)).collect()} == {"a.vtt": "WEBVTT\n", "b.srt": ""}
+
+
+def test_first_of_name_compares_no_contents(spark):
+    rows = spark.createDataFrame([("z1", 0, "n", bytearray(b"x"), None)], "archive STRING, ordinal INT, name STRING, content BINARY, error STRING")
+    plan = archives.first_of_name(rows)._jdf.queryExecution().executedPlan().toString()
+    combined = [line for line in plan.split("\n") if "Aggregate" in line]
+    assert combined and not any("content" in line for line in combined)
