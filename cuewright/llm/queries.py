@@ -61,7 +61,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it comes back from the archives, with its place in the order of captures."""
-    return archive_pages(table(spark, sf_dir, "pages"))
+    found = archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_no")
 
 
 def op8_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,24 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in
     op1_kneser_ney, op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op8_induced_suffixes, op9_shard_ring,
     op10_lz_phrases)}
 
-SQL: dict[str, str] = {}
+# The others have no SQL form that DuckDB runs on whole tables; the tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op4_va_file": """
+      WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS i FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.i, c.i) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+      SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+      WHERE rank <= 10""",
+    "op7_warc_index": r"""
+      WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest,
+          strlen(coalesce(html, '')) AS bytes, lower(regexp_replace(coalesce(url, ''), '#.*$', '')) AS u FROM pages),
+      h AS (SELECT *, regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?]*)', 1) AS host, regexp_replace(u, '^[a-z][a-z0-9+.-]*://[^/?]*', '') AS rest FROM p),
+      k AS (SELECT *, CASE WHEN host = '' THEN rest ELSE array_to_string(list_reverse(string_split(regexp_replace(host, '^www[0-9]*\.|:80$', ''), '.')), ',')
+          || ')' || rest END AS url_key, min(page_id) OVER (PARTITION BY digest) AS first FROM h)
+      SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+        CASE WHEN bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN bytes >= 100 AND first <> page_id THEN first END AS refers_to, url_key,
+        row_number() OVER (ORDER BY url_key, page_id, md5(page_id || '|' || url || '|' || digest)) - 1 AS capture_no FROM k""",
+}
