@@ -73,23 +73,22 @@ def extract_downloads(pages: DataFrame, languages: list[str], name: Column | Non
     """Download links of the wanted languages as
     ``(page_id, pos, lang, season, url, file_name)``.
 
-    The season of a link is the nearest label before it anywhere on the page. Tags
-    are taken as tokens and folded once over a page's token array, which carries the
-    nesting depth, the open language block and the last season; a page stays one row.
+    The season of a link is the nearest label before it anywhere on the page. Languages do not look at each other: of each
+    the first ``div`` of its class in the section counts, also inside one of another language, and a ``div`` may be of several. Tags
+    are taken as tokens, and folded over a page's token array once for each language; the state carries the nesting depth, the open block and
+    the last season. A page stays one row.
     """
     tokens = F.regexp_extract_all("html", F.lit(_DOWNLOAD_TOKENS), F.lit(0))
 
-    def describe(token: Column) -> Column:
+    def describe(token: Column, at: Column) -> Column:
         tag = F.lower(F.regexp_extract(token, r"\A<(/?[A-Za-z]+)", 1))
         opening = F.regexp_extract(token, _START_TAG, 0)
         class_list = F.coalesce(attribute(opening, "class"), F.lit(""))
-        lang = F.coalesce(*(
-            F.when(class_list.rlike(rf"(?<![\p{{L}}\p{{N}}_]){l}(?![\p{{L}}\p{{N}}_])"), l) for l in languages
-        ))
         return F.struct(
+            at.alias("at"),
             tag.alias("tag"),
-            lang.alias("lang"),
-            (attribute(opening, "id") == DOWNLOAD_ID).alias("is_section"),
+            *[class_list.rlike(rf"(?<![\p{{L}}\p{{N}}_]){l}(?![\p{{L}}\p{{N}}_])").alias(f"is_{k}") for k, l in enumerate(languages)],
+            F.coalesce(attribute(opening, "id") == DOWNLOAD_ID, F.lit(False)).alias("is_section"),
             has_class(opening, BODY_CLASS).alias("is_body"),
             F.when((tag == "a") & has_class(opening, LINK_CLASS), attribute(opening, "href")).alias("href"),
             F.when((tag == "p") & has_class(opening, SEASON_CLASS),
@@ -99,39 +98,40 @@ def extract_downloads(pages: DataFrame, languages: list[str], name: Column | Non
     none = lambda t: F.lit(None).cast(t)
     start = F.struct(
         F.lit(0).alias("depth"), none("int").alias("section"), none("int").alias("block"), none("int").alias("body"),
-        none("string").alias("lang"), F.array().cast("array<string>").alias("done"),
-        F.lit(UNKNOWN_SEASON).alias("season"),
-        F.array().cast("array<struct<lang:string,season:string,href:string>>").alias("links"),
+        F.lit(False).alias("done"), F.lit(UNKNOWN_SEASON).alias("season"),
+        F.array().cast("array<struct<at:int,k:int,lang:string,season:string,href:string>>").alias("links"),
     )
 
-    def fold(acc: Column, t: Column) -> Column:
+    def fold(k: int, language: str):
         """``section``, ``block`` and ``body`` hold the depth at which each was opened;
         a body that was left is 0, since only the first of a block counts."""
-        opens, closes = t["tag"] == "div", t["tag"] == "/div"
-        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        left = lambda level, value: F.when(closes & (depth < level), value).otherwise(level)
-        section = F.when(opens & t["is_section"] & acc["section"].isNull(), depth).otherwise(left(acc["section"], none("int")))
-        new_block = (
-            opens & acc["section"].isNotNull() & acc["block"].isNull() & t["lang"].isNotNull()
-            & ~F.array_contains(acc["done"], t["lang"])
-        )
-        new_body = opens & acc["block"].isNotNull() & acc["body"].isNull() & t["is_body"]
-        body = F.when(new_block, none("int")).when(new_body, depth).otherwise(left(acc["body"], F.lit(0)))
-        season = F.coalesce(t["season"], acc["season"])
-        link = F.struct(acc["lang"].alias("lang"), season.alias("season"), t["href"].alias("href"))
-        linked = acc["block"].isNotNull() & (acc["body"] > 0) & (t["href"] != "")
-        return F.struct(
-            depth.alias("depth"),
-            section.alias("section"),
-            F.when(new_block, depth).otherwise(left(acc["block"], none("int"))).alias("block"),
-            body.alias("body"),
-            F.when(new_block, t["lang"]).otherwise(acc["lang"]).alias("lang"),
-            F.when(new_block, F.concat(acc["done"], F.array(t["lang"]))).otherwise(acc["done"]).alias("done"),
-            season.alias("season"),
-            F.when(linked, F.concat(acc["links"], F.array(link))).otherwise(acc["links"]).alias("links"),
-        )
-
-    links = F.aggregate(F.transform(tokens, describe), start, fold, lambda acc: acc["links"])
+        def step(acc: Column, t: Column) -> Column:
+            opens, closes = t["tag"] == "div", t["tag"] == "/div"
+            depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+            left = lambda level, value: F.when(closes & (depth < level), value).otherwise(level)
+            section = F.when(opens & t["is_section"] & acc["section"].isNull(), depth).otherwise(left(acc["section"], none("int")))
+            new_block = opens & acc["section"].isNotNull() & ~acc["done"] & t[f"is_{k}"]
+            new_body = opens & acc["block"].isNotNull() & acc["body"].isNull() & t["is_body"]
+            season = F.coalesce(t["season"], acc["season"])
+            link = F.struct(t["at"].alias("at"), F.lit(k).alias("k"), F.lit(language).alias("lang"), season.alias("season"), t["href"].alias("href"))
+            linked = acc["block"].isNotNull() & (acc["body"] > 0) & (t["href"] != "")
+            return F.struct(
+                depth.alias("depth"),
+                section.alias("section"),
+                F.when(new_block, depth).otherwise(left(acc["block"], none("int"))).alias("block"),
+                F.when(new_block, none("int")).when(new_body, depth).otherwise(left(acc["body"], F.lit(0))).alias("body"),
+                (acc["done"] | new_block).alias("done"),
+                season.alias("season"),
+                F.when(linked, F.concat(acc["links"], F.array(link))).otherwise(acc["links"]).alias("links"),
+            )
+        return step
+
+    def all_links(described: Column) -> Column:
+        found = [F.aggregate(described, start, fold(k, l), lambda acc: acc["links"]) for k, l in enumerate(languages)]
+        return F.array_sort(F.concat(*found))
+
+    # the tokens are described once, whatever the number of languages
+    links = F.transform(F.array(F.transform(tokens, describe)), all_links)[0]
     series = F.lit(None).cast("string") if name is None else name
     found = unroll(pages.withColumn("_name", series), ["page_id", "_name"], links, "pos", "link")
     lang, season, url = F.col("link.lang"), F.col("link.season"), F.col("link.href")

@@ -28,3 +28,19 @@ def test_season_labels_with_markup(spark):
             '<p class="season"> Season &#50; </p><a class="link" href="http://x/b.zip">b</a></div></div></div>')
     rows = pages.extract_downloads(page(spark, html), ["farsi"], F.lit("n")).orderBy("pos").collect()
     assert [(r.season, r.file_name) for r in rows] == [("Season1", "a.zip"), ("Season_2", "b.zip")]
+
+
+def links(spark, html, languages):
+    rows = pages.extract_downloads(page(spark, f'<div id="sk-download">{html}</div>'), languages).orderBy("pos").collect()
+    return [(r.lang, r.url[-1]) for r in rows]
+
+
+def test_languages_are_independent(spark):
+    block = lambda classes, inner: f'<div class="{classes}"><div class="body">{inner}</div></div>'
+    a, b, c = (f'<a class="link" href="http://x/{n}">{n}</a>' for n in "abc")
+    nested = block("english", a + block("farsi", b) + c)
+    assert links(spark, nested, ["farsi", "english"]) == [("english", "a"), ("farsi", "b"), ("english", "b"), ("english", "c")]
+    assert links(spark, block("box farsi english", a), ["farsi", "english"]) == [("farsi", "a"), ("english", "a")]
+    # only the first block of a language, and only its body
+    assert links(spark, block("farsi", a) + block("farsi", b) + f'<div class="english">{c}</div>', ["farsi", "english"]) == [("farsi", "a")]
+    assert links(spark, block("farsinet", a), ["farsi"]) == []
