@@ -3,20 +3,27 @@
 Each source's rows, in a hashed order, are cut into blocks of equal size. Block ``j`` of a source of weight ``w`` (the weights sum
 to 1) is released at ``floor(j / w)`` and due at ``ceil((j + 1) / w)``, in block slots; in every slot the released block that is
 due first goes next. With every block in its window, what a source has had never differs by a whole block
-from what its weight asks for. Weights are whole numbers of slots in a period, so the schedule of one period, whose length is
-a parameter, is that of all periods. When a source has no blocks left, the others go on by their own weights (a new phase).
+from what its weight asks for. Weights are taken as they are, as fractions of whole numbers, so this holds however long the stream is.
+When a source has no blocks left, the others go on by their own weights (a new phase).
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from array import array
+from collections.abc import Iterator, Mapping
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm.base import columns, fresh, same, stored, text_key
+from cuewright.session import shared_folder
+
+PLANNED = 1 << 20
 
 
 def shares(weights: list[float], period: int) -> list[int]:
@@ -33,46 +40,93 @@ def shares(weights: list[float], period: int) -> list[int]:
     return out
 
 
-def edf_period(share: list[int]) -> list[list[int]]:
-    """Slots of each source in one period: of the released blocks, the one that is due first.
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    ratios = [float(w).as_integer_ratio() for w in weights]
+    scale = max(d for _, d in ratios)  # all are powers of two
+    numbers = [n * (scale // d) for n, d in ratios]
+    common = math.gcd(*numbers)
+    return [n // common for n in numbers]
+
+
+def edf(share: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """For every slot from 0 on the source it goes to, the number of the block in its source, and the block's release and deadline.
 
-    Release and deadline of block ``j`` are ``floor(j * period / share)`` and ``ceil((j + 1) * period / share)``.
+    Of the released blocks, the one that is due first goes next. Release and deadline of block ``j`` are
+    ``floor(j * total / share)`` and ``ceil((j + 1) * total / share)``.
     """
-    period = sum(share)
-    slots: list[list[int]] = [[] for _ in share]
-    waiting = [(0, i) for i in range(len(share))]  # by release
-    ready: list[tuple[int, int]] = []  # by deadline
-    for slot in range(period):
+    total = sum(share)
+    waiting = [(0, i, 0) for i in range(len(share))]  # by release
+    ready: list[tuple[int, int, int, int]] = []  # by deadline
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
-            _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * period // share[i]), i))
-        due, i = heapq.heappop(ready)
+            release, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // share[i]), i, j, release))
+        due, i, j, release = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a block missed its deadline")
+        yield i, j, release, due
+        slot += 1
+        heapq.heappush(waiting, ((j + 1) * total // share[i], i, j + 1))
+
+
+def edf_period(share: list[int]) -> list[list[int]]:
+    """Slots of each source in the first ``sum(share)``."""
+    slots: list[list[int]] = [[] for _ in share]
+    for slot, (i, *_) in enumerate(islice(edf(share), sum(share))):
         slots[i].append(slot)
-        if len(slots[i]) < share[i]:
-            heapq.heappush(waiting, (len(slots[i]) * period // share[i], i))
     return slots
 
 
-def phases(blocks: list[int], weights: list[float], period: int) -> list[dict]:
-    """For every phase and source in it: where it starts, how many blocks it places, and its slots in a period."""
-    left, done, start, out = list(blocks), [0] * len(blocks), 0, []
+def phases(blocks: list[int], weights: list[float], period: int) -> Iterator[dict]:
+    """The schedule in stretches of at most ``period`` slots: for every source in a stretch, its blocks ``first`` to ``end``, their slots from
+    ``slot0`` on, and their releases and deadlines from the start of the phase."""
+    left, done, start = list(blocks), [0] * len(blocks), 0
     active = [i for i, n in enumerate(left) if n]
     while active:
-        share = shares([weights[i] for i in active], max(period, 4 * len(active)))
-        size, slots = sum(share), edf_period(share)
-        ends = [(left[i] - 1) // n * size + s[(left[i] - 1) % n] + 1 for i, n, s in zip(active, share, slots)]
-        end = min(ends)
-        for i, n, s in zip(active, share, slots):
-            placed = end // size * n + sum(x < end % size for x in s)
-            if placed:
-                out.append({"source": i, "first": done[i], "end": done[i] + placed, "slot0": start, "period": size, "slots": s})
-            done[i] += placed
-            left[i] -= placed
-        start += end
+        course, running = edf(whole([weights[i] for i in active])), True
+        while running:
+            stretch: dict[int, dict] = {}
+            size = 0
+            while running and size < period:
+                number, _, release, due = next(course)
+                i = active[number]
+                p = stretch.get(i) or stretch.setdefault(i, {
+                    "source": i, "first": done[i], "end": done[i], "slot0": start, "period": period, "slots": [], "releases": [], "deadlines": []})
+                p["slots"].append(size)
+                p["releases"].append(release)
+                p["deadlines"].append(due)
+                p["end"] += 1
+                done[i] += 1
+                left[i] -= 1
+                size += 1
+                running = left[i] > 0
+            start += size
+            yield from stretch.values()
         active = [i for i in active if left[i]]
-    return out
+
+
+def _planned(spark: SparkSession, names: list[str | None], plan: Iterator[dict]) -> DataFrame:
+    """``source, block, slot, release, deadline`` of every block; the driver holds ``PLANNED`` of them at a time."""
+    path, some = shared_folder(spark, "mix-plan"), True
+    whole_numbers = ("block", "slot", "release", "deadline")
+    schema = "source STRING, " + ", ".join(f"{c} BIGINT" for c in whole_numbers)
+    form = pa.schema([("source", pa.string()), *((c, pa.int64()) for c in whole_numbers)])
+    first = True
+    while some or first:
+        source, numbers, some = [], [array("q") for _ in whole_numbers], False
+        for p in plan:
+            source += [names[p["source"]]] * len(p["slots"])
+            for out, values in zip(numbers, (range(p["first"], p["end"]), (p["slot0"] + s for s in p["slots"]), p["releases"], p["deadlines"])):
+                out.extend(values)
+            if some := len(source) >= PLANNED:
+                break
+        if source or first:
+            part = pa.table([pa.array(source, pa.string()), *(pa.array(np.frombuffer(x, np.int64)) for x in numbers)], schema=form)
+            spark.createDataFrame(part, schema).write.mode("append").option("compression", "zstd").parquet(path)
+        first = False
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix_sources(
@@ -84,7 +138,7 @@ def mix_sources(
     ``weights`` by source; without it, or for sources it leaves out, the weight is the source's total size to the
     ``power``. ``size``: a row's size in the unit of ``block``, at least 1. A row belongs to the block in which it starts; blocks inside a
     row that is larger than a block have no row of their own. ``place``: order in the block, from 0. ``release`` and ``deadline``
-    count from the start of the block's phase. More than ``max_sources`` sources are an error, since phases are planned from
+    count from the start of the block's phase. ``period``: slots that are planned at a time; it does not change the result. More than ``max_sources`` sources are an error, since phases are planned from
     a table of them.
     """
     spark = docs.sparkSession
@@ -102,24 +156,7 @@ def mix_sources(
     wanted = [float(weights.get(r.source, r.total ** power)) for r in totals]
     if any(not 0 < w < math.inf for w in wanted):
         raise ValueError("weights must be positive")
-    plan = phases([-(-r.total // block) for r in totals], wanted, period)
-    table = spark.createDataFrame(
-        [(totals[p["source"]].source, p["first"], p["end"], p["slot0"], p["period"], len(p["slots"]), p["slots"]) for p in plan],
-        "source STRING, first BIGINT, end BIGINT, slot0 BIGINT, period BIGINT, share BIGINT, slots ARRAY<INT>",
-    )
-    # one row a block: its slot by its number in its phase
-    runs = F.sequence(F.floor(F.col("first") / 4096), F.floor((F.col("end") - 1) / 4096))
-    spread = table.select("*", F.explode(runs).alias("run")).repartition("source", "run")
-    starts = F.greatest(F.col("first"), F.col("run") * 4096)
-    ends = F.least(F.col("end"), F.col("run") * 4096 + 4096) - 1
-    blocks = spread.select("*", F.explode(F.sequence(starts, ends)).alias("block"))
-    j = F.col("block") - F.col("first")
-    blocks = blocks.select(
-        "source", "block",
-        (F.col("slot0") + F.floor(j / F.col("share")) * F.col("period") + F.get("slots", (j % F.col("share")).cast("int"))).alias("slot"),
-        F.floor(j * F.col("period") / F.col("share")).alias("release"),
-        F.ceil((j + 1) * F.col("period") / F.col("share")).alias("deadline"),
-    )
+    blocks = _planned(spark, [r.source for r in totals], phases([-(-r.total // block) for r in totals], wanted, period))
     # block of a row: what its source has before the row's bucket, then before the row in the bucket
     bits = max(8, (max(1, sum(r.n for r in totals) // bucket_rows) - 1).bit_length())
     bucketed = rows.withColumn("bucket", F.shiftrightunsigned("place", 63 - bits))

@@ -9,6 +9,8 @@ import pytest
 from cuewright.llm.mixing import edf_period, mix_documents, mixed, phases, shares
 from cuewright.llm.sharding import overflow_plan, ring, shard_documents
 
+from .conftest import documents
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -79,6 +81,29 @@ def test_phases_place_every_block_once():
     assert sorted(taken) == list(range(138)) and set(taken.values()) == {(i, j) for i, n in enumerate(blocks) for j in range(n)}
 
 
+@pytest.mark.parametrize("weights", [[1.0, 2 ** 0.5, 3 ** 0.5, 0.0007], [0.9999, 0.0001], [1 / 3, 1 / 7, 1 / 11, 1 / 13]])
+def test_deviation_from_the_given_weights(weights):
+    """Over some hundred periods, in the first phase, each source stays within a block of its own weight, not of a rounded one."""
+    total = sum(map(Fraction, weights))
+    blocks = [int(w / sum(weights) * 200_000) + 2 for w in weights]
+    stretches = list(phases(blocks, weights, 1_024))
+    over = min(p["slot0"] + p["slots"][-1] for p in stretches if p["end"] == blocks[p["source"]])
+    assert over > 100_000
+    for i, w in enumerate(weights):
+        mine = [p["slot0"] + s for p in stretches if p["source"] == i for s in p["slots"] if p["slot0"] + s <= over]
+        for j, slot in enumerate(mine):  # the deviation is largest just before and after a block
+            assert abs(j - Fraction(w) / total * slot) < 1 and abs(j + 1 - Fraction(w) / total * (slot + 1)) < 1
+
+
+def test_slots_lie_in_the_windows_of_the_given_weights(spark):
+    rows = [(i, "x" * 10, "en", "abc"[0 if i % 50 else 1 + i // 50 % 2]) for i in range(6_000)]
+    weights = {"a": 0.98037, "b": 0.0097, "c": 0.00993}
+    total = sum(map(Fraction, weights.values()))
+    for r in mix_documents(documents(spark, rows, False), block=10, weights=weights).filter("slot < 5000").collect():
+        share = Fraction(weights[r.source]) / total
+        assert (r.release, r.deadline) == (r.block // share, -(-(r.block + 1) // share)) and r.release <= r.slot < r.deadline
+
+
 def test_mix(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = mix_documents(docs, block=4_000, weights={f"src{i}": 1.0 + i for i in range(20)}).collect()
