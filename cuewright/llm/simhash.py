@@ -11,7 +11,7 @@ Spark, all over the cluster, with rows that are already connected through a pivo
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +23,27 @@ from cuewright.llm.base import by_value, columns, fresh, same, stored, text_key
 BITS = 64
 
 
-def fingerprint(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The SimHash of a UTF-8 text: bit set where over half the shingles' XXH64 have it."""
+def shingle_hashes(raw: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words of a UTF-8 text; of all words if they are fewer, of none if there are none."""
     import xxhash
 
     words = raw.lower().split()  # of bytes: lower-cases A-Z, splits at space and the control characters 9 to 13
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        starts = [0, *itertools.accumulate(len(w) + 1 for w in words)]
-        hashes = [digest(joined[a:b - 1], seed) for a, b in zip(starts, starts[shingle:])]
+        return np.array([digest(joined, seed)], "<u8")
+    starts = [0, *itertools.accumulate(len(w) + 1 for w in words)]
+    return np.array([digest(joined[a:b - 1], seed) for a, b in zip(starts, starts[shingle:])], "<u8")
+
+
+def fingerprint(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """The SimHash of a UTF-8 text: bit set where over half the shingles' XXH64 have it."""
+    hashes = shingle_hashes(raw, shingle, seed)
     counts = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), 4096):
-        block = np.array(hashes[a:a + 4096], "<u8").view(np.uint8).reshape(-1, 8)
+        block = hashes[a:a + 4096].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -248,10 +252,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, leaf_row
     return prints.join(named, "fp").select("doc_id", "key", "fp", "component_id", "root")
 
 
-def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, groups: Callable[..., DataFrame] = near_duplicates, **settings) -> DataFrame:
     """One document of each group of near duplicates, columns as they are: that with the least ``doc_id`` (a null is last, then the text's
-    digest decides). Of rows that are repeated with id and text, one stays."""
-    labels = stored(near_duplicates(docs, **settings), "near-duplicates")
+    digest decides). Of rows that are repeated with id and text, one stays. ``groups(docs, **settings)`` gives ``doc_id, key, root``."""
+    labels = stored(groups(docs, **settings), "near-duplicates")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     kept = labels.groupBy("root").agg(F.min(first).alias("first")).select(
         F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"))
