@@ -61,10 +61,17 @@ def _run(parts: list[np.ndarray], owner: list[int], order: int) -> tuple[np.ndar
 
 
 class Packer:
-    """n-grams of a bounded set of symbols as integers; more symbols than fit make it split the set's numbers in two words."""
+    """n-grams of a bounded set of symbols as integers below ``LIMIT``.
+
+    With more symbols than that allows, the distinct halves of the n-grams are numbered first (``see_halves``), and an n-gram is a pair of
+    numbers of halves.
+    """
+
+    LIMIT = (1 << 63) // 3  # a key is counted together with one of three folds
 
     def __init__(self, order: int):
         self.order, self.used = order, np.zeros(0x110000, bool)
+        self.halves: list[np.ndarray] | None = None
 
     def see(self, codes: np.ndarray) -> None:
         self.used[codes] = True
@@ -75,18 +82,44 @@ class Packer:
         self.number[self.symbols] = np.arange(len(self.symbols))
         self.base = max(2, len(self.symbols))
 
-    def pack(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    @property
+    def wide(self) -> bool:
+        return self.base ** self.order > self.LIMIT
+
+    def _word(self, codes: np.ndarray, starts: np.ndarray, first: int, end: int) -> np.ndarray:
         numbers = self.number[codes]
-        key = numbers[starts]
-        for k in range(1, self.order):
+        key = numbers[starts + first]
+        for k in range(first + 1, end):
             key = key * self.base + numbers[starts + k]
         return key
 
+    def _parts(self) -> list[tuple[int, int]]:
+        half = self.order // 2
+        return [(0, half), (half, self.order)]
+
+    def see_halves(self, runs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Numbers the halves of all n-grams of the runs."""
+        if self.base ** (self.order - self.order // 2) >= 1 << 63:
+            raise ValueError("half an n-gram of this order does not fit in an integer")
+        self.halves = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for codes, starts, _ in runs:
+            self.halves = [np.union1d(h, self._word(codes, starts, *part)) for h, part in zip(self.halves, self._parts())]
+        if len(self.halves[0]) * len(self.halves[1]) > self.LIMIT:
+            raise ValueError("a block has more n-grams than integers; take smaller blocks")
+
+    def pack(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        if self.halves is None:
+            return self._word(codes, starts, 0, self.order)
+        head, tail = (np.searchsorted(h, self._word(codes, starts, *part)) for h, part in zip(self.halves, self._parts()))
+        return head * len(self.halves[1]) + tail
+
     def unpack(self, keys: np.ndarray) -> list[str]:
         out = np.empty((len(keys), self.order), "<u4")
-        for k in range(self.order - 1, -1, -1):
-            keys, digit = np.divmod(keys, self.base)
-            out[:, k] = self.symbols[digit]
+        words = [keys] if self.halves is None else [h[i] for h, i in zip(self.halves, np.divmod(keys, len(self.halves[1])))]
+        for word, (first, end) in zip(words, [(0, self.order)] if self.halves is None else self._parts()):
+            for k in range(end - 1, first - 1, -1):
+                word, digit = np.divmod(word, self.base)
+                out[:, k] = self.symbols[digit]
         return out.view(f"<U{self.order}").ravel().tolist()
 
     def pack_texts(self, grams: list[str]) -> np.ndarray:
@@ -109,8 +142,8 @@ def _packer(texts: list[bytes], order: int) -> Packer:
     for text in texts:
         packer.see(_codes(text))
     packer.close()
-    if packer.base ** order >= 1 << 62:
-        raise ValueError("a block has more symbols than n-grams of this order can be packed for; take smaller blocks")
+    if packer.wide:
+        packer.see_halves(_runs(texts, order))
     return packer
 
 

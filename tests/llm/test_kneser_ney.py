@@ -3,9 +3,10 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from cuewright.llm.kneser_ney import judge, keep_good, perplexities, probabilities
+from cuewright.llm.kneser_ney import _distinct, judge, keep_good, perplexities, probabilities
 
 from .conftest import documents
 
@@ -79,6 +80,32 @@ def test_perplexities(spark):
                 assert r[f"s{m}"] == pytest.approx(-sum(math.log(p(padded[i:i + 4])) for i in range(len(text))), rel=1e-5, abs=1e-9)
 
 
+@pytest.mark.parametrize("symbols", [40_000, 43_000, 60_000, 140_000])
+def test_many_symbols(symbols):
+    """Also where three folds of n-grams pass 64 bits, and where n-grams alone do."""
+    chart = "".join(map(chr, range(0x20000, 0x20000 + symbols)))
+    texts, fold = [chart, chart[::-1] + chart[-5:], chart[-3:]], [1, 2, 1]
+    expected = Counter()
+    for t, f in zip(texts, fold):
+        padded = PAD * 3 + t
+        expected.update((padded[i:i + 4], f) for i in range(len(t)))
+    grams, counts = _distinct([t.encode() for t in texts], np.array(fold), 4)
+    assert len(set(grams)) == len(grams)
+    assert {(g, f): int(n) for g, row in zip(grams, counts) for f, n in enumerate(row) if n} == expected
+
+
+def test_perplexity_of_many_symbols(spark):
+    chart = "".join(map(chr, range(0x20000, 0x20000 + 60_000)))
+    rows = [(0, chart, "en", "s"), (1, chart[:500] * 2, "en", "s"), (2, chart[100:160] + chart[59_000:59_050], "en", "s")]
+    marks = spark.createDataFrame([(1, 0)], "doc_id BIGINT, fold INT")
+    found = {r.doc_id: r for r in perplexities(documents(spark, rows), marks).collect()}
+    p = plain_model([rows[1][1]], 4)
+    for i, text, *_ in rows:
+        padded = PAD * 3 + text
+        assert found[i].n == len(text)
+        assert found[i].s0 == pytest.approx(-sum(math.log(p(padded[k:k + 4])) for k in range(len(text))), rel=1e-5)
+
+
 def test_labelled_documents(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     rows = {r.doc_id: r.kept for r in judge(docs, labels).collect()}
