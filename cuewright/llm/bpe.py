@@ -350,14 +350,14 @@ def decode(df: DataFrame, ids: str, vocabulary: str) -> DataFrame:
     return inner.mapInArrow(_decoder(content), schema).withColumnRenamed("__decoded", name)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of a documents table, with ``ids`` if asked for.
+def encode_documents(docs: DataFrame, vocabulary: str, ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of a documents table, with ``ids`` if asked for, and the columns ``keep``.
 
     Null and empty texts have no tokens (digests of nothing). Rows with null or repeated ids are rows like others, further
     columns are not looked at, and an empty table gives an empty result.
     """
-    out = encode(docs, "text", vocabulary, ["doc_id"], digests=True, ids=ids, offsets=False)
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else []))
+    out = encode(docs, "text", vocabulary, ["doc_id", *keep], digests=True, ids=ids, offsets=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else []), *keep)
 
 
 by_value(__name__)

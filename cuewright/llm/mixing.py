@@ -185,11 +185,19 @@ def mix_documents(docs: DataFrame, **settings) -> DataFrame:
     return mix_sources(docs, F.coalesce(F.octet_length("text"), F.lit(0)), text_key(F.col("text")), **settings)
 
 
-def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The documents in the order of the mixed stream, columns as they are; rows equal in id and text stand together."""
+def with_place(docs: DataFrame, name: str, **settings) -> DataFrame:
+    """The documents with a column ``name STRUCT<slot, source, place>`` that orders them as the mixed stream; rows equal in id and text have the
+    same. It depends on the set of rows only, not on their order or files, so that it is the same before and after the stream is written."""
     order = mix_documents(docs, **settings).groupBy("doc_id", "key").agg(F.min(F.struct("slot", "source", "place")).alias("at"))
     key, = fresh(docs, "mix_key")
     order = order.select(F.col("doc_id").alias("mix_id"), F.col("key").alias("mix_text"), F.col("at").alias("mix_at"))
     keyed = docs.withColumn(key, text_key(F.col("text")))
     joined = keyed.join(order, same(keyed, order, [("doc_id", "mix_id"), (key, "mix_text")]))
-    return joined.sort(order["mix_at"]).select(*columns(keyed, docs.columns))
+    return joined.select(*columns(keyed, docs.columns), order["mix_at"].alias(name))
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The documents in the order of the mixed stream, columns as they are; rows equal in id and text stand together."""
+    at, = fresh(docs, "mix_at")
+    placed = with_place(docs, at, **settings)
+    return placed.sort(at).select(*columns(placed, docs.columns))

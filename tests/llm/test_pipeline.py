@@ -27,6 +27,16 @@ def test_stages(spark):
         before = after
 
 
+def test_place_in_the_mix_outlives_files(spark, tmp_path):
+    """Written to several files and read in another order, the last stage still gives the order that the mix stage decided."""
+    stages = dict(corpus_pipeline.STAGES)
+    ordered = stages["mix"](spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    expected = [r.doc_id for r in ordered.select("doc_id").collect()]
+    ordered.repartition(5).write.parquet(str(tmp_path / "docs"))
+    rows = stages["tokens"](spark, spark.read.parquet(str(tmp_path / "docs")), DATA).collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.mix_slot, r.mix_source, r.mix_place))] == expected
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_runs(spark, name):
     rows = entry.queries()[name](spark, DATA)
