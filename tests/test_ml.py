@@ -143,6 +143,17 @@ def test_sublinear_model_and_search(spark, samples):
         grid_search(samples, {"solver": ["saga"]})
 
 
+def test_registered_search_covers_ngrams(monkeypatch):
+    """Both n-gram ranges with both penalties, all else as preset."""
+    from catalog import spark_queries
+
+    asked = {}
+    monkeypatch.setattr(spark_queries.D, "samples", lambda spark, sf: None)
+    monkeypatch.setattr(spark_queries.search, "grid_search", lambda samples, grid, **settings: (None, asked.update(grid=grid, settings=settings)))
+    spark_queries.Q["grid_search"](None, "")
+    assert asked == {"grid": {"C": [1.0, 5.0], "ngrams": [(3, 3), (3, 4)]}, "settings": {}}
+
+
 def predictions(spark, rows):
     return spark.createDataFrame(rows, "label INT, score DOUBLE").withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
 
