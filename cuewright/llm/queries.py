@@ -16,6 +16,7 @@ from cuewright.llm.pii import find_pii
 from cuewright.llm.sharding import shard_documents
 from cuewright.llm.simhash import near_duplicates
 from cuewright.llm.suffix_dedup import repeated_bytes
+from cuewright.llm.universal_minima import near_copies
 from cuewright.llm.vafile import nearest
 from cuewright.llm.warc import archive_pages
 
@@ -80,9 +81,14 @@ def op10_lz_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_universal_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document over links of sets of two-word shingles that share 0.8 of their union."""
+    return near_copies(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("key")
+
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_kneser_ney, op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op8_induced_suffixes, op9_shard_ring,
-    op10_lz_phrases)}
+    op10_lz_phrases, op11_universal_minhash)}
 
 # The others have no SQL form that DuckDB runs on whole tables; the tests hold them against brute force.
 SQL: dict[str, str] = {
