@@ -12,6 +12,7 @@ from cuewright.llm.bpe import encode_documents
 from cuewright.llm.kneser_ney import judge
 from cuewright.llm.lempel_ziv import fingerprints
 from cuewright.llm.mixing import mix_documents
+from cuewright.llm.periodic_runs import looped, periodic_runs, run_digests
 from cuewright.llm.pii import find_pii
 from cuewright.llm.sharding import shard_documents
 from cuewright.llm.simhash import near_duplicates
@@ -86,9 +87,14 @@ def op11_universal_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("key")
 
 
+def op13_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which are made to end in one, and the text without repetitions."""
+    return run_digests(periodic_runs(looped(table(spark, sf_dir, "documents"))))
+
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_kneser_ney, op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op8_induced_suffixes, op9_shard_ring,
-    op10_lz_phrases, op11_universal_minhash)}
+    op10_lz_phrases, op11_universal_minhash, op13_basic_factors)}
 
 # The others have no SQL form that DuckDB runs on whole tables; the tests hold them against brute force.
 SQL: dict[str, str] = {
