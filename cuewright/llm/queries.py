@@ -11,6 +11,7 @@ from cuewright.llm.base import table
 from cuewright.llm.bpe import encode_documents
 from cuewright.llm.kneser_ney import judge
 from cuewright.llm.lempel_ziv import fingerprints
+from cuewright.llm.mask_search import ranked
 from cuewright.llm.mixing import mix_documents
 from cuewright.llm.periodic_runs import looped, periodic_runs, run_digests
 from cuewright.llm.pii import find_pii
@@ -87,6 +88,11 @@ def op11_universal_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("key")
 
 
+def op12_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents that rank highest for every benchmark item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, a tenth of which are made to end in one, and the text without repetitions."""
     return run_digests(periodic_runs(looped(table(spark, sf_dir, "documents"))))
@@ -94,7 +100,7 @@ def op13_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_kneser_ney, op2_boosted_pii, op3_simhash_trie, op4_va_file, op5_mix_sources, op6_byte_bpe, op7_warc_index, op8_induced_suffixes, op9_shard_ring,
-    op10_lz_phrases, op11_universal_minhash, op13_basic_factors)}
+    op10_lz_phrases, op11_universal_minhash, op12_mask_search, op13_basic_factors)}
 
 # The others have no SQL form that DuckDB runs on whole tables; the tests hold them against brute force.
 SQL: dict[str, str] = {
@@ -116,4 +122,18 @@ SQL: dict[str, str] = {
         CASE WHEN bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN bytes >= 100 AND first <> page_id THEN first END AS refers_to, url_key,
         row_number() OVER (ORDER BY url_key, page_id, md5(page_id || '|' || url || '|' || digest)) - 1 AS capture_no FROM k""",
+    "op12_mask_search": r"""
+      WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+      c AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms)) AS words FROM d),
+      p AS (SELECT r, term, any_value(n) AS n, count(*) AS tf FROM (SELECT r, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY r, term),
+      w AS (SELECT term, CAST(floor(1000 * ln((2 * CAST(any_value(docs) AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term),
+      b AS (SELECT row_number() OVER () AS q, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+      i AS (SELECT q, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM b),
+      s AS (SELECT q, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS score
+        FROM i JOIN p USING (term) JOIN w USING (term), c GROUP BY q, r HAVING score > 0),
+      k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s JOIN d USING (r) JOIN b USING (q))
+      SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM k WHERE rank <= 20""",
 }

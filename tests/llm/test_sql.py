@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n == "pipeline" or n.startswith("op")))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "labels"):
+    for table in ("documents", "embeddings", "pages", "labels", "benchmark"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     result = duck.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in result.description]
