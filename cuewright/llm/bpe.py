@@ -26,6 +26,13 @@ from cuewright.llm.base import by_value, fresh
 LETTER, NUMBER, OTHER, BLANK = range(4)
 # The code points of Unicode's White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# First and last code points of letters and of numbers that Unicode 16.0 added; Python's tables are of 15.1.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 # What may follow an apostrophe in a pre-token of its own.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 # Symbols: L N O, apostrophe with one or two letters to come, a space or another blank before a non-blank, a blank before
@@ -44,6 +51,9 @@ def class_table() -> bytes:
         kind = unicodedata.category(chr(code))[0]
         if kind in "LN":
             table[code] = LETTER if kind == "L" else NUMBER
+    for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for first, last in ranges:
+            table[first:last + 1] = kind
     table[WHITE] = BLANK
     return zlib.compress(table.tobytes(), 9)
 
@@ -326,16 +336,16 @@ def encode(df: DataFrame, text: str | Column, vocabulary: str, keep: list[str],
     return inner.mapInArrow(_encoder(content, class_table(), digests, ids, offsets), schema)
 
 
-def _decoder(vocabulary: bytes):
+def _decoder(vocabulary: bytes, ids: str, name: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = None
         for batch in batches:
             tokens = tokens or {rank: token for token, rank in read_ranks(vocabulary).items()}
-            at = batch.schema.get_field_index("__ids")
+            at = batch.schema.get_field_index(ids)
             out = [None if (raw := x.as_py()) is None else b"".join(map(tokens.__getitem__, np.frombuffer(raw, "<u4").tolist()))
                    for x in batch.column(at)]
             columns = [c for i, c in enumerate(batch.columns) if i != at] + [pa.array(out, pa.binary())]
-            names = [n for i, n in enumerate(batch.schema.names) if i != at] + ["__decoded"]
+            names = [n for i, n in enumerate(batch.schema.names) if i != at] + [name]
             yield pa.RecordBatch.from_arrays(columns, names=names)
     return decode
 
@@ -344,20 +354,20 @@ def decode(df: DataFrame, ids: str, vocabulary: str) -> DataFrame:
     """The rows with ``decoded BINARY``: the bytes of their ids; null for null."""
     with open(vocabulary, "rb") as file:
         content = file.read()
-    name, = fresh(df, "decoded")
-    inner = df.withColumn("__ids", F.col(ids))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["__decoded BINARY"])
-    return inner.mapInArrow(_decoder(content), schema).withColumnRenamed("__decoded", name)
+    inner_ids, name = fresh(df, "ids_to_decode", "decoded")
+    inner = df.withColumn(inner_ids, F.col(ids))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{name} BINARY"])
+    return inner.mapInArrow(_decoder(content, inner_ids, name), schema)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of a documents table, with ``ids`` if asked for, and the columns ``keep``.
+def encode_documents(docs: DataFrame, vocabulary: str, ids: bool = False, keep: tuple[str, ...] = (), offsets: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of a documents table, with ``ids`` and ``piece_starts`` if asked for, and the columns ``keep``.
 
     Null and empty texts have no tokens (digests of nothing). Rows with null or repeated ids are rows like others, further
     columns are not looked at, and an empty table gives an empty result.
     """
-    out = encode(docs, "text", vocabulary, ["doc_id", *keep], digests=True, ids=ids, offsets=False)
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else []), *keep)
+    out = encode(docs, "text", vocabulary, ["doc_id", *keep], digests=True, ids=ids, offsets=offsets)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["piece_starts"] * offsets, *keep)
 
 
 by_value(__name__)

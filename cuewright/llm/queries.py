@@ -58,8 +58,8 @@ def vocabulary() -> str:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's ids and of the bytes decoded from them."""
-    return encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+    """Digests of every document's ids and of the bytes decoded from them, and where its pre-tokens start."""
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary(), offsets=True)
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

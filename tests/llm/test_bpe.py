@@ -72,3 +72,18 @@ def test_odd_rows(spark, odd, nothing, library):
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in back)
     with pytest.raises(ValueError):
         bpe.encode(odd, "text", PATH, ["n_tokens"])
+
+
+def test_every_code_point(codec, library):
+    """Classes of all code points as the library sees them: as letters, as numbers, and beside a space."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("{c}'s", " {c}{c}", "1{c}2"):
+        for at in range(0, len(points), 50_000):
+            texts = [form.format(c=chr(c)) for c in points[at:at + 50_000]]
+            assert ids(codec, texts) == [library.encode_ordinary(t) for t in texts], form
+
+
+def test_decode_beside_any_columns(spark):
+    rows = spark.createDataFrame([("Some text é", "x", "y", "z")], "text STRING, decoded STRING, ids_to_decode STRING, __ids STRING")
+    out = bpe.decode(bpe.encode(rows, "text", PATH, ["decoded", "ids_to_decode", "__ids"]), "ids", PATH).first()
+    assert (bytes(out.decoded_).decode(), out.decoded, out.ids_to_decode, out["__ids"], out.piece_starts) == ("Some text é", "x", "y", "z", [0, 4, 9])
