@@ -2,9 +2,9 @@
 
 A first pass gives every task's distinct n-grams with their counts in its trusted text; they are summed per n-gram. All
 model quantities (continuation counts, discounts, context totals) are aggregates of those sums, joined by n-gram or context, so
-the model is sharded like any table and has no size limit. For scoring, documents are dealt into blocks of bounded size. A block asks
-for its distinct n-grams' probabilities once, not once per document, and gets them by a join with the sharded table; then
-each document's log probability is summed. Models are kept per language, and three at once: of all trusted text, and of each half of it.
+the model is sharded like any table and has no size limit. For scoring, every task packs its documents by language into compressed packets, and packets of a
+language are dealt into blocks of bounded size. A block asks for its distinct n-grams' probabilities once, not once per document, and gets them by a join with
+the sharded table; then each document's log probability is summed. Models are kept per language, and three at once: of all trusted text, and of each half of it.
 Trusted documents are judged by the half that they are not in, so that the threshold, a quantile per language, holds for
 documents the model has not seen.
 """
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from cuewright.llm.base import by_value, columns, fresh, same, stored, text_key
 PAD = 0xFFFF  # stands before a text; no character
 CHUNK = 1 << 21
 MODELS = (0, 1, 2)  # all trusted text, its first half, its second half
+PACKET = 1 << 20  # bytes of text in a packet
+LANGUAGES = 10_000  # rows of a table of languages up to which it is broadcast; it is joined like any other beyond
 
 
 def _codes(text: bytes) -> np.ndarray:
@@ -177,47 +180,84 @@ def _counter(order: int):
     return run
 
 
+def _packed(tables: list[pa.Table]) -> bytes:
+    out = pa.BufferOutputStream()
+    table = pa.concat_tables(tables).combine_chunks()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packets: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packets.column("packet")])
+
+
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and texts of a task by language, in packets of about ``PACKET`` bytes; their numbers are the task's, and the same if it runs again."""
+    held: dict[str, list[pa.Table]] = {}
+    size: dict[str, int] = {}
+    task, made = TaskContext.get().partitionId(), 0
+
+    def packet(lang: str) -> pa.RecordBatch:
+        nonlocal made
+        made += 1
+        size.pop(lang)
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([task << 32 | made]), pa.array([_packed(held.pop(lang))], pa.binary())],
+                                          names=["lang", "number", "packet"])
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).select(["doc_id", "text"])
+        for lang, rows in _languages(batch):
+            for at in range(0, len(rows), 256):
+                part = table.take(pa.array(rows[at:at + 256]))
+                held.setdefault(lang, []).append(part)
+                size[lang] = size.get(lang, 0) + part.nbytes
+                if size[lang] >= PACKET:
+                    yield packet(lang)
+        while sum(size.values()) >= 32 * PACKET:  # many languages
+            yield packet(max(size, key=size.get))
+    for lang in list(held):
+        yield packet(lang)
+
+
 def _ask(order: int):
-    def run(key: tuple, docs: pa.Table) -> pa.Table:
+    def run(key: tuple, packets: pa.Table) -> pa.Table:
         """Distinct n-grams of a block."""
-        out: list[pa.Table] = []
-        for lang, rows in _languages(docs):
-            grams, _ = _distinct([docs.column("text")[int(i)].as_py() or b"" for i in rows], np.zeros(len(rows), np.int64), order)
-            out.append(pa.table({"block": pa.array([key[0].as_py()] * len(grams), pa.int64()), "lang": pa.array([lang] * len(grams), pa.string()),
-                                 "gram": pa.array(grams, pa.string())}))
-        return pa.concat_tables(out)
+        texts = [x.as_py() or b"" for x in _unpacked(packets).column("text")]
+        grams, _ = _distinct(texts, np.zeros(len(texts), np.int64), order)
+        lang, block = (k.as_py() for k in key)
+        return pa.table({"lang": pa.array([lang] * len(grams), pa.string()), "block": pa.array([block] * len(grams), pa.int64()), "gram": pa.array(grams, pa.string())})
     return run
 
 
 def _score(order: int):
-    def run(key: tuple, docs: pa.Table, scores: pa.Table) -> pa.Table:
+    def run(key: tuple, packets: pa.Table, scores: pa.Table) -> pa.Table:
         """Code points and negative log probabilities of every document of a block."""
-        n_docs = docs.num_rows
-        column = docs.column("text")
-        count, sums = np.zeros(n_docs, np.int64), np.zeros((n_docs, len(MODELS)))
-        lang_of = np.array(scores.column("lang").to_pylist(), object)
-        grams = scores.column("gram")
-        logs = np.stack([scores.column(f"p{m}").to_numpy().astype(float) for m in MODELS], 1) if scores.num_rows else np.zeros((0, len(MODELS)))
-        for lang, rows in _languages(docs):
-            texts = [column[int(i)].as_py() or b"" for i in rows]
-            packer = _packer(texts, order)
-            mine = np.flatnonzero(lang_of == lang)
-            if not len(mine):
-                continue
-            known = packer.pack_texts(grams.take(pa.array(mine)).to_pylist())
+        docs = _unpacked(packets)
+        texts = [x.as_py() for x in docs.column("text")]
+        filled = [x or b"" for x in texts]
+        count, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(MODELS)))
+        packer = _packer(filled, order)
+        if scores.num_rows:
+            known = packer.pack_texts(scores.column("gram").to_pylist())
             rank = np.argsort(known)
-            known, values = known[rank], logs[mine[rank]]
-            for codes, starts, owner in _runs(texts, order):
+            known, values = known[rank], np.stack([scores.column(f"p{m}").to_numpy() for m in MODELS], 1)[rank]
+            for codes, starts, owner in _runs(filled, order):
                 found = np.searchsorted(known, packer.pack(codes, starts))
                 first = np.flatnonzero(np.diff(owner, prepend=-1))
-                np.add.at(sums, rows[owner[first]], np.add.reduceat(values[found], first, axis=0))
-                np.add.at(count, rows[owner[first]], np.diff(first, append=len(owner)))
-        keys = [None if (raw := column[i].as_py()) is None else hashlib.md5(raw).hexdigest() for i in range(n_docs)]
-        return pa.table({"doc_id": docs.column("doc_id"), "key": pa.array(keys, pa.string()), "lang": docs.column("lang"), "n": count,
+                np.add.at(sums, owner[first], np.add.reduceat(values[found], first, axis=0, dtype=float))
+                np.add.at(count, owner[first], np.diff(first, append=len(owner)))
+        keys = [None if x is None else hashlib.md5(x).hexdigest() for x in texts]
+        return pa.table({"doc_id": docs.column("doc_id"), "key": pa.array(keys, pa.string()), "lang": pa.array([key[0].as_py()] * len(texts), pa.string()), "n": count,
                          **{f"s{m}": -sums[:, m] for m in MODELS}})
     return run
 
 
+def _languages_table(df: DataFrame, purpose: str) -> DataFrame:
+    """A table of one row a language, written and counted, and broadcast if it has at most ``LANGUAGES``."""
+    df = stored(df, purpose)
+    return F.broadcast(df) if df.count() <= LANGUAGES else df
+
+
 def _discounts(counts: DataFrame, order: int, models: tuple[int, ...]) -> DataFrame:
     """Modified Kneser-Ney discounts of an order, per language: for counts of one, two, and three or more in each model."""
     n = [F.count_if(F.col(f"c{m}") == i).alias(f"n{m}{i}") for m in models for i in (1, 2, 3, 4)]
@@ -242,7 +282,7 @@ def probabilities(counts: DataFrame, order: int, models: tuple[int, ...] = (0,))
     for k in range(order - 1, 0, -1):
         extensions = [F.count_if(F.col(f"c{m}") > 0).alias(f"c{m}") for m in models]
         tables[k] = stored(tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(*extensions), "ngrams")
-    symbols = tables[1].groupBy("lang").agg(*[(F.count_if(F.col(f"c{m}") > 0) + 1).alias(f"symbols{m}") for m in models])
+    symbols = _languages_table(tables[1].groupBy("lang").agg(*[(F.count_if(F.col(f"c{m}") > 0) + 1).alias(f"symbols{m}") for m in models]), "ngram-symbols")
     out = counts.select("lang", "gram").join(symbols, "lang").select(
         "lang", "gram", *[F.when(F.col(f"symbols{m}") > 1, 1 / F.col(f"symbols{m}")).otherwise(1.0).alias(f"p{m}") for m in models])
     for k in range(1, order + 1):
@@ -251,7 +291,8 @@ def probabilities(counts: DataFrame, order: int, models: tuple[int, ...] = (0,))
             F.sum(c).alias(f"total{m}"), F.count_if(c == 1).alias(f"one{m}"), F.count_if(c == 2).alias(f"two{m}"), F.count_if(c > 2).alias(f"more{m}"))]
         context = seen.groupBy("lang", F.substring("gram", 1, k - 1).alias("h")).agg(*sums)
         out = out.withColumn("h", F.substring("gram", order - k + 1, k - 1)).withColumn("g", F.substring("gram", order - k + 1, k))
-        out = out.join(seen.withColumnRenamed("gram", "g"), ["lang", "g"]).join(context, ["lang", "h"]).join(_discounts(seen, k, models), "lang")
+        out = out.join(seen.withColumnRenamed("gram", "g"), ["lang", "g"]).join(context, ["lang", "h"])
+        out = out.join(_languages_table(_discounts(seen, k, models), "ngram-discounts"), "lang")
 
         def interpolated(m: int) -> Column:
             c, total, below = F.col(f"c{m}"), F.col(f"total{m}"), F.col(f"p{m}")
@@ -263,39 +304,37 @@ def probabilities(counts: DataFrame, order: int, models: tuple[int, ...] = (0,))
     return out
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars: int = 48_000_000, most_broadcast: int = 2_000_000) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars: int = 16_000_000, most_broadcast: int = 2_000_000) -> DataFrame:
     """``doc_id, key, lang, n, s0, s1, s2``: of every row its digest, code points, and negative log probabilities by the models.
 
     ``labels``: ``doc_id, fold`` of trusted documents; they are broadcast where there are at most ``most_broadcast``, and joined by a shuffle
-    otherwise. Blocks are by id and text.
+    otherwise. Blocks are of one language each, of packets of neighbouring rows, so that a row repeated very often is in many of them.
     """
-    text = F.col("text").cast("binary").alias("text")
-    language = F.coalesce("lang", F.lit("")).alias("lang")
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text"))
     marks = labels.select(F.col("doc_id").alias("mark"), (F.col("fold") + 1).alias("fold"))
     if labels.count() <= most_broadcast:
         marks = F.broadcast(marks)
-    marked = docs.join(marks, docs["doc_id"] == marks["mark"], "left").select(
-        language, docs["text"].cast("binary").alias("text"), F.coalesce("fold", F.lit(0)).cast("long").alias("fold"))
+    marked = rows.join(marks, F.col("doc_id") == F.col("mark"), "left").select("lang", "text", F.coalesce("fold", F.lit(0)).cast("long").alias("fold"))
     sums = marked.mapInArrow(_counter(order), "lang STRING, gram STRING, c1 BIGINT, c2 BIGINT").groupBy("lang", "gram").agg(
         F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
     grams = stored(sums.select("lang", "gram", (F.col("c1") + F.col("c2")).alias("c0"), "c1", "c2"), "ngrams")
     found = probabilities(grams, order, MODELS)
     wide = stored(found.select("lang", "gram", *[F.log(f"p{m}").cast("float").alias(f"p{m}") for m in MODELS]), "ngram-scores")
 
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    rows = docs.select("doc_id", language, text,
-                       F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    # the blocks' exchange is the same in both places and runs once
-    asked = rows.groupBy("block").applyInArrow(_ask(order), "block BIGINT, lang STRING, gram STRING")
-    answers = asked.join(wide, ["lang", "gram"]).select("block", "lang", "gram", *[f"p{m}" for m in MODELS])
+    chars = rows.groupBy("lang").agg(F.ceil(F.sum(F.octet_length("text")) / block_chars).alias("blocks")).filter("blocks > 1")
+    packed = rows.mapInArrow(_packets, "lang STRING, number BIGINT, packet BINARY")
+    packed = packed.join(_languages_table(chars, "ngram-blocks"), "lang", "left").select(
+        "lang", F.pmod(F.xxhash64("number"), F.coalesce("blocks", F.lit(1))).alias("block"), "packet")
+    # the packets' exchange is the same in both places and runs once
+    asked = packed.groupBy("lang", "block").applyInArrow(_ask(order), "lang STRING, block BIGINT, gram STRING")
+    answers = asked.join(wide, ["lang", "gram"]).select("lang", "block", "gram", *[f"p{m}" for m in MODELS])
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key STRING, lang STRING, n BIGINT, "
               + ", ".join(f"s{m} DOUBLE" for m in MODELS))
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order), schema)
+    return packed.groupBy("lang", "block").cogroup(answers.groupBy("lang", "block")).applyInArrow(_score(order), schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, order: int = 4, quantile: float = 0.99, prior: int = 100,
-          least: int = 20, block_chars: int = 48_000_000) -> DataFrame:
+          least: int = 20, block_chars: int = 16_000_000) -> DataFrame:
     """``doc_id, key, lang, n_chars, perplexity, score, threshold, kept`` of every row of ``docs``.
 
     ``labels``: ``doc_id`` and whatever ``trusted`` (by default: quality 1, not toxic) looks at. ``score`` is the mean negative log probability of a
@@ -313,11 +352,11 @@ def judge(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, ord
     # a document in one half is judged by the model of the other half
     rows = rows.withColumn("s", F.when(fold == 0, F.col("s2")).when(fold == 1, F.col("s1")).otherwise(F.col("s0")))
     good = rows.filter("fold IS NOT NULL AND n > 0")
-    means = good.groupBy("lang").agg((F.sum("s") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("trusted"))
+    means = _languages_table(good.groupBy("lang").agg((F.sum("s") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("trusted")), "trusted-means")
     shrunk = (F.col("s") + prior * F.col("mean")) / (F.col("n") + prior)
     limits = good.join(means, "lang").groupBy("lang").agg(F.percentile_approx(shrunk, F.lit(quantile), F.lit(100_000)).alias("threshold"))
     limits = means.join(limits, "lang").filter(F.col("trusted") >= least).select(F.col("lang").alias("l"), "mean", "threshold")
-    out = rows.join(limits, F.col("lang") == F.col("l"), "left")
+    out = rows.join(_languages_table(limits, "thresholds"), F.col("lang") == F.col("l"), "left")
     judged = F.when(F.col("n") > 0, shrunk)
     return out.select("doc_id", "key", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("s") / F.col("n"))).alias("perplexity"),
                       judged.alias("score"), "threshold", F.coalesce(judged <= F.col("threshold"), F.lit(True)).alias("kept"))

@@ -1,7 +1,7 @@
 import pytest
 
 EXTRA = ("key text_key fp block place spans email email_wide ids n_tokens label score mix_key mix_at lang_key kept rank slot gram "
-         "__id __text bucket size component_id").split()
+         "__id __text bucket size component_id fold mark c0 number packet blocks digest signature n_words runs n terms times __ids").split()
 LONG = "word and another word, 4012888888881881. " * 8_000
 
 
