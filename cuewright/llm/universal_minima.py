@@ -5,17 +5,17 @@ similarity ``s`` agree in a minimum with probability ``s``, in all of a band wit
 ``1 - (1 - s ** rows) ** bands``: with 48 bands of 6 that is 0.9999995 at 0.8 and more above. Equal sets are one node from the start, so a
 group of copies costs one row.
 
-Nodes that agree in a band are a bucket. First every bucket gives a forest of its likely links, judged by signatures of one byte a minimum; the
-full sets confirm or refuse them, and alternating large and small stars connect what is confirmed. Then the pairs of a bucket that are still in different
-components and whose signatures do not rule out a link are confirmed in the same way. Buckets of many nodes are cut into blocks, and a block, or a pair of blocks, is
-one group of a task: no group grows with its bucket, and no pair is left out.
+Nodes that agree in a band are a bucket. Signatures, one byte a minimum, tell which pairs of a bucket may be linked; a bucket gives a forest over
+these, and alternating large and small stars make families of them: whatever is linked is in one family. Then the full sets of a family meet in a task, where they are compared,
+and again a forest of the true links leaves it, of which stars make the components. Large buckets and families are cut into blocks, and a pair of blocks is one
+group of a task: no group grows with its bucket or family, no pair is left out, and only tree edges are rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ from cuewright.llm.simhash import components
 
 BANDS, ROWS = 48, 6
 SIGNATURE = 128  # minima of which a byte is kept
-BLOCK = 2_048  # nodes of a bucket that are compared in one group
+BLOCK = 2_048  # nodes of a bucket or family that are one block
+MEMBERS = 1 << 21  # shingles of a family's block
 
 
 class Family:
@@ -117,60 +118,83 @@ def _shingler(shingle: int):
     return run
 
 
-def likely_at(least: float) -> int:
-    return math.ceil(SIGNATURE * least)
-
-
 def possible_at(least: float) -> int:
     """Agreeing bytes below which a link is ruled out: six standard deviations under the mean at the least similarity."""
     return max(1, math.floor(SIGNATURE * least - 6 * math.sqrt(SIGNATURE * least * (1 - least))))
 
 
-def forest(signatures: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Tree edges that connect positions over pairs with enough agreeing bytes, level by level from the first position not reached."""
-    edges, apart = [], np.arange(len(signatures))
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Tree edges that connect the positions 0 to ``n - 1``, level by level from the first position not reached.
+
+    ``near(at, others)`` says which of the other positions one is linked with. Every position is compared with all that are not connected with it by then, so the trees are
+    the components of all links.
+    """
+    edges, apart = [], np.arange(n)
     while len(apart) > 1:
-        queue, apart = [apart[0]], apart[1:]
+        queue, apart = [int(apart[0])], apart[1:]
         for at in queue:
             if not len(apart):
                 break
-            near = (signatures[apart] == signatures[at]).sum(axis=1) >= enough
-            edges += [(at, x) for x in apart[near]]
-            queue += list(apart[near])
-            apart = apart[~near]
+            linked = near(at, apart)
+            reached = apart[linked].tolist()
+            edges += [(at, x) for x in reached]
+            queue += reached
+            apart = apart[~linked]
     return edges
 
 
-def across(signatures: np.ndarray, root: np.ndarray, side: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Pairs of positions of two sides (side 2: of one block with itself) with different roots and enough agreeing bytes."""
-    pairs: list[tuple[int, int]] = []
-    right = np.flatnonzero(side == 1)
-    for at in np.flatnonzero(side != 1):
-        other = right if side[at] == 0 else np.arange(at + 1, len(side))
-        other = other[root[other] != root[at]]
-        pairs += [(at, x) for x in other[(signatures[other] == signatures[at]).sum(axis=1) >= enough]]
-    return pairs
+def by_signature(signatures: np.ndarray, enough: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    return lambda at, others: (signatures[others] == signatures[at]).sum(axis=1) >= enough
+
+
+def by_sets(members: np.ndarray, sizes: np.ndarray, percent: int, possible: Callable[[int, np.ndarray], np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether sets, one after another in ``members``, share enough of their union; those that cannot are not looked at."""
+    number = np.unique(members, return_inverse=True)[1]
+    first = np.cumsum(sizes) - sizes
+    held = np.zeros(int(number.max(initial=-1)) + 1, bool)
+
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        out = possible(at, others) & (100 * np.minimum(sizes[others], sizes[at]) >= percent * np.maximum(sizes[others], sizes[at]))
+        some = others[out]
+        if len(some):
+            own = number[first[at]:first[at] + sizes[at]]
+            held[own] = True
+            n = sizes[some]
+            starts = np.cumsum(n) - n
+            shared = np.add.reduceat(held[number[np.repeat(first[some] - starts, n) + np.arange(n.sum())]], starts, dtype=np.int64)
+            held[own] = False
+            out[out] = 100 * shared >= percent * (n + sizes[at] - shared)
+        return out
+    return near
 
 
-def _pairs(rows: pa.Table, ends: np.ndarray, enough: int, spanning: bool) -> pa.RecordBatch:
-    """Pairs ``a < b`` of nodes of every group of rows: tree edges of likely links, or all that may be links and have different roots."""
+def _groups(rows: pa.Table, ends: np.ndarray, enough: int, percent: int | None) -> pa.RecordBatch:
+    """Tree edges ``a < b`` of every group of rows: of possible links, or, with ``percent``, of true ones."""
     rows = rows.slice(0, ends[-1])
-    node, root, side = (rows.column(c).to_numpy() for c in ("node", "root", "side"))
+    node = rows.column("node").to_numpy()
     signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
     size = np.diff(ends)
-    two = ends[:-1][size == 2]  # most groups are pairs
-    near = ((signatures[two] == signatures[two + 1]).sum(axis=1) >= enough) & (root[two] != root[two + 1])
-    near &= (side[two] == 2) | (side[two] != side[two + 1])
-    found = [np.stack([two[near], two[near] + 1], 1)]
-    for start, n in zip(ends[:-1][size > 2], size[size > 2]):
-        part = slice(start, start + n)
-        pairs = forest(signatures[part], enough) if spanning else across(signatures[part], root[part], side[part], enough)
-        found.append(np.array(pairs, np.int64).reshape(-1, 2) + start)
-    pairs = node[np.concatenate(found)]
+    found: list[np.ndarray] = []
+    if percent is None:
+        two = ends[:-1][size == 2]  # most buckets are pairs
+        near = (signatures[two] == signatures[two + 1]).sum(axis=1) >= enough
+        found.append(np.stack([two[near], two[near] + 1], 1))
+        wanted = size > 2
+    else:
+        lists = rows.column("members").combine_chunks()
+        members, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        wanted = size > 1
+    for start, n in zip(ends[:-1][wanted].tolist(), size[wanted].tolist()):
+        near = by_signature(signatures[start:start + n], enough)
+        if percent is not None:
+            near = by_sets(members[first[start]:first[start + n]], sizes[start:start + n], percent, near)
+        found.append(np.array(forest(n, near), np.int64).reshape(-1, 2) + start)
+    pairs = node[np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
 
 
-def _compare(enough: int, spanning: bool):
+def _trees(enough: int, percent: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by ``bucket``; a group may go over into the next batch."""
         held: list[pa.Table] = []
@@ -184,61 +208,50 @@ def _compare(enough: int, spanning: bool):
             bucket = rows.column("bucket").to_numpy()
             ends = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
             held = [rows.slice(ends[-1])]
-            yield _pairs(rows, ends, enough, spanning)
+            yield _groups(rows, ends, enough, percent)
         if held:
             rows = pa.concat_tables(held).combine_chunks()
-            yield _pairs(rows, np.array([0, rows.num_rows]), enough, spanning)
+            yield _groups(rows, np.array([0, rows.num_rows]), enough, percent)
     return run
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of the pairs ``a, b`` of nodes those whose full sets share enough."""
-    wanted = nodes.select("node", "key").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    rows = texts.join(wanted, "key").dropDuplicates(["node"]).select("node", "text")
-    sets = stored(rows.mapInArrow(_shingler(shingle), "node BIGINT, members ARRAY<BIGINT>"), "shingle-sets")
-    both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
-    shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return both.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+def in_blocks(rows: DataFrame, group: str, *more: str) -> DataFrame:
+    """``bucket, node`` and more columns: rows of a group of ``blocks`` blocks, each drawn into one of them and dealt out to the pairs with every other."""
+    one = F.pmod(F.xxhash64("node", group), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(every, lambda x: x != F.col("block")))
+    dealt = rows.withColumn("block", one).withColumn("other", F.explode(pairs))
+    bucket = F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.select(bucket.alias("bucket"), "node", *more)
 
 
-def linked_sets(signed: DataFrame, texts: DataFrame, shingle: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` (one row a distinct set: ``node, digest, key, signature``) and ``roots`` (``node, root``; nodes without a link are left out)."""
+def linked_sets(signed: DataFrame, texts: DataFrame, shingle: int, percent: int, block: int = BLOCK, members: int = MEMBERS) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` (one row a distinct set: ``node, digest``) and ``roots`` (``node, root``; nodes without a link are left out)."""
+    enough = possible_at(percent / 100)
     distinct = signed.filter("digest IS NOT NULL").dropDuplicates(["digest"])
     # numbers are given in the one write of the table, so they never change
     nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "key", "size", "signature", "bands"), "minima-nodes")
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # a bucket's blocks are drawn anew in every band, so that nodes parted in one meet in another
-    salt = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / block))
-    shared = stored(members.join(shared, "band").select("band", "node", salt.alias("salt"), F.ceil(F.col("n") / block).alias("blocks")), "minima-buckets")
     signatures = nodes.select("node", "signature")
 
-    likely = shared.join(signatures, "node").select(
-        F.xxhash64("band", "salt").alias("bucket"), "node", F.col("node").alias("root"), F.lit(2).cast("byte").alias("side"), "signature")
-    likely = likely.repartition("bucket").sortWithinPartitions("bucket", "node")
-    tried = stored(likely.mapInArrow(_compare(likely_at(percent / 100), True), "a BIGINT, b BIGINT").distinct(), "minima-forest")
-    links = stored(_confirmed(tried, nodes, texts, shingle, percent), "minima-links")
-    roots = stored(components(links), "minima-roots")
-
-    # pairs still apart in a bucket: block against block
-    apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = stored(apart, "minima-apart")
-    mixed = apart.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    apart = apart.join(mixed, "band", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    first, second = F.least("salt", "other"), F.greatest("salt", "other")
-    side = F.when(F.col("salt") == F.col("other"), 2).when(F.col("salt") < F.col("other"), 0).otherwise(1).cast("byte")
-    apart = apart.select(F.xxhash64("band", first, second).alias("bucket"), "node", "root", side.alias("side"))
-    apart = apart.join(signatures, "node").repartition("bucket").sortWithinPartitions("bucket", "side", "node")
-    rest = apart.mapInArrow(_compare(possible_at(percent / 100), False), "a BIGINT, b BIGINT").distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "minima-rest")
-    if rest.limit(1).count():
-        more = stored(_confirmed(rest, nodes, texts, shingle, percent), "minima-links")
-        if more.limit(1).count():
-            roots = stored(components(links.union(more)), "minima-roots")
-    return nodes, roots
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    placed = nodes.select("node", F.explode("bands").alias("band"))
+    shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / block).alias("blocks"))
+    buckets = in_blocks(placed.join(shared, "band"), "band").join(signatures, "node")
+    maybe = buckets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_trees(enough), "a BIGINT, b BIGINT")
+    families = stored(components(maybe), "minima-families")
+
+    sizes = families.union(families.select("root", "root").distinct()).toDF("node", "family").distinct().join(nodes.select("node", "key", "size", "signature"), "node")
+    sizes = stored(sizes, "minima-members")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / members))
+    wanted = stored(sizes.join(sizes.groupBy("family").agg(blocks.alias("blocks")), "family"), "minima-wanted")
+    # how many texts are wanted grows with the input, so they are joined in the same way at every size
+    found = texts.join(wanted.select("key", "node").hint("merge"), "key").dropDuplicates(["node"]).select("node", "text")
+    sets = stored(found.mapInArrow(_shingler(shingle), "node BIGINT, members ARRAY<BIGINT>"), "minima-sets")
+    groups = in_blocks(wanted, "family", "signature").join(sets, "node")
+    links = groups.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_trees(enough, percent), "a BIGINT, b BIGINT")
+    return nodes, stored(components(links), "minima-roots")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK, members: int = MEMBERS) -> DataFrame:
     """``doc_id, key, n_shingles, component_id, kept`` of every row of ``docs``.
 
     Rows are linked if their sets of ``shingle`` words share at least ``percent`` hundredths of their union. ``component_id`` is the least
@@ -251,7 +264,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = stored(rows.mapInArrow(_signer(shingle), f"doc_id {id_type}, key STRING, size BIGINT, digest BINARY, signature BINARY, bands ARRAY<BIGINT>"), "minima")
-    nodes, roots = linked_sets(signed, rows.select("key", "text"), shingle, percent, block)
+    nodes, roots = linked_sets(signed, rows.select("key", "text"), shingle, percent, block, members)
     # the least id of a set first, so that a component has a row a set
     least = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
     sets = nodes.select("node", "digest").join(least, "digest").join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))

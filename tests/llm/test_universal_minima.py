@@ -8,7 +8,7 @@ import pytest
 from cuewright.llm import universal_minima
 from cuewright.llm.queries import op11_universal_minhash
 from cuewright.llm.simhash import connect
-from cuewright.llm.universal_minima import across, forest, near_copies
+from cuewright.llm.universal_minima import by_sets, by_signature, forest, near_copies
 
 from .conftest import documents
 
@@ -49,11 +49,11 @@ def planted(seed=5):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("k, block", [(2, 3), (5, 2_048)])
-def test_planted_copies(spark, k, block):
+@pytest.mark.parametrize("k, block, members", [(2, 3, 10_000), (2, 2_048, 300), (5, 2_048, 1 << 21)])
+def test_planted_copies(spark, k, block, members):
     rows = planted()
     docs = documents(spark, [(i, t, "en", "s") for i, t in rows], False)
-    found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_copies(docs, k, block=block).collect()]
+    found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_copies(docs, k, block=block, members=members).collect()]
     assert sorted(found) == brute(rows, k)
     sizes = [len([r for r in found if r[2] == c]) for c in {r[2] for r in found}]
     assert max(sizes) > 4 and len(sizes) > 30
@@ -77,21 +77,31 @@ def test_odd_rows(odd, nothing):
     assert rows[None, None].kept and near_copies(nothing, 2).collect() == []
 
 
-def test_group_steps():
+def test_forest_of_signatures():
     rng = np.random.default_rng(2)
     hub = rng.integers(0, 256, universal_minima.SIGNATURE).astype(np.uint8)
     spokes = np.stack([hub] * 9)
     for i, row in enumerate(spokes[1:]):
         row[i * 15:i * 15 + 15] += 1
     rows = spokes[[3, 5, 0, 1, 2, 4, 6, 7, 8]]
-    edges = forest(rows, 110)  # a spoke has 113 bytes of the hub and 98 of another spoke
+    edges = forest(9, by_signature(rows, 110))  # a spoke has 113 bytes of the hub and 98 of another spoke
     assert len(edges) == 8 and all(2 in e for e in edges)
-    root = np.arange(9)
-    root[4:] = 4
-    pairs = across(rows, root, np.full(9, 2), 98)
-    assert sorted(pairs) == [(i, j) for i in range(9) for j in range(i + 1, 9) if root[i] != root[j]]
-    side = np.array([0, 0, 1, 1, 1, 0, 0, 0, 0])
-    assert {(i, j) for i, j in across(rows, np.arange(9), side, 98)} == {(i, j) for i in range(9) for j in range(9) if side[i] == 0 and side[j] == 1}
+
+
+def test_forest_of_sets():
+    rng = random.Random(8)
+    sets = []
+    for _ in range(25):
+        base = rng.sample(range(10_000), rng.randint(1, 60))
+        for _ in range(8):
+            sets.append(sorted({rng.randrange(10_000) if rng.random() < 0.1 else x for x in base}))
+    every = lambda at, others: np.ones(len(others), bool)
+    near = by_sets(np.concatenate(sets), np.array([len(x) for x in sets]), 80, every)
+    edges = forest(len(sets), near)
+    true = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))]
+    assert {(max(e), min(e)) for e in edges} <= set(true) and len(edges) < len(true)
+    both = [connect(len(sets), *np.array(x).T) for x in (edges, true)]
+    assert (both[0] == both[1]).all() and len(set(both[0])) == len(sets) - len(edges)
 
 
 def test_minima_estimate_similarity():
