@@ -288,6 +288,27 @@ def _tfidf(hi: int, tf: str) -> str:
 
 SQL["tfidf_weights"] = _tfidf(4, "tf")
 SQL["tfidf_sublinear"] = _tfidf(3, "(1 + ln(tf))")
+_LABELLED = "SELECT documents.doc_id, text, quality FROM documents JOIN labels USING (doc_id)"
+
+
+def _linear(source: str, key: str) -> str:
+    """Scores by the model of fixed coefficients."""
+    return f"""WITH lg AS ({_grams(_LABELLED, 'doc_id, quality', 3, 3)}),
+  lc AS (SELECT doc_id, quality, gram, count(*) AS tf FROM lg GROUP BY ALL),
+  m AS (SELECT gram, round(ln((1.0::DOUBLE + (SELECT count(*) FROM ({_LABELLED}))) / (1 + count(*))) + 1, 6) AS idf,
+    round(ln((sum(CASE WHEN quality = 1 THEN tf ELSE 0 END) + 1.0::DOUBLE) / (sum(CASE WHEN quality = 0 THEN tf ELSE 0 END) + 1)), 6) AS coefficient
+    FROM lc GROUP BY gram HAVING sum(tf) >= 20),
+  tg AS ({_grams(source, key, 3, 3)}),
+  w AS (SELECT {key}, count(*) * any_value(idf) AS w, any_value(coefficient) AS coefficient FROM tg JOIN m USING (gram) GROUP BY {key}, gram),
+  s AS (SELECT {key}, sum(w * coefficient) / sqrt(sum(w * w)) AS dot FROM w GROUP BY {key})
+  SELECT {key}, text, 1 / (1 + exp(-(-0.5 + coalesce(dot, 0)))) AS score FROM ({source}) LEFT JOIN s USING ({key})"""
+
+
+_FLAGGED_LINES = _linear(LINES, "doc_id, pos")
+SQL["linear_scores"] = f"SELECT id, round(score, 6) AS score FROM ({_linear(_TURNS, 'id')})"
+SQL["detect_linear"] = f"SELECT doc_id, pos, text FROM ({_FLAGGED_LINES}) WHERE score >= 0.55"
+SQL["clean_linear"] = f"""SELECT doc_id, count(*) FILTER (score >= 0.55) AS n_removed,
+  coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (score < 0.55), '') AS text FROM ({_FLAGGED_LINES}) GROUP BY doc_id"""
 _PRED = """SELECT *, CAST(score >= 0.5 AS INTEGER) AS prediction FROM (
   SELECT CAST(toxic AS INTEGER) AS label, ((doc_id * 37 + toxic * 400) % 1000) / 1000 AS score FROM labels)"""
 SQL["classification_report"] = f"""WITH c AS (SELECT c, count(*) FILTER (label = c AND prediction = c) AS tp,

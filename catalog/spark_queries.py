@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import text as T
 from cuewright.functions.cues import time_ms
 from cuewright.functions.web import absolute_url, url_filename
-from cuewright.ml import evaluate, features, model, search
+from cuewright.ml import evaluate, features, linear, model, search
 from cuewright.operators import actions, dataset, detect, render, stats
 from cuewright.plans.clean import clean_files, clean_files_by_model, flagged_lines
 from cuewright.session import shared_folder, stored
@@ -507,6 +507,36 @@ def clean_by_model(spark, sf):
     return clean_files_by_model(D.srt_files(spark, sf, planted=True), fitted, 0.5)
 
 
+def _stored_model(spark, sf):
+    """The model of fixed coefficients as it comes back from its folder."""
+    folder = shared_folder(spark, "linear")
+    linear.save_table(D.gram_model(spark, sf), folder)
+    return linear.load_table(spark, folder)
+
+
+@query
+def linear_scores(spark, sf):
+    """Scores of all conversation turns by a model stored as a table."""
+    turns = D.conversations(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    scored = linear.linear_scores(turns, ["id"], _stored_model(spark, sf), "text")
+    return scored.select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def detect_linear(spark, sf):
+    """Lines of all documents that a model stored as a table flags at its threshold."""
+    marked = detect.mark_linear(D.lines(spark, sf), _stored_model(spark, sf), key=["doc_id", "pos"])
+    return marked.filter("is_ad").select("doc_id", "pos", "text")
+
+
+@query
+def clean_linear(spark, sf):
+    """Documents without the lines that a model stored as a table flags."""
+    marked = detect.mark_linear(D.lines(spark, sf), _stored_model(spark, sf), key=["doc_id", "pos"])
+    kept = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(~F.col("is_ad"), F.struct("pos", "text")))).alias("kept"), F.count_if("is_ad").alias("n_removed"))
+    return kept.select("doc_id", "n_removed", F.array_join(F.col("kept.text"), "\n").alias("text"))
+
+
 @query
 def grid_search(spark, sf):
     _, table = search.grid_search(D.samples(spark, sf), {"C": [1.0, 5.0], "ngrams": [(3, 3), (3, 4)]})

@@ -12,6 +12,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sampling import least_by_hash
 from ..session import stored
 from .features import fit_tfidf
 
@@ -50,8 +51,11 @@ class AdClassifier(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsW
         get = self.getOrDefault
         label = get("labelCol")
         samples = dataset.select("clean_text", F.col(label).cast("double").alias(label))
-        # written once: the vocabulary, its frequencies, the class sizes and the features are all made of these rows
-        samples = stored(samples.orderBy(F.xxhash64("clean_text", label), "clean_text").limit(get("maxRows")), "training")
+        # written once: the selection, the vocabulary, its frequencies, the class sizes and the features are all made of these rows
+        labelled = stored(samples, "labelled")
+        samples = least_by_hash(labelled, get("maxRows"), "clean_text", label)
+        if samples is not labelled:
+            samples = stored(samples, "training")
         tfidf = fit_tfidf(samples, get("lo"), get("hi"), get("vocabSize") or None, get("sublinear"))
         counts = {r[label]: r["n"] for r in samples.groupBy(label).agg(F.count("*").alias("n")).collect()}
         n = sum(counts.values())

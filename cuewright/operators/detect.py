@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import matches_rules
 from ..functions.text import normalize
+from ..ml.linear import LinearModel, linear_scores
 
 Ruleset = str | list[str]
 
@@ -40,6 +41,13 @@ def mark_model(cues: DataFrame, model: PipelineModel, threshold: float, aggressi
     return scored.select(*cues.columns, score.alias("score")).withColumn("is_ad", F.col("score") >= threshold)
 
 
+def mark_linear(cues: DataFrame, model: LinearModel, threshold: float | None = None, aggressive: bool = False, key: list[str] | None = None) -> DataFrame:
+    """The same by a model kept as a table, at its own threshold unless another is given; ``key`` tells cues apart."""
+    normed = cues.withColumn("_plain", normalize(F.col("text"), aggressive))
+    scored = linear_scores(normed, key or ["path", "pos"], model, "_plain").drop("_plain")
+    return scored.withColumn("is_ad", F.col("score") >= (model.threshold if threshold is None else threshold))
+
+
 def detect_model(cues: DataFrame, model: PipelineModel, threshold: float = 0.5, aggressive: bool = False) -> DataFrame:
     return mark_model(cues, model, threshold, aggressive).filter("is_ad").drop("is_ad")
 
