@@ -121,7 +121,7 @@ SQL: dict[str, str] = {
       SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
         CASE WHEN bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN bytes >= 100 AND first <> page_id THEN first END AS refers_to, url_key,
-        row_number() OVER (ORDER BY url_key, page_id, md5(page_id || '|' || url || '|' || digest)) - 1 AS capture_no FROM k""",
+        row_number() OVER (ORDER BY url_key, (page_id % 137438953472 + 137438953472) % 137438953472, md5(page_id || '|' || url || '|' || digest)) - 1 AS capture_no FROM k""",
     "op12_mask_search": r"""
       WITH d AS (SELECT row_number() OVER () AS r, doc_id,
           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

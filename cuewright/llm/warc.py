@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.base import by_value, stored
 from cuewright.session import shared_folder
 
+SPAN = 1 << 37  # seconds, over 4,000 years
 END = "\r\n\r\n"
 # Names and identifiers of the WARC 1.0 format.
 VERSION = "WARC/1.0"
@@ -200,18 +201,24 @@ def merge_index(index: DataFrame, parts: int | None = None) -> DataFrame:
     return merged.withColumn("capture_no", F.get(offsets, F.col("part")) + F.col("place")).drop("part", "place")
 
 
+def id_seconds(page_id: Column) -> Column:
+    """Seconds below ``SPAN`` for any id, so that dates have four digits in the year: a whole number modulo ``SPAN``, the CRC32 of other ids, 0 for null."""
+    number = F.pmod(page_id.try_cast("bigint"), F.lit(SPAN))
+    return F.coalesce(number, F.crc32(page_id.cast("binary")), F.lit(0))
+
+
 def archive_pages(pages: DataFrame, captured: Column | None = None, folder: str | None = None) -> DataFrame:
     """Writes a record per page, reads the archives back, merges their index, and returns a row per page: ``page_id, payload_bytes,
     payload_digest, record_type, refers_to, url_key, capture_no, archive, offset``.
 
     Of pages with equal payloads of at least 100 bytes the one with the least ``page_id`` is the response, the others revisit it; rows
     repeated with that id are responses too. A null page is an empty payload, a null url an empty one; a null ``page_id`` is a response
-    if there is no other id. ``captured``: when a page was fetched; without it, that many seconds after 2020 as its id says.
+    if there is no other id. ``captured``: when a page was fetched; without it, ``id_seconds`` after 2020.
     An empty table gives an empty result. Further columns are not looked at.
     """
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
-    captured = captured if captured is not None else F.timestamp_seconds(F.lit(1_577_836_800) + F.coalesce(F.col("page_id"), F.lit(0)))
+    captured = captured if captured is not None else F.timestamp_seconds(F.lit(1_577_836_800) + id_seconds(F.col("page_id").cast("string")))
     write_archives(pages, folder, captured)
     merged = merge_index(stored(read_archives(spark, folder), "warc-index"))
     responses = merged.filter("type = 'response'").groupBy(F.col("record").alias("origin")).agg(

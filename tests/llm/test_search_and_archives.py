@@ -107,3 +107,16 @@ def test_loser_tree(runs):
     rng = random.Random(runs)
     data = [sorted((rng.randint(0, 9), rng.random()) for _ in range(rng.randint(0, 30))) for _ in range(runs)]
     assert list(LoserTree([iter(d) for d in data])) == sorted(x for d in data for x in d)
+
+
+@pytest.mark.parametrize("kind, ids", [("BIGINT", [1, 400_000_000_000, 10**13, 1 << 62, -(1 << 62), -1, None]), ("STRING", ["a", "17", "b-2", None])])
+def test_any_page_id(spark, kind, ids):
+    """Hashed, negative and worded ids: a record each, and the numbers of captures have no gaps."""
+    rows = [(i, "http://x.org/a", f"<p>{n}</p>") for n, i in enumerate(ids)]
+    done = archive_pages(spark.createDataFrame(rows, f"page_id {kind}, url STRING, html STRING")).collect()
+    assert sorted(map(str, (r.page_id for r in done))) == sorted(map(str, ids))
+    assert sorted(r.capture_no for r in done) == list(range(len(ids))) and all(r.record_type == "response" for r in done)
+    assert {r.payload_digest for r in done} == {hashlib.sha256(h.encode()).hexdigest() for *_, h in rows}
+    if kind == "BIGINT":  # by time: the id modulo the span, whatever its size
+        order = [r.page_id or 0 for r in sorted(done, key=lambda r: r.capture_no)]
+        assert [i % (1 << 37) for i in order] == sorted(i % (1 << 37) for i in order)
