@@ -286,6 +286,12 @@ def _tfidf(hi: int, tf: str) -> str:
   SELECT id, gram, round(w / norm, 6) AS weight FROM w JOIN n USING (id)"""
 
 
+SQL["gram_dictionary"] = f"""SELECT gram, n, df, row_number() OVER (ORDER BY n DESC, gram) - 1 AS idx FROM (
+  SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS df FROM ({_grams('SELECT doc_id, text FROM documents', 'doc_id', 3, 4)}) GROUP BY gram)"""
+SQL["fold_dictionary"] = f"""WITH c AS ({_grams('SELECT doc_id, text FROM documents', 'doc_id', 3, 3)}),
+  f AS (SELECT k AS fold, gram, count(*) AS n, count(DISTINCT doc_id) AS df FROM c, (SELECT unnest(range(3)) AS k) WHERE doc_id % 3 <> k GROUP BY ALL)
+  SELECT CAST(fold AS INTEGER) AS fold, gram, n, df, row_number() OVER (PARTITION BY fold ORDER BY n DESC, gram) - 1 AS idx FROM f
+  QUALIFY row_number() OVER (PARTITION BY fold ORDER BY n DESC, gram) <= 2000"""
 SQL["tfidf_weights"] = _tfidf(4, "tf")
 SQL["tfidf_sublinear"] = _tfidf(3, "(1 + ln(tf))")
 _LABELLED = "SELECT documents.doc_id, text, quality FROM documents JOIN labels USING (doc_id)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import text as T
 from cuewright.functions.cues import time_ms
 from cuewright.functions.web import absolute_url, url_filename
-from cuewright.ml import evaluate, features, linear, model, search
+from cuewright.ml import encoding, evaluate, features, linear, model, search
 from cuewright.operators import actions, dataset, detect, render, stats
 from cuewright.plans.clean import clean_files, clean_files_by_model, flagged_lines
 from cuewright.session import shared_folder, stored
@@ -543,6 +543,37 @@ def grid_search(spark, sf):
     return table
 
 
+@query
+def gram_dictionary(spark, sf):
+    """All grams of all documents with dense numbers by falling frequency."""
+    documents = D.documents(spark, sf).select("doc_id", F.col("text").alias("clean_text"))
+    counts = encoding.text_gram_counts(documents, ["doc_id"], 3, 4)
+    return encoding.dictionary(encoding.frequencies(counts))
+
+
+@query
+def fold_dictionary(spark, sf):
+    """The 2,000 most frequent grams outside of each of three folds of the documents, with their numbers and frequencies there."""
+    documents = D.documents(spark, sf).select("doc_id", (F.col("doc_id") % 3).alias("fold"), F.col("text").alias("clean_text"))
+    of_folds = stored(search.fold_frequencies(encoding.text_gram_counts(documents, ["doc_id", "fold"], 3, 3), 3), "fold-frequencies")
+    parts = [encoding.dictionary(search.without_fold(of_folds, k), 2000).select(F.lit(k).alias("fold"), "*") for k in range(3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query
+def train_plain_table(spark, sf):
+    """The uncapped preset trained on labelled documents to a table, which scores all conversation turns."""
+    turns = D.conversations(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return linear.linear_scores(turns, ["id"], linear.train_table(D.samples(spark, sf), "plain"), "text").select("id", "score")
+
+
+@query
+def shared_search(spark, sf):
+    """Mean AUCs of penalties of both kinds, two n-gram ranges and both term weights."""
+    grid = {"C": [5.0], "penalty": ["l2", "l1"], "ngrams": [(3, 3), (3, 4)], "sublinear": [False, True]}
+    return search.shared_search(D.samples(spark, sf), grid)
+
+
 @query
 def classification_report(spark, sf):
     report = evaluate.classification_report(D.predictions(spark, sf))

@@ -9,14 +9,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import CharNGrams, SublinearTF, gram_rows
-from .model import DEFAULT_THRESHOLD
+from ..operators.sampling import least_by_hash
+from ..session import stored
+from .encoding import dictionary, feature_table, frequencies, text_gram_counts, weights
+from .features import CharNGrams, SublinearTF, gram_rows, idf
+from .model import DEFAULT_THRESHOLD, PRESETS, AdClassifier, regress
 
 GRAMS = "gram STRING, idf DOUBLE, coefficient DOUBLE"
 SETTINGS = "lo INT, hi INT, sublinear BOOLEAN, intercept DOUBLE, threshold DOUBLE"
@@ -45,6 +49,33 @@ def to_table(model: PipelineModel, threshold: float = DEFAULT_THRESHOLD) -> Line
         any(isinstance(s, SublinearTF) for s in model.stages), threshold)
 
 
+def train_table(samples: DataFrame, preset: str = "best", threshold: float = DEFAULT_THRESHOLD, **overrides) -> LinearModel:
+    """The classifier of ``model.train`` fitted to a table, for vocabularies of any size.
+
+    Grams are counted, numbered and joined to vectors as tables, see ``encoding``; the driver holds the coefficients, as in every fit by MLlib,
+    and no gram. Training rows are bounded by ``maxRows`` as there. Rows with a null text or without a gram are kept with an empty vector; no gram
+    at all is an error.
+    """
+    estimator = AdClassifier(**{**PRESETS[preset], **overrides})
+    get = estimator.getOrDefault
+    label = get("labelCol")
+    labelled = stored(samples.select("clean_text", F.col(label).cast("double").alias(label)), "labelled")
+    chosen = least_by_hash(labelled, get("maxRows"), "clean_text", label)
+    rows = stored(chosen.withColumn("_key", F.monotonically_increasing_id()), "training")
+    counts = text_gram_counts(rows, ["_key"], get("lo"), get("hi"))
+    numbers = stored(dictionary(frequencies(counts), get("vocabSize") or None), "dictionary")
+    n, size = rows.count(), numbers.count()
+    if not size:
+        raise ValueError(f"no text has an n-gram of {get('lo')} characters")
+    weighted = weights(counts, numbers, n, "_key", get("sublinear"))
+    fitted = regress(feature_table(rows, "_key", weighted, size, [label]), get("C"), get("penalty"), get("maxIter"), label)
+    values = fitted.coefficients.toArray()
+    # as Arrow columns, not as rows of Python
+    coefficients = samples.sparkSession.createDataFrame(pd.DataFrame({"idx": range(size), "coefficient": values}), "idx BIGINT, coefficient DOUBLE")
+    grams = numbers.join(coefficients, "idx").select("gram", idf(F.lit(n), F.col("df")).alias("idf"), "coefficient")
+    return LinearModel(stored(grams, "model-grams"), get("lo"), get("hi"), float(fitted.intercept), get("sublinear"), threshold)
+
+
 def save_table(model: LinearModel, path: str) -> None:
     """Grams and settings below ``path``; what is there is replaced."""
     spark = model.grams.sparkSession

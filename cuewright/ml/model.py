@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol
@@ -57,26 +57,30 @@ class AdClassifier(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsW
         if samples is not labelled:
             samples = stored(samples, "training")
         tfidf = fit_tfidf(samples, get("lo"), get("hi"), get("vocabSize") or None, get("sublinear"))
-        counts = {r[label]: r["n"] for r in samples.groupBy(label).agg(F.count("*").alias("n")).collect()}
-        n = sum(counts.values())
-        weight = F.lit(None).cast("double")
-        for value, of_class in counts.items():
-            weight = F.when(F.col(label) == value, n / (len(counts) * of_class)).otherwise(weight)
-        features = tfidf.transform(samples).select("features", label, weight.alias("weight"))
-        # passes over the features repeat for every iteration; blocks lost with an
-        # executor are computed again from the samples
-        features = features.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            regression = LogisticRegression(
-                featuresCol="features", labelCol=label, weightCol="weight", family="binomial",
-                standardization=False, regParam=1.0 / (get("C") * n),
-                elasticNetParam={"l2": 0.0, "l1": 1.0}[get("penalty")], maxIter=get("maxIter"),
-            ).fit(features)
-        finally:
-            features.unpersist()
+        regression = regress(tfidf.transform(samples).select("features", label), get("C"), get("penalty"), get("maxIter"), label)
         return PipelineModel([*tfidf.stages, regression])
 
 
+def regress(features: DataFrame, C: float, penalty: str = "l2", maxIter: int = 500, label: str = "label") -> LogisticRegressionModel:
+    """Logistic regression with balanced class weights on rows of ``features`` and ``label``."""
+    counts = {r[label]: r["n"] for r in features.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for value, of_class in counts.items():
+        weight = F.when(F.col(label) == value, n / (len(counts) * of_class)).otherwise(weight)
+    # passes over the features repeat for every iteration; blocks lost with an
+    # executor are computed again from the stored rows
+    weighted = features.withColumn("weight", weight).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return LogisticRegression(
+            featuresCol="features", labelCol=label, weightCol="weight", family="binomial",
+            standardization=False, regParam=1.0 / (C * n),
+            elasticNetParam={"l2": 0.0, "l1": 1.0}[penalty], maxIter=maxIter,
+        ).fit(weighted)
+    finally:
+        weighted.unpersist()
+
+
 def train(samples: DataFrame, preset: str = "best", **overrides) -> PipelineModel:
     """Fit the classifier on ``(clean_text, label)``."""
     return AdClassifier(**{**PRESETS[preset], **overrides}).fit(samples)
