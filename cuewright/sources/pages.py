@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,22 +50,74 @@ def extract_links(pages: DataFrame, anchor_class: str | None = None) -> DataFram
     )
 
 
+def gather(items: Column, start: Column, step: Callable[[Column, Column], Column], kept: str) -> Column:
+    """Fold ``step`` over an array with a state that gathers an array in its field ``kept``; the gathered array.
+
+    Appending copies what is there, so a plain fold takes the square of the array's length. Here a block of the cube root of that length fills an array of its own, and
+    full arrays are appended as one entry each: n^(4/3) copies in all. ``start`` has ``kept`` empty and typed.
+    """
+    size = F.size(items)
+    block = F.greatest(F.ceil(F.cbrt(size.cast("double"))).cast("int"), F.lit(1))
+    firsts = F.when(size > 0, F.sequence(F.lit(1), size, block)).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(firsts, lambda first: F.slice(items, first, block))
+    empty = start[kept]
+
+    def outer(acc: Column, of_block: Column) -> Column:
+        done = lambda r: F.struct(r.withField(kept, empty).alias("state"), F.concat(acc["full"], F.array(r[kept])).alias("full"))
+        return F.aggregate(of_block, acc["state"], step, done)
+
+    nothing = F.slice(F.array(empty), 1, 0)
+    return F.aggregate(blocks, F.struct(start.alias("state"), nothing.alias("full")), outer, lambda acc: F.flatten(acc["full"]))
+
+
 def catalogue_links(pages: DataFrame) -> DataFrame:
-    """Title and address of each card: the card's first link of the wanted class."""
-    def card(block: Column) -> Column:
-        anchors = F.regexp_extract_all(block, F.lit(_ANCHOR), F.lit(0))
-        anchor = F.get(F.filter(anchors, lambda a: has_class(F.regexp_extract(a, _START_TAG, 0), CARD_LINK_CLASS)), F.lit(0))
-        title = F.regexp_extract(anchor, r"""(?is)<h3(?=[^>]*\sdir\s*=\s*["']?ltr)[^>]*>(.*?)</h3\s*>""", 1)
-        found = F.regexp_like(anchor, F.lit(r"""(?is)<h3(?=[^>]*\sdir\s*=\s*["']?ltr)[^>]*>.*?</h3\s*>"""))
+    """Title and address of each card: the first link of the wanted class in it, if that has an address.
+
+    A card ends where its ``div`` ends, so a link behind it is not its own; one that is not closed runs to the page's end. A card within another
+    one is a card too, and both may have the same link. ``pos`` counts cards with links in the order in which the cards open.
+    Closing tags without an open ``div`` are passed over. A null page has no card.
+    """
+    anchor = rf"<a(?=\s)(?=[^>]*{CARD_LINK_CLASS})[^>]*>.*?</a\s*>"
+    tokens = F.regexp_extract_all(F.regexp_extract("html", _CLOSED, 0), F.lit(rf"(?is)<div(?=[\s>])[^>]*>|</div\s*>|{anchor}"), F.lit(0))
+
+    def describe(token: Column, at: Column) -> Column:
+        tag = F.lower(F.regexp_extract(token, r"\A<(/?[A-Za-z]+)", 1))
+        opening = F.regexp_extract(token, _START_TAG, 0)
         return F.struct(
-            attribute(F.regexp_extract(anchor, _START_TAG, 0), "href").alias("href"),
-            F.when(found, inner_text(title)).otherwise(UNKNOWN_TITLE).alias("text"),
+            at.alias("at"), F.when(tag == "div", 1).when(tag == "/div", -1).otherwise(0).alias("level"),
+            ((tag == "div") & has_class(opening, CARD_CLASS)).alias("is_card"),
+            F.when((tag == "a") & has_class(opening, CARD_LINK_CLASS), token).alias("anchor"),
         )
-    starts = rf"""(?i)(?=<div[^>]*\sclass\s*=\s*(?:"[^"]*(?<![^"\s]){CARD_CLASS}(?![^"\s])|'[^']*(?<![^'\s]){CARD_CLASS}(?![^'\s])))"""
-    blocks = F.split("html", starts)
-    # what precedes the first card is no card
-    cards = F.filter(F.transform(F.filter(blocks, lambda b: F.regexp_like(b, F.lit(r"\A" + starts))), card),
-                     lambda c: F.coalesce(c["href"], F.lit("")) != "")
+
+    # cards that are open and have no link yet, with the depth at which each opened
+    start = F.struct(
+        F.lit(0).alias("depth"), F.array().cast("array<struct<at:int,depth:int>>").alias("open"),
+        F.array().cast("array<struct<at:int,anchor:string>>").alias("links"),
+    )
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = F.greatest(acc["depth"] + t["level"], F.lit(0))
+        card = F.array(F.struct(t["at"].alias("at"), depth.alias("depth")))
+        still = F.when(t["is_card"], F.concat(acc["open"], card)).when(t["level"] < 0, F.filter(acc["open"], lambda o: o["depth"] <= depth)).otherwise(acc["open"])
+        linked = t["anchor"].isNotNull()
+        found = F.transform(acc["open"], lambda o: F.struct(o["at"].alias("at"), t["anchor"].alias("anchor")))
+        return F.struct(
+            depth.alias("depth"),
+            F.when(linked, F.slice(acc["open"], 1, 0)).otherwise(still).alias("open"),
+            F.when(linked, F.concat(acc["links"], found)).otherwise(acc["links"]).alias("links"),
+        )
+
+    def link(found: Column) -> Column:
+        titles = r"""(?is)<h3(?=[^>]*\sdir\s*=\s*["']?ltr)[^>]*>(.*?)</h3\s*>"""
+        title = F.regexp_extract(found["anchor"], titles, 1)
+        return F.struct(
+            attribute(F.regexp_extract(found["anchor"], _START_TAG, 0), "href").alias("href"),
+            F.when(F.regexp_like(found["anchor"], F.lit(titles)), inner_text(title)).otherwise(UNKNOWN_TITLE).alias("text"),
+        )
+
+    # the tokens are described once
+    links = F.transform(F.array(F.transform(tokens, describe)), lambda described: F.array_sort(gather(described, start, step, "links")))[0]
+    cards = F.filter(F.transform(links, link), lambda c: F.coalesce(c["href"], F.lit("")) != "")
     return unroll(pages, ["page_id", "url"], cards, "pos", "card").select(
         "page_id", "pos", "card.text", absolute_url(F.col("url"), F.col("card.href")).alias("url")
     )
@@ -76,7 +130,7 @@ def extract_downloads(pages: DataFrame, languages: list[str], name: Column | Non
     The season of a link is the nearest label before it anywhere on the page. Languages do not look at each other: of each
     the first ``div`` of its class in the section counts, also inside one of another language, and a ``div`` may be of several. Tags
     are taken as tokens, and folded over a page's token array once for each language; the state carries the nesting depth, the open block and
-    the last season. A page stays one row.
+    the last season. A page stays one row, and its links are gathered by ``gather``.
     """
     tokens = F.regexp_extract_all("html", F.lit(_DOWNLOAD_TOKENS), F.lit(0))
 
@@ -127,7 +181,7 @@ def extract_downloads(pages: DataFrame, languages: list[str], name: Column | Non
         return step
 
     def all_links(described: Column) -> Column:
-        found = [F.aggregate(described, start, fold(k, l), lambda acc: acc["links"]) for k, l in enumerate(languages)]
+        found = [gather(described, start, fold(k, l), "links") for k, l in enumerate(languages)]
         return F.array_sort(F.concat(*found))
 
     # the tokens are described once, whatever the number of languages
