@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cues import cue_piece, file_header, render, separator
 from ..functions.text import base_name, time_range
+from ..session import stored
 
 # Cues of one part of a rebuilt file; a file with more has several parts.
 CUES_PER_PART = 50_000
@@ -77,7 +78,8 @@ def ad_report(flagged: DataFrame, style: str = "export") -> DataFrame:
     heading of a file and the line after its last cue comes at the highest ``pos``.
     Lines carry their place as a key, so no file's report is gathered or numbered in
     one task. ``style`` is ``export`` (heading per file) or ``console`` (one line
-    per cue).
+    per cue). For the first the flagged cues are written once, so that their detection runs once though
+    headings are made of them too.
     """
     cue_range = time_range(F.col("start"), F.col("end"))
     file = base_name(F.col("path")).alias("file")
@@ -91,6 +93,8 @@ def ad_report(flagged: DataFrame, style: str = "export") -> DataFrame:
     else:
         raise ValueError(f"unknown report style {style!r}")
     named = flagged.withColumn("file", file)
+    if style == "export":
+        named = stored(named.select("path", "file", "pos", "cue_index", "start", "end", "text"), "flagged")
     entry = F.split(F.concat(head, F.lit("\n"), body), "\n")
     lines = named.select("path", "file", "pos", F.posexplode(entry).alias("line_no", "line"))
     if style == "console":

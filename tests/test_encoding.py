@@ -97,7 +97,7 @@ def test_fold_frequencies(spark):
 def test_shared_search_is_the_search(samples):
     """Every mean AUC is the cross-validator's, for penalties of both kinds, two ranges, a cap and both term weights."""
     grid = {"C": [5.0], "penalty": ["l2", "l1"], "ngrams": [(3, 3), (3, 4)], "sublinear": [True]}
-    fixed = {"vocabSize": 60, "maxIter": 30}
+    fixed = {"vocabSize": 60, "maxIter": 15}
     _, expected = search.grid_search(samples, grid, folds=2, **fixed)
     found = search.shared_search(samples, grid, folds=2, **fixed)
     expected, found = ({r.setting: r.auc for r in t.collect()} for t in (expected, found))
