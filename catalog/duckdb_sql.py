@@ -132,6 +132,7 @@ SQL["load_batch"] = f"SELECT 2 * (SELECT count(*) FROM documents) AS files, 2 *
 SQL["read_lines"] = f"SELECT trim(text, {TRIM}) AS text FROM ({LINES}) WHERE trim(text, {TRIM}) <> ''"
 SQL["merge_texts"] = f"""SELECT 'd/' || doc_id || '.txt' AS path, trim(regexp_replace(regexp_replace(regexp_replace(text,
   '\\{{[^}}]+\\}}', '', 'g'), '<[^>]+>', '', 'g'), '[{WS}]+', ' ', 'g'), {TRIM}) AS text FROM documents"""
+SQL["text_corpus"] = f"SELECT substr(path, 3) AS name, text FROM ({SQL['merge_texts']})"
 SQL["dropped_chunks"] = f"""SELECT CAST(doc_id AS VARCHAR) AS path, CAST(len(list_filter(
   string_split_regex(text, '\\n[{WS}]*\\n'), lambda b: trim(b, {TRIM}) <> '')) AS INTEGER) AS dropped FROM documents"""
 _MEMBERS = """SELECT 'root/' || CASE WHEN (doc_id // 5) % 3 = 0 THEN 'english' ELSE 'Farsi' END || printf('/part-%08d.ZIP', doc_id // 5) AS archive,

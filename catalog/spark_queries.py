@@ -154,6 +154,16 @@ def merge_texts(spark, sf):
     return corpus.merge_texts(texts)
 
 
+@query
+def text_corpus(spark, sf):
+    """Documents written as one text file each, and read from their folder as whole texts, each cleaned of tags."""
+    folder = shared_folder(spark, "texts")
+    name = F.concat(F.lit(f"{folder}/"), "doc_id", F.lit(".txt"))
+    given = D.documents(spark, sf).select(name.alias("path"), name.alias("out_path"), F.lit("txt").alias("format"), F.col("text").alias("content"))
+    sink.write_files(given).write.format("noop").mode("overwrite").save()
+    return corpus.read_text_corpus(spark, folder).select(T.base_name(F.col("path")).alias("name"), "text")
+
+
 @query
 def dropped_chunks(spark, sf):
     """Documents read as SRT make no cue, so every block of text is lost."""
