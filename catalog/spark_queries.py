@@ -571,10 +571,10 @@ def fold_dictionary(spark, sf):
 
 
 @query
-def train_plain_table(spark, sf):
-    """The uncapped preset trained on labelled documents to a table, which scores all conversation turns."""
+def train_table(spark, sf):
+    """The classifier trained on labelled documents to a table, which scores all conversation turns."""
     turns = D.conversations(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    return linear.linear_scores(turns, ["id"], linear.train_table(D.samples(spark, sf), "plain"), "text").select("id", "score")
+    return linear.linear_scores(turns, ["id"], linear.train_table(D.samples(spark, sf)), "text").select("id", "score")
 
 
 @query
