@@ -570,20 +570,6 @@ def fold_dictionary(spark, sf):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query
-def train_table(spark, sf):
-    """The classifier trained on labelled documents to a table, which scores all conversation turns."""
-    turns = D.conversations(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    return linear.linear_scores(turns, ["id"], linear.train_table(D.samples(spark, sf)), "text").select("id", "score")
-
-
-@query
-def shared_search(spark, sf):
-    """Mean AUCs of penalties of both kinds and both term weights."""
-    grid = {"C": [5.0], "penalty": ["l2", "l1"], "ngrams": [(3, 4)], "sublinear": [False, True]}
-    return search.shared_search(D.samples(spark, sf), grid)
-
-
 @query
 def classification_report(spark, sf):
     report = evaluate.classification_report(D.predictions(spark, sf))
