@@ -68,10 +68,9 @@ def feature_table(texts: DataFrame, key: str, weighted: DataFrame, size: int, ke
     if size > MAX_SIZE:
         raise ValueError(f"{size} grams are more than a vector can have")
     entry = F.struct("idx", "weight")
-    entries = weighted.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    joined = texts.select(key, *[c for c in keep if c != key]).join(entries, key, "left")
-    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["weight"] * e["weight"]))
-    scaled = joined.withColumn("_n", norm)
+    # the norm is an aggregate: as an expression over the array it would be worked out again for each of its entries
+    entries = weighted.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_e"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_n"))
+    scaled = texts.select(key, *[c for c in keep if c != key]).join(entries, key, "left")
     vector = F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
         F.coalesce(F.col("_e.idx"), F.array().cast("array<int>")).alias("indices"),
