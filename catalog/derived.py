@@ -225,3 +225,27 @@ def archives(spark: SparkSession, sf: str) -> DataFrame:
         return pd.DataFrame({"path": [f"root/{folder}/part-{number:08d}.ZIP"], "content": [content]})
 
     return docs.groupBy("archive").applyInPandas(pack, "path STRING, content BINARY")
+
+
+def archive_files(spark: SparkSession, sf: str, folder: str) -> None:
+    """The archives as files below a folder."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        for batch in batches:
+            for row in batch.itertuples():
+                filesystem, path = fs.FileSystem.from_uri(f"{folder}/{row.path}")
+                filesystem.create_dir(path.rpartition("/")[0])
+                own = f"{path}.{uuid.uuid4().hex}.tmp"  # another attempt of the task replaces the file
+                with filesystem.open_output_stream(own) as stream:
+                    stream.write(row.content)
+                filesystem.move(own, path)
+                yield pd.DataFrame({"path": [row.path]})
+
+    archives(spark, sf).mapInPandas(write, "path STRING").write.format("noop").mode("overwrite").save()

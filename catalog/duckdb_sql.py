@@ -129,6 +129,9 @@ SQL["ass_parse"] = f"""SELECT stem || '.ass' AS path, 'ass' AS format, pos, CAST
   CAST(CAST(pos AS BIGINT) * 1000 + 500 AS VARCHAR) AS start, CAST(CAST(pos AS BIGINT) * 1000 + 1500 AS VARCHAR) AS "end",
   {_ASS_PLAIN} || {NL} || 'end' AS text FROM ({_FILE_LINES})"""
 SQL["load_batch"] = f"SELECT 2 * (SELECT count(*) FROM documents) AS files, 2 * count(*) AS cues FROM ({_FILE_LINES})"
+SQL["load_batch_table"] = f"""WITH c AS (SELECT doc_id, count(*) AS n, max_by(text, pos) AS text FROM ({_FILE_LINES}) GROUP BY doc_id)
+  SELECT 'subs/' || source || '/doc-' || doc_id || '.' || format AS path, format, CAST(coalesce(n, 0) AS INTEGER) AS n_cues, rtrim(c.text, {TRIM}) AS last_text
+  FROM documents LEFT JOIN c USING (doc_id), (VALUES ('srt'), ('vtt')) v(format)"""
 SQL["read_lines"] = f"SELECT trim(text, {TRIM}) AS text FROM ({LINES}) WHERE trim(text, {TRIM}) <> ''"
 SQL["merge_texts"] = f"""SELECT 'd/' || doc_id || '.txt' AS path, trim(regexp_replace(regexp_replace(regexp_replace(text,
   '\\{{[^}}]+\\}}', '', 'g'), '<[^>]+>', '', 'g'), '[{WS}]+', ' ', 'g'), {TRIM}) AS text FROM documents"""
@@ -141,6 +144,9 @@ _MEMBERS = """SELECT 'root/' || CASE WHEN (doc_id // 5) % 3 = 0 THEN 'english' E
 SQL["archive_members"] = f"""SELECT archive, ordinal, name, content FROM ({_MEMBERS}) WHERE number % 3 <> 0 AND number % 10 <> 9
   QUALIFY row_number() OVER (PARTITION BY name ORDER BY archive, ordinal) = 1"""
 SQL["archive_errors"] = f"SELECT DISTINCT archive FROM ({_MEMBERS}) WHERE number % 3 <> 0 AND number % 10 = 9"
+SQL["extract_archives"] = SQL["archive_members"]
+SQL["extract_errors"] = SQL["archive_errors"]
+SQL["read_archives"] = f"SELECT archive, ordinal, name, content FROM ({_MEMBERS}) WHERE number % 3 <> 0 AND number % 10 <> 9"
 _ANCHORS = """SELECT page_id, url, CAST(unnest(range(len(h))) AS INTEGER) AS pos, unnest(h) AS href, unnest(t) AS text FROM (
   SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1) AS h,
     regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 2) AS t FROM pages)"""

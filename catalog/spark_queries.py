@@ -139,6 +139,16 @@ def load_batch(spark, sf):
     return corpus.batch_counts(corpus.load_batch(srt.union(srt).union(D.vtt_files(spark, sf))))
 
 
+@query
+def load_batch_table(spark, sf):
+    """The files of ``load_batch`` as a stored table: each path's format and cues, contents read by address."""
+    srt = D.srt_files(spark, sf)
+    table = stored(srt.union(srt).union(D.vtt_files(spark, sf)), "files")
+    batch = corpus.load_batch_table(table)
+    last = F.element_at("cues", -1)["text"]
+    return batch.select("path", "format", F.size("cues").alias("n_cues"), F.when(F.size("cues") > 0, last).alias("last_text"))
+
+
 @query
 def read_lines(spark, sf):
     """Documents as text files read by line."""
@@ -184,6 +194,36 @@ def archive_errors(spark, sf):
     return archives.bad_archives(members).select("archive")
 
 
+def _extracted(spark, sf):
+    folder = shared_folder(spark, "archives")
+    D.archive_files(spark, sf, folder)
+    members, errors = archives.extract_first(archives.list_members(spark, folder))
+    short = F.concat(F.lit("root/"), F.regexp_extract("archive", "[^/]+/[^/]+$", 0)).alias("archive")
+    return members.select(short, "ordinal", "name", F.col("content").cast("string").alias("content")), errors.select(short)
+
+
+@query
+def extract_archives(spark, sf):
+    """Archives in a folder: the first member of each name, found by the archives' directories."""
+    return _extracted(spark, sf)[0]
+
+
+@query
+def extract_errors(spark, sf):
+    """Archives in a folder that cannot be unpacked."""
+    return _extracted(spark, sf)[1]
+
+
+@query
+def read_archives(spark, sf):
+    """Archives in a folder unpacked whole: all members."""
+    folder = shared_folder(spark, "archives")
+    D.archive_files(spark, sf, folder)
+    members = archives.read_archives(spark, folder)
+    short = F.concat(F.lit("root/"), F.regexp_extract("archive", "[^/]+/[^/]+$", 0)).alias("archive")
+    return members.filter("error IS NULL").select(short, "ordinal", "name", F.col("content").cast("string").alias("content"))
+
+
 @query
 def extract_links(spark, sf):
     return pages.extract_links(D.pages(spark, sf))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.cues import cue_array, file_format, srt_cues
 from ..functions.regex import SPACE
 from ..functions.text import clean_tags, strip, unix_newlines
-from ..schema import CUE_COLUMNS, SAMPLES
+from ..schema import CUE_COLUMNS, FILES, SAMPLES
+from ..session import stored
+from .places import first_places, rows_at
 
 BOM = "\uFEFF"
 
@@ -99,6 +101,16 @@ def load_batch(files: DataFrame) -> DataFrame:
     return parse(files.dropDuplicates(["path"]))
 
 
+def load_batch_table(table: DataFrame) -> DataFrame:
+    """``load_batch`` of files that are stored as a Parquet table (``path, format, content``), passed as Spark's reader gave it.
+
+    Paths are compared by themselves, then the content of each path's first row is read by its address; no shuffle carries a
+    content, and the contents of other rows are not parsed. Of rows of one path, the first by file of the table and place in it counts; a null path
+    is one path; a null content has null cues.
+    """
+    return parse(rows_at(table, stored(first_places(table, "path"), "places"), FILES.names))
+
+
 def batch_counts(batch: DataFrame) -> DataFrame:
     """Files and cues of a batch: one row."""
     return batch.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("cues")), F.lit(0)).alias("cues"))
