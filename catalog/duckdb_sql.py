@@ -232,6 +232,7 @@ SQL["clean_srt_files"] = f"SELECT *, 'out/' || regexp_extract(path, '([^/]*)\\.s
 SQL["clean_stream"] = f"SELECT {BASE} AS name, content FROM ({_CLEANED})"
 SQL["written_files"] = f"""SELECT regexp_extract(stem, '([^/]*)$', 1) || '_clean.srt' AS name, 'srt' AS format, coalesce(content, '') AS content
   FROM ({_DOC_PATHS}) LEFT JOIN ({_srt_content(f"SELECT * FROM ({SRT_CUES}) WHERE path NOT LIKE '%7.srt'")}) ON path = stem || '.srt'"""
+SQL["committed_files"] = SQL["written_files"]
 SQL["output_names"] = """SELECT 'in/' || source || '/v1.' || doc_id || '.srt' AS path,
   'in/' || source || '/v1.' || doc_id || '_clean.srt' AS out_path FROM documents"""
 SQL["ad_report"] = f"""WITH f AS ({FLAGGED}), last AS (SELECT path, max(pos) AS pos FROM f GROUP BY path)

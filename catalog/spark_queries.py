@@ -15,6 +15,7 @@ from cuewright.operators import actions, dataset, detect, render, stats
 from cuewright.plans.clean import clean_files, clean_files_by_model, flagged_lines
 from cuewright.session import shared_folder, stored
 from cuewright.sinks import files as sink
+from cuewright.sinks.committed import write_committed
 from cuewright.sources import archives, corpus, pages
 from cuewright.streaming import landing
 
@@ -401,20 +402,30 @@ def ad_report_console(spark, sf):
     return render.ad_report(_flagged(spark, sf), "console")
 
 
-@query
-def written_files(spark, sf):
-    """Cleaned files written one by one, and read again."""
+def _write_and_read(spark, sf, write):
     folder = shared_folder(spark, "files")
     given = D.srt_files(spark, sf)
     kept = corpus.srt_cue_table(given).filter("path NOT LIKE '%7.srt'")  # files without any cue are written too
     parts = sink.with_output_path(render.rebuild(kept, given, cues_per_part=8), folder)
-    written = stored(sink.write_files(parts, sink.with_output_path(given.select("path"), folder)), "written")
+    written = write(parts, folder, sink.with_output_path(given.select("path"), folder))
     read = corpus.read_corpus(spark, folder, "*.srt").select(T.base_name(F.col("path")).alias("name"), "content")
     # Spark's reader passes over files of no bytes
     names = written.select(T.base_name(F.col("out_path")).alias("name"), F.lit("srt").alias("format"))
     return names.join(read, "name", "left").select("name", "format", F.coalesce("content", F.lit("")).alias("content"))
 
 
+@query
+def written_files(spark, sf):
+    """Cleaned files written one by one, and read again."""
+    return _write_and_read(spark, sf, lambda parts, _, names: stored(sink.write_files(parts, names), "written"))
+
+
+@query
+def committed_files(spark, sf):
+    """Cleaned files written by a job that is committed as a whole; those its list names, read again."""
+    return _write_and_read(spark, sf, write_committed)
+
+
 @query
 def dataset_csv(spark, sf):
     """Samples written as CSV and read again."""

@@ -89,6 +89,19 @@ def _writer():
     return write_batches
 
 
+def checked_parts(parts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``(out_path, format, content)`` as the writers take it: the parts of a file in order in one task. An output of several inputs is an error."""
+    clash = duplicate_outputs((names if names is not None else parts).select("path", "out_path")).limit(5).collect()
+    if clash:
+        raise ValueError("several inputs for one output path: " + ", ".join(r.out_path for r in clash))
+    default = parts.sparkSession.sparkContext.getConf().get("spark.hadoop.fs.defaultFS", "file://").rstrip("/")
+    rooted = F.when(F.col("out_path").startswith("/"), F.concat(F.lit(default), "out_path")).otherwise(F.col("out_path"))
+    rows = parts.select(rooted.alias("out_path"), "format", *(["part"] if "part" in parts.columns else []), "content")
+    if "part" in parts.columns:
+        rows = rows.repartition("out_path").sortWithinPartitions("out_path", "part").drop("part")
+    return rows
+
+
 def write_files(parts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Write ``(out_path, format, part, content)`` rows, one file per output path.
 
@@ -98,15 +111,7 @@ def write_files(parts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     file system. Fails before writing if two inputs share an output; ``names`` (path, out_path) is looked at
     for that, where it is cheaper to compute than the contents.
     """
-    clash = duplicate_outputs((names if names is not None else parts).select("path", "out_path")).limit(5).collect()
-    if clash:
-        raise ValueError("several inputs for one output path: " + ", ".join(r.out_path for r in clash))
-    default = parts.sparkSession.sparkContext.getConf().get("spark.hadoop.fs.defaultFS", "file://").rstrip("/")
-    rooted = F.when(F.col("out_path").startswith("/"), F.concat(F.lit(default), "out_path")).otherwise(F.col("out_path"))
-    rows = parts.select(rooted.alias("out_path"), "format", *(["part"] if "part" in parts.columns else []), "content")
-    if "part" in parts.columns:
-        rows = rows.repartition("out_path").sortWithinPartitions("out_path", "part").drop("part")
-    return rows.mapInPandas(_writer(), "out_path STRING, n_bytes BIGINT")
+    return checked_parts(parts, names).mapInPandas(_writer(), "out_path STRING, n_bytes BIGINT")
 
 
 def write_report(report: DataFrame, path: str) -> None:
