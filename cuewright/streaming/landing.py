@@ -9,17 +9,33 @@ from ..operators.detect import Ruleset
 from ..plans.clean import clean_files, flagged_cues
 from ..sources.corpus import decode_files
 
+OPEN_COST = 65_536  # bytes that opening a small file counts for
 _BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def landing_files(spark: SparkSession, folder: str, glob: str | None = None, files_per_batch: int = 10_000) -> DataFrame:
-    """New files of a folder as a stream of ``files``; the checkpoint remembers what was seen."""
+    """New files of a folder as a stream of ``files``; the checkpoint remembers what was seen.
+
+    A batch names its files one by one. As the reader is set for few large files, each would be listed by a task of its own, and four or so be read by
+    one; so the stream has a session of its own, with the caller's settings but for these two, and its tasks follow the cores and the bytes.
+    """
+    spark = _session_for_small_files(spark)
     reader = spark.readStream.format("binaryFile").schema(_BINARY).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return decode_files(reader.load(folder).select("path", "content"))
 
 
+def _session_for_small_files(spark: SparkSession) -> SparkSession:
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.files.openCostInBytes", OPEN_COST)
+    return own
+
+
 def clean_stream(files: DataFrame, out: str, checkpoint: str, action: str = "remove", text: str = "",
                  aggressive: bool = False, ruleset: Ruleset = "full", available_now: bool = True) -> StreamingQuery:
     """Cleaned contents appended to a Parquet table; stateless, one stage per batch."""

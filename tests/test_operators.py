@@ -305,3 +305,12 @@ def test_first_of_name_compares_no_contents(spark):
     plan = archives.first_of_name(rows)._jdf.queryExecution().executedPlan().toString()
     combined = [line for line in plan.split("\n") if "Aggregate" in line]
     assert combined and not any("content" in line for line in combined)
+
+
+def test_stream_of_small_files_has_its_own_settings(spark, tmp_path):
+    """A batch is listed and read by few tasks, whatever the caller's settings, which stay as they are."""
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    own = landing.landing_files(spark, str(tmp_path)).sparkSession
+    assert int(own.conf.get(names[0])) == landing.OPEN_COST and int(own.conf.get(names[1])) == 4 * spark.sparkContext.defaultParallelism
+    assert own.conf.get(names[2]) == before[2] and [spark.conf.get(n) for n in names] == before
