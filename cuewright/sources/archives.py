@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import in_few_tasks, stored
 from .places import in_order, opener
 
 PLACES = "archive STRING, uri STRING, ordinal INT, name STRING, n_bytes BIGINT, error STRING"
@@ -89,7 +89,7 @@ def read_archives(spark: SparkSession, root: str, folder: str = "farsi") -> Data
     when it lists them, before any content is read. Returns every member and error; see
     ``first_of_name`` and ``bad_archives``.
     """
-    return unpack(_found(spark, root, folder).select("path", "content"))
+    return unpack(in_few_tasks(_found(spark, root, folder).select("path", "content")))
 
 
 # ---- the first member of each name, by the archives' directories ------------------------
@@ -193,7 +193,7 @@ def list_members(spark: SparkSession, root: str, folder: str = "farsi") -> DataF
     An archive's directory is read by itself, by byte ranges at its end. An archive without members has no row.
     """
     found = _found(spark, root, folder).select(F.col("path").alias("archive"), F.col("_metadata.file_path").alias("uri"))
-    return found.mapInArrow(_lister(), PLACES)
+    return in_few_tasks(found).mapInArrow(_lister(), PLACES)
 
 
 def read_members(places: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.cues import cue_array, file_format, srt_cues
 from ..functions.regex import SPACE
 from ..functions.text import clean_tags, strip, unix_newlines
 from ..schema import CUE_COLUMNS, FILES, SAMPLES
-from ..session import stored
+from ..session import in_few_tasks, stored
 from .places import first_places, rows_at
 
 BOM = "\uFEFF"
@@ -43,7 +43,7 @@ def read_corpus(spark: SparkSession, path: str | list[str], glob: str | None = N
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    binary = reader.load(path).select("path", "content")
+    binary = in_few_tasks(reader.load(path).select("path", "content"))
     return decode_files(binary.dropDuplicates(["path"]) if listed_twice else binary, strip_bom)
 
 
@@ -141,8 +141,9 @@ def merge_texts(texts: DataFrame) -> DataFrame:
 def read_text_corpus(spark: SparkSession, directory: str) -> DataFrame:
     """The ``*.txt`` files of one folder as ``(path, text)``, one row per file."""
     raw = spark.read.text(directory, wholetext=True, pathGlobFilter="*.txt")
+    raw = in_few_tasks(raw.select("value", F.col("_metadata.file_path").alias("file")))
     # as other readers give it: decoded
-    return merge_texts(raw.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), "value"))
+    return merge_texts(raw.select(F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))).alias("path"), "value"))
 
 
 def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:

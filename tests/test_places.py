@@ -145,3 +145,23 @@ def test_task_functions_need_no_package_on_the_workers(task):
     code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
     done = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(task()), capture_output=True, cwd="/")
     assert done.returncode == 0, done.stderr.decode()[-500:]
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """More files than tasks, where the reader alone would give each a task of its own."""
+    most = 64 * spark.sparkContext.defaultParallelism
+    for i in range(most + 20):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+        with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as zipped:
+            zipped.writestr(f"{i}.txt", "x")
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for n in before:
+        spark.conf.set(n, "64k")
+    try:
+        folder = str(tmp_path)
+        for read in (corpus.read_corpus(spark, folder, "*.txt"), corpus.read_text_corpus(spark, folder), archives.list_members(spark, folder, tmp_path.name),
+                     archives.read_archives(spark, folder, tmp_path.name)):
+            assert read.rdd.getNumPartitions() <= most and read.count() == most + 20
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
