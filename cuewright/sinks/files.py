@@ -46,7 +46,8 @@ def _writer():
         """Stream sorted parts to files; a file appears under its name only when complete.
 
         The temporary name is this attempt's own, so a rerun or speculative task after
-        the loss of an executor replaces the file with the same text.
+        the loss of an executor replaces the file with the same text. What was written is
+        reported once for each batch of rows, as a frame for each file would cost more than the file.
         """
         import uuid
         from urllib.parse import unquote, urlsplit
@@ -54,20 +55,27 @@ def _writer():
         from pyarrow import fs
 
         systems: dict = {}  # one for each scheme and host
+        done: list = []
+        folders = set()
         filesystem = target = temporary = stream = None
         written = 0
 
         def finish():
             stream.close()
             filesystem.move(temporary, target)
-            return pd.DataFrame({"out_path": [uri], "n_bytes": [written]})
+            done.append((uri, written))
+
+        def report():
+            frame = pd.DataFrame(done, columns=["out_path", "n_bytes"])
+            done.clear()
+            return frame
 
         uri = None
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if row.out_path != uri:
                     if stream is not None:
-                        yield finish()
+                        finish()
                     uri, written = row.out_path, 0
                     uri_quoted = quote(uri, safe="/:@")
                     place = urlsplit(uri_quoted)
@@ -76,15 +84,20 @@ def _writer():
                         systems[root] = fs.LocalFileSystem() if root == "file://" else fs.FileSystem.from_uri(f"{root}/")[0]
                     filesystem, target = systems[root], unquote(place.path)
                     folder, _, name = target.rpartition("/")
-                    if isinstance(filesystem, fs.LocalFileSystem):
+                    if isinstance(filesystem, fs.LocalFileSystem) and folder not in folders:
                         filesystem.create_dir(folder)
+                        if len(folders) < 10_000:
+                            folders.add(folder)
                     temporary = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
                     stream = filesystem.open_output_stream(temporary)
                 elif row.content:
                     written += stream.write(SEPARATORS[row.format].encode()) if written else 0
                 written += stream.write(row.content.encode("utf-8"))
+            if done:
+                yield report()
         if stream is not None:
-            yield finish()
+            finish()
+            yield report()
 
     return write_batches
 

@@ -314,3 +314,16 @@ def test_stream_of_small_files_has_its_own_settings(spark, tmp_path):
     own = landing.landing_files(spark, str(tmp_path)).sparkSession
     assert int(own.conf.get(names[0])) == landing.OPEN_COST and int(own.conf.get(names[1])) == 4 * spark.sparkContext.defaultParallelism
     assert own.conf.get(names[2]) == before[2] and [spark.conf.get(n) for n in names] == before
+
+
+def test_written_files_are_reported_by_batches(tmp_path):
+    """One frame for a batch of rows, not one for each file; a file may go on in the next batch."""
+    import pandas as pd
+
+    from cuewright.sinks.files import _writer
+
+    frame = lambda ids: pd.DataFrame({"out_path": [f"{tmp_path}/a/{i}.srt" for i in ids], "format": "srt", "content": [f"c{i}" for i in ids]})
+    frames = list(_writer()(iter([frame(range(5)), frame([4, 5]), frame([5]), frame([])])))
+    assert len(frames) <= 3 and sorted(r.out_path for f in frames for r in f.itertuples()) == [f"{tmp_path}/a/{i}.srt" for i in range(6)]
+    assert [(tmp_path / "a" / f"{i}.srt").read_text() for i in (0, 3)] == ["c0", "c3"] and (tmp_path / "a" / "5.srt").read_text().split() == ["c5", "c5"]
+    assert {r.out_path[-5:]: r.n_bytes for f in frames for r in f.itertuples()}["0.srt"] == 2
