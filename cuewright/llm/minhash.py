@@ -1,4 +1,6 @@
-"""Near duplicates by the shingles they share: MinHash bands propose pairs, the exact similarity of the shingle sets decides.
+"""Near duplicates by the shingles they share: the SimHash trie and MinHash bands propose pairs, the exact similarity of the shingle sets decides.
+
+The trie of ``simhash`` links fingerprints that differ in few bits. Of texts that share 0.8 of their shingles these are the closest; the bands find the others.
 
 A pair of texts of similarity ``s`` (shared shingles by all shingles of the two) agrees in a band of ``ROWS`` minima with probability
 ``s ** ROWS``, and in one of ``BANDS`` at least with ``1 - (1 - s ** ROWS) ** BANDS``: 0.9998 at 0.8, over 0.9999999 at 0.9. In a bucket of texts that agree
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.llm.base import by_value, stored, text_key
-from cuewright.llm.simhash import components, shingle_hashes
+from cuewright.llm.simhash import components, fingerprint_of, near_links, shingle_hashes
 
 BANDS, ROWS = 48, 8
 
@@ -34,18 +36,21 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def _signer(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of every text the number of its shingles and a hash of each band."""
+        """Of every text the number of its shingles, its SimHash and a hash of each band."""
         import xxhash
 
         for batch in batches:
-            size, bands = [], []
+            size, prints, bands = [], [], []
             for x in batch.column("text"):
-                hashes = np.unique(shingle_hashes(x.as_py(), shingle))
+                every = shingle_hashes(x.as_py(), shingle)
+                prints.append(fingerprint_of(every))
+                hashes = np.unique(every)
                 raw = signature(hashes).astype("<u8").tobytes()
                 size.append(len(hashes))
                 bands.append(np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * i:8 * ROWS * (i + 1)], i) for i in range(BANDS)], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("node"), pa.array(size, pa.int32()),
-                                              pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "size", "bands"])
+                                              pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
+                                             names=["doc_id", "key", "node", "size", "fp", "bands"])
     return run
 
 
@@ -67,9 +72,19 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return both.filter(shared >= least * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def _trie_pairs(signed: DataFrame, budget: int) -> DataFrame:
+    """``a, b``: texts that the SimHash trie links, each fingerprint by one of its texts, and with that one the others of the same fingerprint."""
+    texts = signed.select("fp", "node").distinct()
+    prints = stored(texts.groupBy("fp").agg(F.min("node").alias("first")), "simhash-nodes")
+    same = texts.join(prints, "fp").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = stored(near_links(prints.select("fp"), budget).select("a", "b").distinct(), "simhash-links")
+    ends = links.join(prints.toDF("a", "text_a"), "a").join(prints.toDF("b", "text_b"), "b")
+    return same.union(ends.select("text_a", "text_b"))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int = 4) -> DataFrame:
     """``doc_id, key, root`` of every row; rows have one ``root`` if they are connected over pairs of texts whose sets of ``shingle`` words have at least
-    ``least`` of their shingles in common. ``key`` is the text's digest.
+    ``least`` of their shingles in common. ``key`` is the text's digest. Pairs are proposed by the trie of fingerprints within ``budget`` bits, and by bands.
 
     Words are as in ``simhash``. A text of fewer words is one shingle; null and empty texts, and texts of blanks, are copies of one another. Rows with null
     ids take part like others. An empty table gives an empty result. Only ids and texts are read.
@@ -77,7 +92,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
     filled = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.unhex(F.md5(filled)).alias("node"), filled.cast("binary").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = stored(rows.mapInArrow(_signer(shingle), f"doc_id {id_type}, key STRING, node BINARY, size INT, bands ARRAY<BIGINT>"), "minhash")
+    signed = stored(rows.mapInArrow(_signer(shingle), f"doc_id {id_type}, key STRING, node BINARY, size INT, fp BIGINT, bands ARRAY<BIGINT>"), "minhash")
     texts = rows.select("node", "text")
     members = signed.dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band"))
     members = stored(members, "minhash-bands")
@@ -85,7 +100,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
     members = stored(members.join(shared, "band").select("band", "node", "size", "pivot"), "minhash-buckets")
     alike = lambda a, b: F.least(a, b) >= least * F.greatest(a, b)
     first = members.filter((F.col("node") != F.col("pivot.node")) & alike(F.col("size"), F.col("pivot.size")))
-    first = stored(first.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct(), "minhash-pairs")
+    first = first.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).union(_trie_pairs(signed, budget))
+    first = stored(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     links = stored(_similar(first, texts, shingle, least), "minhash-links")
     roots = components(links)
     # what is still apart in a bucket
@@ -95,8 +111,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
     apart = stored(apart.join(mixed, "band", "left_semi"), "minhash-apart")
     x, y = apart.toDF("band", "a", "size_a", "root_a"), apart.toDF("band", "b", "size_b", "root_b")
     second = x.join(y, "band").filter((F.col("root_a") < F.col("root_b")) & alike(F.col("size_a"), F.col("size_b"))).select("a", "b").distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stored(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+    second = stored(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(first, ["a", "b"], "left_anti"), "minhash-pairs")
     if second.limit(1).count():
         roots = components(links.union(_similar(second, texts, shingle, least)))
     return signed.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))

@@ -40,7 +40,11 @@ def shingle_hashes(raw: bytes, shingle: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
     """The SimHash of a UTF-8 text: bit set where over half the shingles' XXH64 have it."""
-    hashes = shingle_hashes(raw, shingle, seed)
+    return fingerprint_of(shingle_hashes(raw, shingle, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingles by their hashes, repeats included."""
     counts = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), 4096):
         block = hashes[a:a + 4096].view(np.uint8).reshape(-1, 8)

@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from cuewright.llm.minhash import similar_documents
-from cuewright.llm.simhash import connect, without_near_duplicates
+from cuewright.llm.simhash import connect, near_links, without_near_duplicates
 
 from .conftest import documents
 
@@ -58,3 +58,30 @@ def test_odd_rows(odd, nothing):
     assert len({r.root for r in found}) == 8
     assert without_near_duplicates(odd, similar_documents).columns == odd.columns
     assert similar_documents(nothing).collect() == []
+
+
+def test_the_stage_goes_through_the_trie(spark, monkeypatch):
+    """Without any band the SimHash trie alone finds the closest copies, and no pair below the similarity."""
+    from cuewright.llm import minhash
+
+    texts = planted()
+    sets = [shingles(t) for t in texts]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)], False)
+    asked = []
+    monkeypatch.setattr(minhash, "near_links", lambda prints, budget: asked.append(budget) or near_links(prints, budget))
+    signer = minhash._signer
+
+    def without_bands(shingle):
+        run = signer(shingle)
+        def blind(batches):
+            import pyarrow as pa
+            for n, batch in enumerate(run(batches)):
+                none = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], none], names=batch.schema.names)
+        return blind
+
+    monkeypatch.setattr(minhash, "_signer", without_bands)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    gone = set(range(len(texts))) - kept
+    assert asked == [4] and len(gone) > 5
+    assert all(any(similarity(sets[i], sets[j]) >= 0.8 for j in range(len(texts)) if j != i) for i in gone)
