@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import strip
-from cuewright.ml.features import gram_rows
+from cuewright.ml.features import text_grams
 from cuewright.ml.linear import LinearModel
 from cuewright.session import spread
 from cuewright.sources.corpus import document_lines, files_from_table, unroll
@@ -162,7 +162,7 @@ def gram_model(spark: SparkSession, sf: str) -> LinearModel:
     """A model with coefficients that any engine can work out: of every gram of three characters that labelled documents hold twenty times or more, the logarithm of
     how much oftener it stands in good ones."""
     labelled = documents(spark, sf).join(labels(spark, sf), "doc_id").select("doc_id", "text", "quality")
-    counts = gram_rows(labelled, 3, 3, ["doc_id", "quality"], "text").groupBy("doc_id", "quality", "gram").agg(F.count("*").alias("tf"))
+    counts = text_grams(labelled, 3, 3, ["doc_id", "quality"], "text")
     good, bad = (F.sum(F.when(F.col("quality") == q, F.col("tf")).otherwise(0)) for q in (1, 0))
     grams = counts.groupBy("gram").agg(good.alias("good"), bad.alias("bad"), F.count("*").alias("df")).filter("good + bad >= 20")
     n = labelled.count()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import shared_folder, stored
-from .features import gram_rows, idf
+from .features import idf, text_grams
 
 MAX_SIZE = (1 << 31) - 1  # entries of an MLlib vector
 
@@ -38,8 +38,8 @@ def numbered(rows: DataFrame, *order: Column, name: str = "idx") -> DataFrame:
 
 
 def text_gram_counts(texts: DataFrame, keep: list[str], lo: int, hi: int, column: str = "clean_text") -> DataFrame:
-    """``(*keep, gram, tf)``, stored. ``keep`` begins with the text's key; texts without a gram have no row."""
-    return stored(gram_rows(texts, lo, hi, keep, column).groupBy(*keep, "gram").agg(F.count("*").alias("tf")), "text-grams")
+    """``(*keep, gram, tf)``; store it where it is read more than once. ``keep`` begins with the text's key; texts without a gram have no row."""
+    return text_grams(texts, lo, hi, keep, column)
 
 
 def dictionary(frequencies: DataFrame, size: int | None = None) -> DataFrame:

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from ..operators.sampling import least_by_hash
 from ..session import stored
 from .encoding import dictionary, feature_table, frequencies, text_gram_counts, weights
-from .features import CharNGrams, SublinearTF, gram_rows, idf
+from .features import CharNGrams, SublinearTF, idf, text_grams
 from .model import DEFAULT_THRESHOLD, PRESETS, AdClassifier, regress
 
 GRAMS = "gram STRING, idf DOUBLE, coefficient DOUBLE"
+SENT_GRAMS = 200_000  # grams of a model that are sent to tasks whole
 SETTINGS = "lo INT, hi INT, sublinear BOOLEAN, intercept DOUBLE, threshold DOUBLE"
 
 
@@ -62,7 +63,7 @@ def train_table(samples: DataFrame, preset: str = "best", threshold: float = DEF
     labelled = stored(samples.select("clean_text", F.col(label).cast("double").alias(label)), "labelled")
     chosen = least_by_hash(labelled, get("maxRows"), "clean_text", label)
     rows = stored(chosen.withColumn("_key", F.monotonically_increasing_id()), "training")
-    counts = text_gram_counts(rows, ["_key"], get("lo"), get("hi"))
+    counts = stored(text_gram_counts(rows, ["_key"], get("lo"), get("hi")), "text-grams")
     numbers = stored(dictionary(frequencies(counts), get("vocabSize") or None), "dictionary")
     n, size = rows.count(), numbers.count()
     if not size:
@@ -92,13 +93,14 @@ def load_table(spark: SparkSession, path: str) -> LinearModel:
 def linear_scores(texts: DataFrame, key: list[str], model: LinearModel, column: str = "clean_text") -> DataFrame:
     """The rows with ``score`` = P(label 1). ``key`` names columns that tell rows apart and are not null.
 
-    A text without a gram of the model (null, short or strange) has the intercept's score. Counts are combined before the shuffle, where a
-    text's grams still are in one task. Whether the model's grams are sent to the tasks or shuffled is left to the planner's size check.
+    A text without a gram of the model (null, short or strange) has the intercept's score. A text's grams are counted in its
+    row. A model of at most ``SENT_GRAMS`` is sent to the tasks, and sums are combined there, so that one row a text is shuffled; of a larger one the planner decides.
     """
-    counts = gram_rows(texts, model.lo, model.hi, key, column).groupBy(*key, "gram").agg(F.count("*").alias("tf"))
+    counts = text_grams(texts, model.lo, model.hi, key, column)
     tf = F.lit(1.0) + F.log("tf") if model.sublinear else F.col("tf").cast("double")
     weight = tf * F.col("idf")
-    sums = counts.join(model.grams, "gram").groupBy(*key).agg(
+    grams = F.broadcast(model.grams) if model.grams.limit(SENT_GRAMS + 1).count() <= SENT_GRAMS else model.grams
+    sums = counts.join(grams, "gram").groupBy(*key).agg(
         F.sum(weight * F.col("coefficient")).alias("_linear_dot"), F.sqrt(F.sum(weight * weight)).alias("_linear_norm"))
     logit = model.intercept + F.when(F.col("_linear_norm") > 0, F.col("_linear_dot") / F.col("_linear_norm")).otherwise(0.0)
     return texts.join(sums, key, "left").withColumn("score", 1 / (1 + F.exp(-logit))).drop("_linear_dot", "_linear_norm")

@@ -102,7 +102,7 @@ def shared_search(samples: DataFrame, grid: dict[str, list], folds: int = 3, see
 
     for lo, hi in unique(("lo", "hi"), list(range(len(maps)))):
         in_range = [i for i, m in enumerate(maps) if (value(m, "lo"), value(m, "hi")) == (lo, hi)]
-        counts = text_gram_counts(rows, ["_key", "fold"], lo, hi)
+        counts = stored(text_gram_counts(rows, ["_key", "fold"], lo, hi), "text-grams")
         frequencies = stored(fold_frequencies(counts, folds), "fold-frequencies")
         for k in range(folds):
             outside = total - sizes.get(k, 0)

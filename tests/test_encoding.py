@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -105,3 +106,24 @@ def test_shared_search_is_the_search(samples):
     with pytest.raises(ValueError):
         search.shared_search(samples, {"solver": ["saga"]})
 
+
+
+def test_grams_of_short_texts_are_not_shuffled(spark, monkeypatch):
+    """Counts as in plain Python on both sides of the length from which texts are cut, and no exchange of occurrences below it."""
+    from collections import Counter
+
+    from cuewright.ml import features
+
+    texts = ["abcabc", "", None, "ab", "AAAA aaa", "x y  z\n\nx y", "é😀é😀é😀", "abcd" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id INT, clean_text STRING")
+    monkeypatch.setattr(features, "SHORT", 12)
+    def grams(text):
+        text = re.sub(r"\s{2,}", " ", text.lower())
+        return Counter(text[i:i + n] for n in (3, 4) for i in range(len(text) - n + 1))
+    got = {(r.id, r.gram): r.tf for r in features.text_grams(docs, 3, 4, ["id"]).collect()}
+    assert got == {(i, g): n for i, t in enumerate(texts) for g, n in grams(t or "").items()}
+    monkeypatch.undo()
+    short = features.text_grams(docs.filter("id < 7"), 3, 4, ["id"])
+    assert {(r.id, r.gram): r.tf for r in short.collect()} == {k: n for k, n in got.items() if k[0] < 7}
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # that of long texts
