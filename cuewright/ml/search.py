@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sampling import least_by_hash
 from ..session import stored
 from .encoding import dictionary, feature_table, text_gram_counts, weights
+from .features import fit_tfidf, vectors
 from .model import AdClassifier, regress
 
 # The kinds of settings that can be searched.
@@ -40,21 +44,48 @@ def param_maps(estimator: AdClassifier, grid: dict[str, list]) -> list[dict]:
     return maps
 
 
-def grid_search(samples: DataFrame, grid: dict[str, list], folds: int = 3, parallelism: int = 1,
+def grid_search(samples: DataFrame, grid: dict[str, list], folds: int = 3, parallelism: int = 4,
                 seed: int = 42, **settings) -> tuple[CrossValidatorModel, DataFrame]:
     """The fitted search (best model on all samples included) and its table of mean AUCs.
 
-    ``settings`` are classifier settings that are not searched.
+    ``settings`` are classifier settings that are not searched. The results are those of MLlib's ``CrossValidator``. TF-IDF is fitted once for a fold and kind of grams, its
+    features are stored and shared by all ``C`` and penalties, and ``parallelism`` fits run beside one another: an iteration on its own leaves most of the cluster idle.
     """
     estimator = AdClassifier(**settings)
     maps = param_maps(estimator, grid)
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", numBins=0),
-        numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed,
-    ).fit(with_fold(samples, folds, seed).withColumn("label", F.col("label").cast("double")))
-    return search, _table(maps, search.avgMetrics)
+    value = lambda setting, name: setting.get(estimator.getParam(name), estimator.getOrDefault(name))
+    label, limit = estimator.getOrDefault("labelCol"), estimator.getOrDefault("maxRows")
+    labelled = samples.select("clean_text", F.col(label).cast("double").alias(label))
+    rows = stored(with_fold(labelled, folds, seed), "search-rows")
+    evaluator = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", numBins=0)
+    kinds = [tuple(value(m, name) for name in ("lo", "hi", "vocabSize", "sublinear")) for m in maps]
+    tasks = -(-rows.sparkSession.sparkContext.defaultParallelism // parallelism)
+
+    def auc(setting: dict, train: DataFrame, test: DataFrame) -> float:
+        fitted = regress(train, value(setting, "C"), value(setting, "penalty"), value(setting, "maxIter"), label, tasks)
+        return evaluator.evaluate(fitted.transform(test))
+
+    aucs = [[] for _ in maps]
+    with ThreadPool(parallelism) as pool:
+        waiting = []
+        for k in range(folds):
+            outside, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
+            if outside.isEmpty() or test.isEmpty():
+                raise ValueError(f"fold {k} has all samples or none")
+            train = least_by_hash(outside, limit, "clean_text", label)
+            if train is not outside:
+                train = stored(train, "training")
+            for lo, hi, size, sublinear in dict.fromkeys(kinds):
+                tfidf = fit_tfidf(train, lo, hi, size or None, sublinear)
+                parts = vectors(train, tfidf, [label]), vectors(test, tfidf, [label])
+                for i, kind in enumerate(kinds):
+                    if kind == (lo, hi, size, sublinear):
+                        waiting.append((i, pool.apply_async(inheritable_thread_target(rows.sparkSession)(auc), (maps[i], *parts))))
+        for i, one in waiting:
+            aucs[i].append(one.get())
+    means = [sum(found) / folds for found in aucs]
+    best = estimator.fit(labelled, maps[max(range(len(maps)), key=means.__getitem__)])
+    return CrossValidatorModel(best, means, [], [float(np.std(found)) for found in aucs]), _table(maps, means)
 
 
 def _table(maps: list[dict], aucs: list[float]) -> DataFrame:
