@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from ..session import stored
 from .detect import min_length
 
 _BUCKETS = 4096
@@ -42,7 +43,8 @@ def stratified_split(df: DataFrame, test_share: float = 0.2, seed: int = 42, exa
     By default a sample's hash decides: no shuffle, the share holds in expectation.
     ``exact`` takes exactly the rounded share per label (samples must be distinct):
     hashes are cut into buckets, whole buckets are taken while they fit, and only
-    the bucket on the edge is ranked, so no task sees a whole class.
+    the bucket on the edge is ranked, so no task sees a whole class. The samples are
+    written once for the counts, the whole buckets and the edge.
     """
     # leading digits of a digest that every engine has
     digest = F.md5(F.concat(F.lit(f"{seed}|"), "clean_text"))
@@ -51,6 +53,7 @@ def stratified_split(df: DataFrame, test_share: float = 0.2, seed: int = 42, exa
         return df.withColumn("is_test", hashed < int(test_share * 2**40))
 
     rows = df.withColumn("_hash", hashed).withColumn("_bucket", F.floor(F.col("_hash") / (2**40 // _BUCKETS)).cast("int"))
+    rows = stored(rows, "split")
     per_bucket = rows.groupBy("label", "_bucket").agg(F.count("*").alias("_n"))
     by_label = Window.partitionBy("label")
     before = F.sum("_n").over(by_label.orderBy("_bucket")) - F.col("_n")
