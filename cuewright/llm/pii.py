@@ -3,19 +3,18 @@
 All of it is column expressions. A pattern's matches and the text between them are two arrays, from which positions
 follow by sums of lengths; so nothing is cut out of the text by position, and a text of any length costs in proportion. Strict
 patterns with checks give the base spans, which always stay. Wide patterns give candidates that may overlap them and one another. Trees
-learn, on a bounded sample of candidates, which formats and contexts the base spans have (the deciding checks themselves are no features),
+learn, from all candidates, which formats and contexts the base spans have (the deciding checks themselves are no features),
 and a candidate is added where its score is above its kind's threshold, chosen on other candidates for its precision.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm.base import fresh, stored, text_key
@@ -46,6 +45,7 @@ WORDS = {
     "card": "card|visa|credit|karte|carte|tarjeta|pay", "phone": "tel|phone|call|fax|mobil|appel|ruf|llam",
 }
 CONTEXT = 24
+RANGES = 4096
 FEATURES = (
     "length", "digits", "letters", "marks", "blanks", "dots", "hyphens", "brackets", "longest_digits", "distinct_digits", "first_digit",
     "word_before", "letter_before", "blank_before", "quote_before", "letter_after", "blank_after", "stop_after", "upper", "non_ascii",
@@ -191,39 +191,55 @@ class Model:
         return F.array_sort(F.concat(base, _slim(added)))
 
 
-def fit(proposed: DataFrame, sample: int = 8_000, rounds: int = 20, depth: int = 4, precision: float = 0.95, least: int = 50, seed: int = 7) -> Model:
-    """Trees and thresholds from at most ``sample`` candidates of each kind, taken by a hash of all of them.
+def fit(proposed: DataFrame, rounds: int = 20, depth: int = 4, precision: float = 0.95, least: int = 50, seed: int = 7) -> Model:
+    """Trees and thresholds from all candidates of each kind. ``__id`` is the hash of a row.
 
-    Nine tenths train; on the rest, a kind's threshold is the lowest score such that of the candidates at or above it ``precision`` are
-    base spans, moved half way to the next score below. A kind with fewer than ``least`` base or other candidates in the sample, or without such a score, gets none:
+    Equal candidates, those of the same features and label, are one row with their number as its weight. Nine tenths of the candidates, by a hash, train; on the rest, a
+    kind's threshold is the lowest score such that of the candidates at or above it ``precision`` are
+    base spans, moved half way to the next score below. A kind with fewer than ``least`` base or other candidates, or without such a score, gets none:
     its base spans are all it has.
     """
+    fold = F.pmod(F.xxhash64(F.xxhash64("__id", "c.start")), F.lit(10))
+    each = [proposed.select(F.lit(k).alias("kind"), "__id", F.explode(f"{k}_wide").alias("c")) for k in KINDS]
+    every = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).select(
+        "kind", F.col("c.x").alias("x"), F.col("c.base").cast("double").alias("label"), (fold == 0).alias("held"))
+    grouped = stored(every.groupBy("kind", "x", "label", "held").agg(F.count("*").cast("double").alias("n")), "candidates")
+    counts = {(r.kind, r.label): r.n for r in grouped.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
     thresholds, trees = {}, {}
     for kind in KINDS:
-        every = proposed.select("__id", F.explode(f"{kind}_wide").alias("c")).select(
-            F.col("c.x").alias("x"), F.col("c.base").cast("double").alias("label"), F.xxhash64("__id", "c.start").alias("h"))
-        taken = every.orderBy("h").limit(sample).persist()
-        counts = {r.label: r["count"] for r in taken.groupBy("label").count().collect()}
-        if min(counts.get(0.0, 0), counts.get(1.0, 0)) < least:
-            taken.unpersist()
+        if min(counts.get((kind, 0.0), 0), counts.get((kind, 1.0), 0)) < least:
             continue
-        ready = VectorAssembler(inputCols=["v"], outputCol="features").transform(
-            taken.select("label", "h", "x", F.pmod(F.xxhash64("h"), F.lit(10)).alias("fold"), _as_vector("x").alias("v")))
-        grown = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.2).fit(ready.filter("fold > 0"))
+        of_kind = grouped.filter(F.col("kind") == kind)
+        ready = VectorAssembler(inputCols=["v"], outputCol="features").transform(of_kind.filter("NOT held").select("label", "n", _as_vector("x").alias("v")))
+        grown = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.2, weightCol="n").fit(ready)
         trees[kind] = [(w, [s.strip() for s in t.toDebugString.split("\n")[1:] if s.strip()]) for w, t in zip(grown.treeWeights, grown.trees)]
-        model = Model(trees, {})
-        held = sorted(((r.score, r.label) for r in ready.filter("fold = 0").select(model.score(kind, F.col("x")).alias("score"), "label").collect()), reverse=True)
-        right, best = 0.0, math.inf
-        for i, (score, label) in enumerate(held):
-            right += label
-            if right / (i + 1) >= precision and (i + 1 == len(held) or held[i + 1][0] < score):
-                best = score if i + 1 == len(held) else (score + held[i + 1][0]) / 2
-        if best < math.inf:
-            thresholds[kind] = best
-        taken.unpersist()
+        scored = of_kind.filter("held").select(Model(trees, {}).score(kind, F.col("x")).alias("score"), "label", "n")
+        threshold = _threshold(scored, precision)
+        if threshold is not None:
+            thresholds[kind] = threshold
     return Model(trees, thresholds)
 
 
+def _threshold(scored: DataFrame, precision: float) -> float | None:
+    """Of ``(score, label, n)``, ``n`` candidates each: the lowest score from which on ``precision`` of them have label 1, moved half way to the next below.
+
+    Running sums go by ranges of scores, the sums of the ranges above added, so neither the driver nor a task sees all scores.
+    """
+    by_score = stored(scored.groupBy("score").agg(F.sum(F.col("n") * F.col("label")).alias("right"), F.sum("n").alias("n")), "scores")
+    ranges = F.floor(F.col("score") * RANGES).alias("range")  # a probability
+    totals = by_score.groupBy(ranges).agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # of RANGES + 1 rows at most
+    offsets = totals.select("range", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("right", "n")])
+    running = Window.partitionBy("range").orderBy(F.desc("score"))
+    sums = by_score.withColumn("range", ranges).join(F.broadcast(offsets), "range").select(
+        "score", (F.sum("right").over(running) + F.col("right_above")).alias("right"), (F.sum("n").over(running) + F.col("n_above")).alias("n"))
+    best = sums.filter(F.col("right") / F.col("n") >= precision).agg(F.min("score")).first()[0]
+    if best is None:
+        return None
+    below = by_score.filter(F.col("score") < best).agg(F.max("score")).first()[0]
+    return best if below is None else (best + below) / 2
+
+
 def _as_vector(x: str) -> Column:
     from pyspark.ml.functions import array_to_vector
 
