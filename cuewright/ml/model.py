@@ -70,14 +70,14 @@ def regress(features: DataFrame, C: float, penalty: str = "l2", maxIter: int = 5
     """Logistic regression with balanced class weights on stored rows of ``features`` and ``label``.
 
     MLlib reads them twice and keeps them in blocks of its own. Each of some hundred iterations is a job over these, in ``partitions`` tasks at most; unless given, in one
-    for every 10,000 rows, in four at least (up to five add up without a second stage) and in no more than the cluster has cores.
+    for every 4,000 rows, in four at least (up to five add up without a second stage) and in no more than the cluster has cores.
     """
     counts = {r[label]: r["n"] for r in features.groupBy(label).agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     weight = F.lit(None).cast("double")
     for value, of_class in counts.items():
         weight = F.when(F.col(label) == value, n / (len(counts) * of_class)).otherwise(weight)
-    tasks = partitions or min(max(4, n // 10_000), features.sparkSession.sparkContext.defaultParallelism)
+    tasks = partitions or min(max(4, n // 4_000), features.sparkSession.sparkContext.defaultParallelism)
     weighted = features.withColumn("weight", weight).coalesce(tasks)
     return LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", family="binomial",
