@@ -118,24 +118,27 @@ def _shingler(shingle: int):
     return run
 
 
-def possible_at(least: float) -> int:
-    """Agreeing bytes below which a link is ruled out: six standard deviations under the mean at the least similarity."""
-    return max(1, math.floor(SIGNATURE * least - 6 * math.sqrt(SIGNATURE * least * (1 - least))))
+def possible_at(least: float, deviations: int = 6) -> int:
+    """Agreeing bytes below which a link is ruled out: so many standard deviations under the mean at the least similarity."""
+    return max(1, math.floor(SIGNATURE * least - deviations * math.sqrt(SIGNATURE * least * (1 - least))))
 
 
-def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Tree edges that connect the positions 0 to ``n - 1``, level by level from the first position not reached.
 
     ``near(at, others)`` says which of the other positions one is linked with. Every position is compared with all that are not connected with it by then, so the trees are
-    the components of all links.
+    the components of all links. Positions of one number in ``known`` are connected from the start, and not compared.
     """
     edges, apart = [], np.arange(n)
     while len(apart) > 1:
-        queue, apart = [int(apart[0])], apart[1:]
+        start = apart == apart[0] if known is None else known[apart] == known[apart[0]]
+        queue, apart = apart[start].tolist(), apart[~start]
         for at in queue:
             if not len(apart):
                 break
             linked = near(at, apart)
+            if known is not None and linked.any():
+                linked = np.isin(known[apart], known[apart[linked]])
             reached = apart[linked].tolist()
             edges += [(at, x) for x in reached]
             queue += reached
@@ -147,7 +150,7 @@ def by_signature(signatures: np.ndarray, enough: int) -> Callable[[int, np.ndarr
     return lambda at, others: (signatures[others] == signatures[at]).sum(axis=1) >= enough
 
 
-def by_sets(members: np.ndarray, sizes: np.ndarray, percent: int, possible: Callable[[int, np.ndarray], np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+def by_sets(members: np.ndarray, sizes: np.ndarray, percent: float, possible: Callable[[int, np.ndarray], np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
     """Whether sets, one after another in ``members``, share enough of their union; those that cannot are not looked at."""
     number = np.unique(members, return_inverse=True)[1]
     first = np.cumsum(sizes) - sizes
@@ -168,10 +171,11 @@ def by_sets(members: np.ndarray, sizes: np.ndarray, percent: int, possible: Call
     return near
 
 
-def _groups(rows: pa.Table, ends: np.ndarray, enough: int, percent: int | None) -> pa.RecordBatch:
-    """Tree edges ``a < b`` of every group of rows: of possible links, or, with ``percent``, of true ones."""
+def _groups(rows: pa.Table, ends: np.ndarray, enough: int, percent: float | None) -> pa.RecordBatch:
+    """Tree edges ``a < b`` of every group of rows: of possible links, or, with ``percent``, of true ones. Where rows have a ``root``, edges are between roots."""
     rows = rows.slice(0, ends[-1])
-    node = rows.column("node").to_numpy()
+    rooted = "root" in rows.column_names
+    node = rows.column("root" if rooted else "node").to_numpy()
     signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
     size = np.diff(ends)
     found: list[np.ndarray] = []
@@ -189,12 +193,12 @@ def _groups(rows: pa.Table, ends: np.ndarray, enough: int, percent: int | None)
         near = by_signature(signatures[start:start + n], enough)
         if percent is not None:
             near = by_sets(members[first[start]:first[start + n]], sizes[start:start + n], percent, near)
-        found.append(np.array(forest(n, near), np.int64).reshape(-1, 2) + start)
+        found.append(np.array(forest(n, near, node[start:start + n] if rooted else None), np.int64).reshape(-1, 2) + start)
     pairs = node[np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
 
 
-def _trees(enough: int, percent: int | None = None):
+def _trees(enough: int, percent: float | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by ``bucket``; a group may go over into the next batch."""
         held: list[pa.Table] = []

@@ -85,3 +85,54 @@ def test_the_stage_goes_through_the_trie(spark, monkeypatch):
     gone = set(range(len(texts))) - kept
     assert asked == [4] and len(gone) > 5
     assert all(any(similarity(sets[i], sets[j]) >= 0.8 for j in range(len(texts)) if j != i) for i in gone)
+
+
+def one_word_changed(n):
+    """Texts of 60 words that are others in one place each: alike (0.8) if the places are at most one apart, else at about 0.7."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    places = [rng.choice([*range(6, 24), *range(26, 56, 6)]) for _ in range(n)]
+    return [" ".join([*base[:at], f"x{i}", *base[at + 1:]]) for i, at in enumerate(places)]
+
+
+def test_a_large_group_makes_no_row_for_a_pair(spark, monkeypatch):
+    """Of texts that mostly agree in a band and are not alike no table of pairs is made, and all links between them are found."""
+    from cuewright.llm import minhash
+
+    texts = one_word_changed(300)
+    sets = [shingles(t) for t in texts]
+    near = np.array([(i, j) for i in range(len(sets)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8])
+    roots = connect(len(texts), near[:, 0], near[:, 1])
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)], False)
+    counts, stored = {}, minhash.stored
+
+    def counted(df, purpose):
+        out = stored(df, purpose)
+        counts[purpose] = max(out.count(), counts.get(purpose, 0))
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    found = {r.doc_id: r.root for r in similar_documents(docs).collect()}
+    assert len({(found[i], roots[i]) for i in range(len(texts))}) == len(set(found.values())) == len(set(roots)) > 3
+    assert max(counts.values()) <= minhash.BANDS * len(texts), counts
+
+
+def test_blocks_lose_no_pair(spark):
+    """Buckets and families in blocks of a few texts give the groups that whole ones give."""
+    texts = one_word_changed(120) + planted()
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)], False)
+    whole, cut = ({r.doc_id: r.root for r in similar_documents(docs, **x).collect()} for x in ({}, {"block": 4, "members": 300}))
+    assert whole == cut
+
+
+def test_rows_of_the_most_frequent_root_are_not_dealt_to_one_another(spark):
+    """A group that is connected but for two texts is dealt out in proportion to its size; each of the two meets all others."""
+    from cuewright.llm.minhash import _dealt
+
+    rows = spark.range(1_002).selectExpr("1L AS family", "id AS node", "10 AS size", "CASE WHEN id < 1000 THEN 0L ELSE id END AS root", "x'00' AS signature")
+    dealt = [(r.bucket, r.node) for r in _dealt(rows, "family", 20, 1 << 62).collect()]
+    buckets = {}
+    for bucket, node in dealt:
+        buckets.setdefault(bucket, set()).add(node)
+    assert len(dealt) <= 1_000 + 2 * 51
+    assert all(any({a, b} <= nodes for nodes in buckets.values()) for a in (1_000, 1_001) for b in range(1_002) if a != b)
