@@ -45,3 +45,24 @@ def test_counts_and_vectors(monkeypatch, chunk, limit, small, lo, hi, letters):
             assert (vector["type"], vector["size"], vector["indices"]) == (0, len(known), sorted(plain))
             assert vector["values"] == pytest.approx([plain[i] / norm for i in sorted(plain)], abs=1e-12)
             assert product == pytest.approx(sum(w / norm * coefficients[i] for i, w in plain.items()), abs=1e-9)
+
+
+def test_occurrences_alone():
+    """Occurrences counted without their texts are those of a plain count, for few and many characters and texts of several parts."""
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from cuewright.ml.batches import CHUNK, count_occurrences, summed
+
+    rng = random.Random(3)
+    wide = ["".join(chr(0x4E00 + rng.randrange(6_000)) for _ in range(5_000)) for _ in range(3)]
+    for texts in ([None, "", "a", "ab", "aaaa", "é\U0001F600x\U0001F600x"], [*wide, None, wide[0]], ["abcd" * (CHUNK // 4 + 10), "abc"], [], [""]):
+        want = Counter(t[i:i + n] for t in texts if t for n in (1, 3, 4) for i in range(len(t) - n + 1))
+        for lo, hi in ((3, 4), (1, 1)):
+            got = Counter()
+            for out in summed(count_occurrences([pa.record_batch([pa.array(texts, pa.string())], ["t"])], lo, hi), 5_000):
+                for gram, k in zip(out.column("gram").to_pylist(), out.column("n").to_pylist()):
+                    got[gram] += k
+            assert got == Counter({g: k for g, k in want.items() if lo <= len(g) <= hi})
