@@ -11,6 +11,7 @@ documents the model has not seen.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -258,17 +259,18 @@ def _languages_table(df: DataFrame, purpose: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= LANGUAGES else df
 
 
-def _discounts(counts: DataFrame, order: int, models: tuple[int, ...]) -> DataFrame:
-    """Modified Kneser-Ney discounts of an order, per language: for counts of one, two, and three or more in each model."""
+def _discounts(counts: DataFrame, models: tuple[int, ...]) -> DataFrame:
+    """``lang, k`` and for each model the symbols seen and one more, ``symbols<model>``, which order one needs, and the modified Kneser-Ney
+    discounts of the order ``k``: for counts of one, two, and three or more."""
     n = [F.count_if(F.col(f"c{m}") == i).alias(f"n{m}{i}") for m in models for i in (1, 2, 3, 4)]
-    sums = counts.groupBy("lang").agg(*n)
+    sums = counts.groupBy("lang", "k").agg(*n, *[(F.count_if(F.col(f"c{m}") > 0) + 1).alias(f"symbols{m}") for m in models])
 
     def discount(m: int, i: int) -> Column:
         y = F.col(f"n{m}1") / (F.col(f"n{m}1") + 2 * F.col(f"n{m}2"))
         # without any n-gram of some count the formula has no value, and half the count is taken off
         value = F.coalesce(F.when(F.col(f"n{m}{i}") > 0, i - (i + 1) * y * F.col(f"n{m}{i + 1}") / F.col(f"n{m}{i}")), F.lit(0.5 * i))
         return F.greatest(F.least(value, F.lit(0.99 * i)), F.lit(0.01)).alias(f"d{m}{i}")
-    return sums.select("lang", *[discount(m, i) for m in models for i in (1, 2, 3)])
+    return sums.select("lang", "k", *[f"symbols{m}" for m in models], *[discount(m, i) for m in models for i in (1, 2, 3)])
 
 
 def probabilities(counts: DataFrame, order: int, models: tuple[int, ...] = (0,)) -> DataFrame:
@@ -277,22 +279,28 @@ def probabilities(counts: DataFrame, order: int, models: tuple[int, ...] = (0,))
     ``counts``: ``lang, gram, c<model>`` of the highest order; grams that are only asked for have counts of zero. Orders below have
     the counts of their different left extensions. A context that was never seen leaves the symbol to the next order, and below the first
     stands the uniform distribution over the symbols seen and one for all others.
+
+    Orders are worked out from the first one up, each written and joined with the next by the gram without its first symbol. So the plan of an order is the same whatever the
+    order, and the rows of the highest, which are most, are joined for it alone.
     """
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         extensions = [F.count_if(F.col(f"c{m}") > 0).alias(f"c{m}") for m in models]
         tables[k] = stored(tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(*extensions), "ngrams")
-    symbols = _languages_table(tables[1].groupBy("lang").agg(*[(F.count_if(F.col(f"c{m}") > 0) + 1).alias(f"symbols{m}") for m in models]), "ngram-symbols")
-    out = counts.select("lang", "gram").join(symbols, "lang").select(
-        "lang", "gram", *[F.when(F.col(f"symbols{m}") > 1, 1 / F.col(f"symbols{m}")).otherwise(1.0).alias(f"p{m}") for m in models])
+    every = [tables[k].select("lang", F.lit(k).alias("k"), *[f"c{m}" for m in models]) for k in tables]
+    languages = stored(_discounts(functools.reduce(DataFrame.union, every), models), "ngram-discounts")
+    few = languages.count() <= LANGUAGES * order
+    below = None
     for k in range(1, order + 1):
-        seen = tables[k]
         sums = [x for m in models for c in [F.col(f"c{m}")] for x in (
             F.sum(c).alias(f"total{m}"), F.count_if(c == 1).alias(f"one{m}"), F.count_if(c == 2).alias(f"two{m}"), F.count_if(c > 2).alias(f"more{m}"))]
-        context = seen.groupBy("lang", F.substring("gram", 1, k - 1).alias("h")).agg(*sums)
-        out = out.withColumn("h", F.substring("gram", order - k + 1, k - 1)).withColumn("g", F.substring("gram", order - k + 1, k))
-        out = out.join(seen.withColumnRenamed("gram", "g"), ["lang", "g"]).join(context, ["lang", "h"])
-        out = out.join(_languages_table(_discounts(seen, k, models), "ngram-discounts"), "lang")
+        context = tables[k].groupBy("lang", F.substring("gram", 1, k - 1).alias("h")).agg(*sums)
+        own = languages.filter(F.col("k") == k).drop("k")
+        out = tables[k].withColumn("h", F.substring("gram", 1, k - 1)).join(context, ["lang", "h"]).join(F.broadcast(own) if few else own, "lang")
+        if below is None:
+            out = out.select("*", *[F.when(F.col(f"symbols{m}") > 1, 1 / F.col(f"symbols{m}")).otherwise(1.0).alias(f"p{m}") for m in models])
+        else:
+            out = out.withColumn("g", F.substring("gram", 2, k - 1)).join(below.withColumnRenamed("gram", "g"), ["lang", "g"])
 
         def interpolated(m: int) -> Column:
             c, total, below = F.col(f"c{m}"), F.col(f"total{m}"), F.col(f"p{m}")
@@ -301,7 +309,8 @@ def probabilities(counts: DataFrame, order: int, models: tuple[int, ...] = (0,))
             rest = d1 * F.col(f"one{m}") + d2 * F.col(f"two{m}") + d3 * F.col(f"more{m}")
             return F.when(total == 0, below).otherwise((own + rest * below) / total).alias(f"p{m}")
         out = out.select("lang", "gram", *[interpolated(m) for m in models])
-    return out
+        below = stored(out, "ngram-probabilities") if k < order else out
+    return below
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, block_chars: int = 16_000_000, most_broadcast: int = 2_000_000) -> DataFrame:

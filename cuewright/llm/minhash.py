@@ -160,7 +160,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, bud
     mixed = apart.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
     apart = stored(apart.join(mixed, "band", "left_semi"), "minhash-apart")
     if apart.limit(1).count():
-        roots = components(links.union(_links_between(apart, signed, texts, shingle, least, block, members)))
+        # stars of what is connected, in place of the links that made them
+        roots = components(roots.toDF("a", "b").union(_links_between(apart, signed, texts, shingle, least, block, members)))
     return signed.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
 
 

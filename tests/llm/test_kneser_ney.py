@@ -60,6 +60,18 @@ def test_probabilities(spark):
     assert sum(p("at" + c) for c in seen) == pytest.approx(1 - (1 / (len(seen) + 1)) * _left(p, "at", seen), rel=1e-6)
 
 
+def test_plan_does_not_grow_with_the_order(spark, capsys):
+    """The driver plans, sends and runs the joins of one order at a time, and none of them is by a language alone."""
+    plans = []
+    for order in (3, 6):
+        rows = spark.createDataFrame([("en", g, 1) for g in ("abcdef"[:order], "bcdefa"[:order])], "lang STRING, gram STRING, c0 BIGINT")
+        capsys.readouterr()
+        probabilities(rows, order).explain()
+        plans.append(capsys.readouterr().out)
+    assert plans[0].count("Join") == plans[1].count("Join") == 3
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+
+
 def _left(p, context, seen):
     """What the model leaves to symbols it has not seen, in units of the uniform probability."""
     return p(context + "\x01") * (len(seen) + 1)
