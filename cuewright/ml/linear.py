@@ -16,7 +16,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sampling import least_by_hash
+from ..operators.sampling import at_most
 from ..session import stored
 from .encoding import dictionary, feature_table, frequencies, text_gram_counts, weights
 from .features import CharNGrams, SublinearTF, idf, text_grams
@@ -54,14 +54,14 @@ def train_table(samples: DataFrame, preset: str = "best", threshold: float = DEF
     """The classifier of ``model.train`` fitted to a table, for vocabularies of any size.
 
     Grams are counted, numbered and joined to vectors as tables, see ``encoding``; the driver holds the coefficients, as in every fit by MLlib,
-    and no gram. Training rows are bounded by ``maxRows`` as there. Rows with a null text or without a gram are kept with an empty vector; no gram
+    and no gram. Training rows are all of them unless ``maxRows`` is given, as there. Rows with a null text or without a gram are kept with an empty vector; no gram
     at all is an error.
     """
     estimator = AdClassifier(**{**PRESETS[preset], **overrides})
     get = estimator.getOrDefault
     label = get("labelCol")
     labelled = stored(samples.select("clean_text", F.col(label).cast("double").alias(label)), "labelled")
-    chosen = least_by_hash(labelled, get("maxRows"), "clean_text", label)
+    chosen = at_most(labelled, get("maxRows"), "clean_text", label)
     rows = stored(chosen.withColumn("_key", F.monotonically_increasing_id()), "training")
     counts = stored(text_gram_counts(rows, ["_key"], get("lo"), get("hi")), "text-grams")
     numbers = stored(dictionary(frequencies(counts), get("vocabSize") or None), "dictionary")

@@ -12,7 +12,7 @@ from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sampling import least_by_hash
+from ..operators.sampling import at_most
 from ..session import stored
 from .encoding import dictionary, feature_table, text_gram_counts, weights
 from .features import fit_tfidf, vectors
@@ -72,7 +72,7 @@ def grid_search(samples: DataFrame, grid: dict[str, list], folds: int = 3, paral
             outside, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
             if outside.isEmpty() or test.isEmpty():
                 raise ValueError(f"fold {k} has all samples or none")
-            train = least_by_hash(outside, limit, "clean_text", label)
+            train = at_most(outside, limit, "clean_text", label)
             if train is not outside:
                 train = stored(train, "training")
             for lo, hi, size, sublinear in dict.fromkeys(kinds):
@@ -113,7 +113,7 @@ def shared_search(samples: DataFrame, grid: dict[str, list], folds: int = 3, see
     """``(setting, auc)``: the mean AUCs of ``grid_search`` without its repeated work; the settings are fitted as there.
 
     Texts are cut into grams once per n-gram range, and document frequencies of all folds come of one aggregate. The features of a fold are made and
-    stored once for all penalties ``C`` and kinds of penalty. ``maxRows`` bounds the rows of the whole search, not of each fold's training. A fold
+    stored once for all penalties ``C`` and kinds of penalty. ``maxRows``, if given, bounds the rows of the whole search, not of each fold's training. A fold
     with one class only has AUC zero or one by MLlib's definition; rows with a null text have an empty vector.
     """
     estimator = AdClassifier(**settings)
@@ -121,7 +121,7 @@ def shared_search(samples: DataFrame, grid: dict[str, list], folds: int = 3, see
     value = lambda setting, name: setting.get(estimator.getParam(name), estimator.getOrDefault(name))
     label = estimator.getOrDefault("labelCol")
     labelled = stored(samples.select("clean_text", F.col(label).cast("double").alias(label)), "labelled")
-    chosen = with_fold(least_by_hash(labelled, estimator.getOrDefault("maxRows"), "clean_text", label), folds, seed)
+    chosen = with_fold(at_most(labelled, estimator.getOrDefault("maxRows"), "clean_text", label), folds, seed)
     rows = stored(chosen.withColumn("_key", F.monotonically_increasing_id()), "search-rows")
     sizes = {r.fold: r["count"] for r in rows.groupBy("fold").count().collect()}
     total = sum(sizes.values())

@@ -72,3 +72,28 @@ def test_counts_shuffle_no_occurrence(spark):
     counted = features.gram_frequencies(texts, 3, 4)
     assert sorted(map(tuple, counted.collect())) == [("aba", 40 * 49, 40), ("abab", 40 * 49, 40), ("bab", 40 * 49, 40), ("baba", 40 * 48, 40)]
     assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+class _Seen(Exception):
+    pass
+
+
+@pytest.fixture
+def rows_fitted(monkeypatch):
+    """Stops before the fit and tells how many rows it was to have."""
+    def seen(texts, *a):
+        raise _Seen(texts.count())
+    monkeypatch.setattr(model, "fit_tfidf", seen)
+    monkeypatch.setattr(search, "fit_tfidf", seen)
+
+
+def _many(spark, n):
+    return spark.range(n).select(F.concat(F.lit("text "), "id").alias("clean_text"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+
+
+def test_a_fold_is_trained_on_all_rows_outside(spark, rows_fitted):
+    rows = _many(spark, 410_000)
+    outside = search.with_fold(rows, 2).filter("fold <> 0").count()
+    assert outside > 200_000
+    with pytest.raises(_Seen, match=f"^{outside}$"):
+        search.grid_search(rows, {"C": [1.0]}, folds=2)
