@@ -91,9 +91,43 @@ def _many(spark, n):
     return spark.range(n).select(F.concat(F.lit("text "), "id").alias("clean_text"), (F.col("id") % 5 == 0).cast("int").alias("label"))
 
 
+@pytest.mark.parametrize("preset", ["best", "plain"])
+def test_all_labelled_rows_are_trained_on(spark, rows_fitted, preset):
+    """Also more than 200,000, which once were the most that were taken."""
+    with pytest.raises(_Seen, match="^200100$"):
+        model.train(_many(spark, 200_100), preset)
+
+
 def test_a_fold_is_trained_on_all_rows_outside(spark, rows_fitted):
     rows = _many(spark, 410_000)
     outside = search.with_fold(rows, 2).filter("fold <> 0").count()
     assert outside > 200_000
     with pytest.raises(_Seen, match=f"^{outside}$"):
         search.grid_search(rows, {"C": [1.0]}, folds=2)
+
+
+@pytest.mark.parametrize("name", ["clean_by_model", "detect_model", "train_score"])
+def test_registered_training_takes_all_rows(spark, monkeypatch, name):
+    """No query gives a bound of its own."""
+    from catalog import spark_queries
+
+    def seen(samples, *a, **settings):
+        raise _Seen(model.AdClassifier(**{**model.PRESETS["best"], **settings}).getOrDefault("maxRows"))
+    monkeypatch.setattr(spark_queries.model, "train", seen)
+    with pytest.raises(_Seen, match="^0$"):
+        spark_queries.Q[name](spark, "/root/testdata/sf0.001")
+
+
+def test_no_task_holds_more_than_a_split_of_the_features(spark, samples, monkeypatch):
+    """However many tasks are asked for."""
+    taken = []
+    monkeypatch.setattr(model.LogisticRegression, "fit", lambda self, rows: taken.append(rows.rdd.getNumPartitions()))
+    stored = features.vectors(samples.repartition(6), features.fit_tfidf(samples, 3, 3, 60), ["label"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            model.regress(stored, 1.0, partitions=1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert taken[0] == 1 and taken[1] >= 6
