@@ -10,6 +10,7 @@ from ..functions.regex import SPACE
 from ..functions.text import clean_tags, strip, unix_newlines
 from ..schema import CUE_COLUMNS, FILES, SAMPLES
 from ..session import in_few_tasks, stored
+from .folders import files_of
 from .places import first_places, rows_at
 
 BOM = "\uFEFF"
@@ -139,7 +140,10 @@ def merge_texts(texts: DataFrame) -> DataFrame:
 
 
 def read_text_corpus(spark: SparkSession, directory: str) -> DataFrame:
-    """The ``*.txt`` files of one folder as ``(path, text)``, one row per file."""
+    """The ``*.txt`` files of one folder as ``(path, text)``, one row per file. The driver holds no name, but where Arrow does not find the folder; there Spark's reader lists it."""
+    files = files_of(spark, directory, "*.txt")
+    if files is not None:
+        return merge_texts(files.select("path", F.col("content").cast("string").alias("value")))
     raw = spark.read.text(directory, wholetext=True, pathGlobFilter="*.txt")
     raw = in_few_tasks(raw.select("value", F.col("_metadata.file_path").alias("file")))
     # as other readers give it: decoded
