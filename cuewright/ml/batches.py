@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 CHUNK = 1 << 20
 LIMIT = 1 << 62
 SMALL = 1 << 22  # entries of a table
+ROWS = 1 << 18  # rows of a batch that is made
 
 
 def parts(texts: list[str | None], hi: int) -> Iterator[tuple[int, list[str], int]]:
@@ -53,8 +54,8 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
-def _count_part(texts: list[str], size: int, lo: int, hi: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """For each size of gram: the grams, their occurrences and the texts that hold them."""
+def _pairs_of(texts: list[str], size: int, lo: int, hi: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size of gram: the grams, and for pairs of gram and text in order of the gram where each gram's begin, the texts and the occurrences."""
     points, text_of, left = _laid_out(texts, size)
     there = np.zeros(0x110000, bool)
     there[points] = True
@@ -94,7 +95,27 @@ def _count_part(texts: list[str], size: int, lo: int, hi: int) -> Iterator[tuple
             found, place = np.unique(key[at], return_index=True)  # as sorted as ``keys``
             joined = "".join(texts)
             grams = [joined[i:i + n] for i in at[place].tolist()]
-        yield grams, np.add.reduceat(of_text, first), np.diff(first, append=len(keys))
+        yield grams, first, pairs[starts] - keys * len(texts), of_text
+
+
+def _count_part(texts: list[str], size: int, lo: int, hi: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """For each size of gram: the grams, their occurrences and the texts that hold them."""
+    for grams, first, _, of_text in _pairs_of(texts, size, lo, hi):
+        yield grams, np.add.reduceat(of_text, first), np.diff(first, append=len(of_text))
+
+
+def count_in_texts(batches: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``(..., gram, tf)`` of prepared texts, the last column, with the columns before it: the grams of every text. A text has ``CHUNK`` code points at most."""
+    for batch in batches:
+        keep = [batch.column(i) for i in range(batch.num_columns - 1)]
+        names = [*batch.schema.names[:-1], "gram", "tf"]
+        for start, texts, size in parts(batch.column(batch.num_columns - 1).to_pylist(), hi):
+            for grams, first, text, of_text in _pairs_of(texts, size, lo, hi):
+                gram = np.repeat(np.arange(len(first)), np.diff(first, append=len(text)))
+                for a in range(0, len(text), ROWS):
+                    at = pa.array(text[a:a + ROWS] + start)
+                    rows = [*(c.take(at) for c in keep), pa.array(grams, pa.string()).take(pa.array(gram[a:a + ROWS])), pa.array(of_text[a:a + ROWS], pa.int64())]
+                    yield pa.record_batch(rows, names)
 
 
 def count_grams(batches: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[pa.RecordBatch]:

@@ -66,3 +66,34 @@ def test_occurrences_alone():
                 for gram, k in zip(out.column("gram").to_pylist(), out.column("n").to_pylist()):
                     got[gram] += k
             assert got == Counter({g: k for g, k in want.items() if lo <= len(g) <= hi})
+
+
+def test_grams_are_counted_for_many_texts_in_one_call():
+    """Rows of a batch with the columns before the text, cut at ``ROWS``; no string for an occurrence."""
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from cuewright.ml import batches
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("aé😀b ", k=rng.randint(0, 60))) if i % 9 else None for i in range(200)]
+    batch = pa.record_batch([pa.array(range(200)), pa.array([f"s{i % 3}" for i in range(200)]), pa.array(texts, pa.string())], ["id", "fold", "_t"])
+    before, batches.ROWS = batches.ROWS, 1_000
+    try:
+        made = list(batches.count_in_texts(iter([batch, batch.slice(0, 0)]), 3, 4))
+    finally:
+        batches.ROWS = before
+    assert len(made) > 2 and all(b.num_rows <= 1_000 and b.schema.names == ["id", "fold", "gram", "tf"] for b in made)
+    got = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    expected = {(i, f"s{i % 3}", g): n for i, t in enumerate(texts) for g, n in Counter((t or "")[a:a + k] for k in (3, 4) for a in range(len(t or "") - k + 1)).items()}
+    assert {r[:3]: r[3] for r in got} == expected and len(got) == len(expected)
+
+
+def test_short_texts_make_no_array_of_grams(spark):
+    from cuewright.ml import features
+
+    docs = spark.createDataFrame([(1, "abcabc")], "id INT, clean_text STRING")
+    plan = features.text_grams(docs, 3, 4, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "sort_array" not in plan and "lambdafunction" not in plan.split("Aggregate")[0]
